@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(cores: int = 8, app: str = "marquee", shuffle: int = 8) -> SparkSession:
+def local_session(cores: int = 8, app: str = "marquee", shuffle: int = 8, parallelism: int | None = None) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
+        .config("spark.default.parallelism", str(parallelism or cores))
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")

@@ -5,7 +5,7 @@ from marquee.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cores=8, app="marquee-tests", shuffle=4)
+    session = local_session(cores=8, app="marquee-tests", shuffle=2, parallelism=2)
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     yield session
