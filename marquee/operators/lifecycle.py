@@ -200,16 +200,20 @@ def health(
 ) -> DataFrame:
     """One row: level green, yellow or red, with the first reason that applies and its signals."""
     now = at(as_of)
-    last = runs.agg(F.max(F.struct("started_at", "status", "failed_steps")).alias("last"))
-    stalled = steps.agg(
-        F.array_sort(F.collect_set(F.when(is_stalled(F.col("status"), F.col("started_at"), now), F.col("step_name")))).alias("stalled")
-    )
-    waiting = (
-        queue.agg(F.count_if(F.col("status") == "failed").alias("queue_failed"))
-        .crossJoin(artists.agg(F.count("name_proposal").alias("proposals")))
-        .crossJoin(error_logs.agg(F.count_if(~F.col("is_resolved")).alias("app_errors")))
-    )  # three one-row tables
-    row = last.crossJoin(stalled).crossJoin(waiting)
+    parts = [
+        runs.agg(F.max(F.struct("started_at", "status", "failed_steps")).alias("last")),
+        steps.agg(
+            F.collect_set(F.when(is_stalled(F.col("status"), F.col("started_at"), now), F.col("step_name"))).alias("stalled")
+        ),
+        queue.agg(F.count_if(F.col("status") == "failed").alias("queue_failed")),
+        artists.agg(F.count("name_proposal").alias("proposals")),
+        error_logs.agg(F.count_if(~F.col("is_resolved")).alias("app_errors")),
+    ]
+    signals = parts[0]
+    for part in parts[1:]:
+        signals = signals.unionByName(part, allowMissingColumns=True)
+    row = signals.agg(*[F.max(c).alias(c) for c in ("last", "stalled", "queue_failed", "proposals", "app_errors")])
+    row = row.withColumn("stalled", F.array_sort("stalled"))
     gap = (F.unix_micros(now) - F.unix_micros(moment("last.started_at"))) / 3_600_000_000
     status = F.col("last.status")
     red = (

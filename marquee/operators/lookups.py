@@ -183,14 +183,13 @@ def titles_naming_artists(events: DataFrame, artists: DataFrame) -> DataFrame:
     )
     by_text = titles.join(hits, "norm_title").join(long, "norm").select("event_id", "artist_id", "artist_name")
     short = acts.filter(F.length("norm") <= 3).withColumn("low", F.lower("artist_name"))
-    # a name that stands alone starts or ends where a letter does not continue it
-    grams = short.select("artist_id", "artist_name", "low", F.length("low").alias("n"))
-    sizes = grams.agg(F.array_sort(F.collect_set("n")).alias("sizes"))  # at most a handful of lengths
-    spots = titles.crossJoin(F.broadcast(sizes)).select(
-        "event_id", F.lower("title").alias("t"), F.explode("sizes").alias("n")
-    ).select("event_id", "t", F.explode(T.char_ngrams("t", F.col("n"))).alias("low"))
+    spots = titles.select(
+        "event_id", F.lower("title").alias("t"),
+        F.explode(F.concat(T.char_ngrams("norm_title", 2), T.char_ngrams("norm_title", 3))).alias("norm"),
+    )
+    # the spelled name must stand alone: no letter may continue it on either side
     boundary = F.concat(F.lit("(?<![a-z가-힣])\\Q"), F.col("low"), F.lit("\\E(?![a-z가-힣])"))
-    alone = spots.join(grams, "low").filter(F.regexp_like("t", boundary)).select("event_id", "artist_id", "artist_name")
+    alone = spots.join(short, "norm").filter(F.regexp_like("t", boundary)).select("event_id", "artist_id", "artist_name")
     rank = F.struct(-F.length("artist_name"), "artist_name", "artist_id")
     best = by_text.unionByName(alone).groupBy("event_id").agg(F.min_by(F.struct("artist_id", "artist_name"), rank).alias("a"))
     return best.select("event_id", "a.artist_id", "a.artist_name")

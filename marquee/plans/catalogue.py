@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scoring_queries
+from . import recommend_queries, scoring_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 from .roles import Roles
 

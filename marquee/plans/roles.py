@@ -76,6 +76,7 @@ class Roles:
                 F.col("l_partkey").alias("event_id"),
                 F.col("l_suppkey").alias("artist_id"),
                 F.col("s_name").alias("artist_name"),
+                F.col("l_suppkey").alias("display_order"),
             )
             .distinct()
         )
@@ -149,7 +150,8 @@ ROLE_SQL = {
         SELECT s_suppkey AS id, s_name AS name, 'label' || s_nationkey AS label,
           CAST(floor(greatest(s_acctbal, 0.0)) AS BIGINT) AS followers_count FROM supplier""",
     "r_event_artists": """
-        SELECT DISTINCT l_partkey AS event_id, l_suppkey AS artist_id, s_name AS artist_name
+        SELECT DISTINCT l_partkey AS event_id, l_suppkey AS artist_id, s_name AS artist_name,
+          l_suppkey AS display_order
         FROM lines JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
         WHERE c_nationkey = s_nationkey""",
     "r_followings": """
@@ -184,4 +186,6 @@ def with_roles(names: str, body: str, extra: str = "") -> str:
     ctes = [f"{name} AS ({ROLE_SQL[name].strip()})" for name in wanted]
     if extra:
         ctes.append(extra.strip().rstrip(","))
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body.strip()
+    body = body.strip()
+    joint = "" if body.startswith(",") else "\n"  # a body may go on with its own CTEs
+    return ("WITH " + ",\n".join(ctes) + joint if ctes else "") + body
