@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import recommend_queries, scoring_queries  # noqa: F401
+from . import (  # noqa: F401
+    matching_queries,
+    page_queries,
+    recommend_queries,
+    scoring_queries,
+    text_queries,
+)
 from .registry import ORACLES, QUERIES
 from .roles import Roles
 
