@@ -136,11 +136,12 @@ def lineup_audit(payloads: DataFrame, events: DataFrame, performances: DataFrame
     festival = T.or_empty("event_title").rlike(V.PLAIN_FESTIVAL) | T.or_empty("genre").rlike(V.PLAIN_FESTIVAL)
     no_link = F.col("artist_id").isNull()
     differs = (F.size("acts") > 0) & (F.size("names") > 0) & (F.size(F.array_except(norm(F.col("acts")), norm(F.col("names")))) > 0)
+    issue = lambda topic, reason: F.struct(F.lit(topic).alias("topic"), F.lit(reason).alias("reason"))
     found = F.array_compact(F.array(
-        F.when(no_link & (F.size("names") == 0), F.struct(F.lit("link").alias("topic"), F.lit("missing_artist_candidates").alias("reason"))),
-        F.when(no_link & (F.size("names") > 0), F.struct(F.lit("link"), F.lit("missing_artist_link"))),
-        F.when(festival & (F.size("acts") == 0), F.struct(F.lit("timetable"), F.lit("missing_festival_timetable"))),
-        F.when(differs, F.struct(F.lit("mismatch"), F.lit("timetable_artist_mismatch"))),
+        F.when(no_link & (F.size("names") == 0), issue("link", "missing_artist_candidates")),
+        F.when(no_link & (F.size("names") > 0), issue("link", "missing_artist_link")),
+        F.when(festival & (F.size("acts") == 0), issue("timetable", "missing_festival_timetable")),
+        F.when(differs, issue("mismatch", "timetable_artist_mismatch")),
     ))
     spread = joined.select("*", F.explode(found).alias("x"))
     once = spread.groupBy("event_id", F.col("x.topic").alias("topic")).agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructField, StructType
 
 from ..functions import links as L
 from ..functions.dates import at
@@ -53,6 +54,15 @@ def same_new_event(rows: DataFrame) -> DataFrame:
             return state.select("row_id", "leader")
 
 
+def _typed(c: Column, field: StructField) -> Column:
+    nested = isinstance(field.dataType, (ArrayType, MapType, StructType))
+    return (c if nested else c.cast(field.dataType)).alias(field.name)
+
+
+def _change(field: str, old: Column, new: Column) -> Column:
+    return F.struct(F.lit(field).alias("field_name"), old.alias("old_value"), new.alias("new_value"))
+
+
 def _best(field: str) -> Column:
     """The value that survives: the last one among the most trusted."""
     return F.max(F.when(~is_blank(field), F.struct("trust", "row_id", F.col(field).alias("v"), F.col("source_name").alias("s")))).alias(field)
@@ -118,12 +128,12 @@ def upsert(incoming: DataFrame, events: DataFrame, as_of: str, hold: bool = Fals
     take_artist = F.col("artist_id").isNull() & F.col("n_artist_id").isNotNull()
     out["artist_id"] = F.coalesce("artist_id", "n_artist_id")
     changes = F.array_compact(F.array(
-        *[F.when(t, F.struct(F.lit(f).alias("field_name"), o.alias("old_value"), n.alias("new_value"))) for f, t, o, n, _ in changed],
-        F.when(take_status, F.struct(F.lit("status"), F.col("status"), F.col("n_status"))),
-        F.when(take_artist, F.struct(F.lit("artist_id"), F.lit(None).cast("string"), F.col("n_artist_id").cast("string"))),
+        *[F.when(t, _change(f, o, n)) for f, t, o, n, _ in changed],
+        F.when(take_status, _change("status", F.col("status"), F.col("n_status"))),
+        F.when(take_artist, _change("artist_id", F.lit(None).cast("string"), F.col("n_artist_id").cast("string"))),
     ))
     stamps = F.map_from_entries(F.array_compact(F.array(
-        *[F.when(t, F.struct(F.lit(f), F.struct(s.alias("source"), now.alias("at")))) for f, t, _, _, s in changed]
+        *[F.when(t, F.struct(F.lit(f).alias("k"), F.struct(s.alias("source"), now.alias("at")).alias("v"))) for f, t, _, _, s in changed]
     )))
     link_type = events.schema["source_urls"].dataType
     links = F.array_union(F.coalesce("source_urls", F.array().cast(link_type)), F.coalesce("urls", F.array().cast(link_type)))
@@ -151,7 +161,7 @@ def upsert(incoming: DataFrame, events: DataFrame, as_of: str, hold: bool = Fals
         "has_timetable": F.when(inserted, F.lit(False)).otherwise(F.col("has_timetable")),
     }
     state = cut_lineage(state)
-    table = state.select(*[out.get(c, F.col(c)).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    table = state.select(*[_typed(out.get(f.name, F.col(f.name)), f) for f in events.schema.fields])
     action = (
         F.when(inserted, "inserted").when((F.size("_changes") > 0) | F.col("_take_links"), "updated").otherwise("skipped")
     )

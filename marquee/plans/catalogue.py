@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (  # noqa: F401
+    audit_queries,
+    curation_queries,
     matching_queries,
     page_queries,
     recommend_queries,
     scoring_queries,
+    streaming_queries,
     text_queries,
 )
 from .registry import ORACLES, QUERIES

@@ -261,11 +261,16 @@ def parsed_timetables(r: Roles):
     return rows.drop("pos")
 
 
-@query("timetable_lines")
+@query(
+    "timetable_lines",
+    f"""WITH {TIMETABLE_SQL} SELECT user_id AS event_id, 2 * count(*) + 2 AS n_lines FROM slots WHERE s < e GROUP BY 1""",
+)
 def timetable_lines(r: Roles):
-    """Lines of whole documents that read like a timetable."""
-    html = r.table("documents").select("doc_id", F.concat(F.lit("<body>"), "text", F.lit("</body>")).alias("html"))
-    return P.timetable_lines(P.page_lines(html, "doc_id"), "doc_id")
+    """Lines kept of pages that end in a dozen lines without any bearing on the timetable."""
+    filler = F.array_join(F.array_repeat(F.lit("notice"), 12), "\n")
+    html = timetable_texts(r).select("event_id", F.concat(F.lit("<body>"), "text", F.lit("\n"), filler, F.lit("</body>")).alias("html"))
+    kept = P.timetable_lines(P.page_lines(html, "event_id"), "event_id")
+    return kept.groupBy("event_id").agg(F.count("*").alias("n_lines"))
 
 
 @query(

@@ -90,7 +90,8 @@ def titled(r: Roles) -> DataFrame:
         SELECT id,
           regexp_replace(lower(regexp_replace(CASE WHEN regexp_matches(t, '^\\[') AND NOT contains(t, '[vip]') THEN regexp_replace(t, '^\\[[^\\]]*\\]\\s*', '') ELSE t END,
             '[ ]*-[ ]*[가-힣A-Za-z]{{1,6}}$', '')), '[^a-z0-9가-힣]', '', 'g') AS core_key,
-          CASE WHEN contains(title, 'Festival') THEN 'festival' END AS festival_key,
+          CASE WHEN contains(title, 'Festival') THEN 'festival' || CASE WHEN contains(title, 'widget') THEN 'widget' ELSE '' END
+               WHEN contains(title, ' - 2차') AND contains(title, 'widget') THEN 'widget' END AS festival_key,
           CASE WHEN contains(title, ' - 2차') THEN split_part(title, ' - 2차', 1)
                WHEN contains(title, 'lineup ') AND length(split_part(title, ' - ', 1)) >= 0.3 * length(title) THEN split_part(title, ' - ', 1) ELSE title END AS display_title,
           CASE WHEN contains(title, ' Concert') THEN replace(low, ' concert', '') ELSE low END AS plain_title,
