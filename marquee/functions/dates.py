@@ -75,10 +75,11 @@ def _part(c: Column, pattern: str, i: int) -> Column:
 
 def parse_date(c: Column | str) -> Column:
     c = col_of(c)
-    tries = []
-    for pattern, century in DATE_SHAPES:
-        year = F.concat(F.lit(century), _part(c, pattern, 1))
-        tries.append(F.when(c.rlike(pattern), _ymd(year, _part(c, pattern, 2), _part(c, pattern, 3))))
+    # one look per shape: the match is rewritten as y-m-d, and anything else is no date
+    tries = [
+        F.regexp_replace(F.regexp_extract(c, pattern, 0), f"(?s)^{pattern}.*", f"{century}$1-$2-$3").try_cast("date")
+        for pattern, century in DATE_SHAPES
+    ]
     return F.coalesce(*tries)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -229,23 +229,28 @@ def lineup_names(names: Column) -> Column:
 
 
 # --- titles ------------------------------------------------------------------------------
+# The _of functions take text that has been through NFKC already.
+def title_key_of(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), _NOT_TITLE_CHAR, "")
+
+
 def title_key(c: Column | str) -> Column:
-    return F.regexp_replace(F.lower(nfkc(or_empty(c))), _NOT_TITLE_CHAR, "")
+    return title_key_of(nfkc(or_empty(c)))
 
 
-def core_title_key(c: Column | str) -> Column:
-    """Title key without a leading ``[city]`` or trailing ``- city``; ticket markers stay."""
-    text = nfkc(or_empty(c))
+def core_title_key_of(text: Column) -> Column:
     bracket = F.regexp_extract(text, V.LEADING_CITY, 1)
-    is_city = text.rlike(V.LEADING_CITY) & ~bracket.rlike(V.TICKET_MARKER)
+    is_city = (bracket != "") & ~bracket.rlike(V.TICKET_MARKER)
     text = F.when(is_city, F.regexp_replace(text, V.LEADING_CITY, "")).otherwise(text)
-    text = F.regexp_replace(text, V.TRAILING_CITY, "")
-    return F.regexp_replace(F.lower(text), _NOT_TITLE_CHAR, "")
+    return title_key_of(F.regexp_replace(text, V.TRAILING_CITY, ""))
 
 
-def festival_key(c: Column | str) -> Column:
-    """Sorted token set of a festival title, or null when the title is not a festival listing."""
-    text = nfkc(or_empty(c))
+def core_title_key(c: Column | str) -> Column:
+    """Title key without a leading ``[city]`` or trailing ``- city``; ticket markers stay."""
+    return core_title_key_of(nfkc(or_empty(c)))
+
+
+def festival_key_of(text: Column) -> Column:
     dash = F.regexp_instr(text, F.lit(f"[{V.SPACE}][-–—][{V.SPACE}]"))
     head = F.when(dash > 0, F.substring(text, F.lit(1), dash - 1)).otherwise(text)
     tail = F.when(dash > 0, F.substring(text, dash, F.length(text))).otherwise(F.lit(""))
@@ -261,28 +266,48 @@ def festival_key(c: Column | str) -> Column:
         & ~t.rlike(V.LISTING)
         & ~t.rlike(r"^[a-z]{1,5}\z"),
     )
-    key = F.array_join(F.array_sort(kept), "")
-    return F.when(is_listing & (F.length(key) >= 6), key)
+    key = F.when(is_listing, F.array_join(F.array_sort(kept), ""))
+    return F.regexp_extract(key, r"(?s)^(.{6,})\z", 1)
+
+
+def festival_key(c: Column | str) -> Column:
+    """Sorted token set of a festival title, or null when the title is not a festival listing."""
+    return none_if_blank(festival_key_of(nfkc(or_empty(c))))
 
 
 def strong_title_key(c: Column | str) -> Column:
     return F.coalesce(festival_key(c), core_title_key(c))
 
 
-def event_key(title: Column | str, venue: Column | str, day: Column | str) -> Column:
-    """Dedup key of an event; city and festival markers only come off when a venue anchors it."""
-    title, venue = col_of(title), col_of(venue)
-    key = F.when(venue.isNull(), title_key(title)).otherwise(strong_title_key(title))
-    key = F.coalesce(none_if_blank(key), F.lower(strip(or_empty(title))))
+def _event_hash(key: Column, title: Column, venue: Column, day: Column) -> Column:
     parts = F.concat_ws(
         "|",
-        key,
+        F.coalesce(none_if_blank(key), F.lower(strip(or_empty(title)))),
         F.lower(strip(F.coalesce(venue, F.lit("unknown")))),
-        F.coalesce(col_of(day).cast("date").cast("string"), F.lit("unknown")),
+        F.coalesce(day.cast("date").cast("string"), F.lit("unknown")),
     )
     return F.substring(F.sha2(parts, 256), 1, 32)
 
 
+def event_key(title: Column | str, venue: Column | str, day: Column | str) -> Column:
+    """Dedup key of an event; city and festival markers only come off when a venue anchors it."""
+    title, venue = col_of(title), col_of(venue)
+    key = F.when(venue.isNull(), title_key(title)).otherwise(strong_title_key(title))
+    return _event_hash(key, title, venue, col_of(day))
+
+
+def with_event_key(df: DataFrame, title: str, venue: str, day: Column, out: str) -> DataFrame:
+    """The same key as a column, worked out in steps so that no pattern runs twice per row."""
+    steps = df.withColumn("_text", nfkc(or_empty(title)))
+    steps = steps.withColumn("_festival", F.when(F.col(venue).isNotNull(), none_if_blank(festival_key_of(F.col("_text")))))
+    key = (
+        F.when(F.col(venue).isNull(), title_key_of(F.col("_text"))).when(F.col("_festival").isNotNull(), F.col("_festival"))
+        .otherwise(core_title_key_of(F.col("_text")))
+    )
+    steps = steps.withColumn("_key", key).withColumn(out, _event_hash(F.col("_key"), F.col(title), F.col(venue), day))
+    return steps.drop("_text", "_festival", "_key")
+
+
 def legacy_title_key(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(nfkc(col_of(c))), r"[^\p{L}\p{N}_]", "")
 
@@ -330,9 +355,8 @@ def cut_venue_info(c: Column | str) -> Column:
     return strip(F.regexp_replace(col_of(c), f"(?is)(?:{V.VENUE_INFO_SUFFIX}).*\\z", ""))
 
 
-def plain_venue_name(c: Column | str, title: Column | str | None = None) -> Column:
-    """Normalised venue name, or null when the value is not a venue at all."""
-    name = cut_venue_info(nfkc(col_of(c)))
+def plain_venue_name_of(name: Column, title: Column | None = None) -> Column:
+    """The same for a name that has been normalised and cut already."""
     bad = (
         (F.length(name) <= 1)
         | F.substring(name, 1, 20).rlike(V.DATE)
@@ -341,11 +365,15 @@ def plain_venue_name(c: Column | str, title: Column | str | None = None) -> Colu
         | name.rlike(V.URL)
     )
     if title is not None:
-        title = col_of(title)
         bad = bad | F.coalesce((title != "") & (plain_title(name) == plain_title(title)), F.lit(False))
     return F.when(~bad, F.lower(squeeze(name)))
 
 
+def plain_venue_name(c: Column | str, title: Column | str | None = None) -> Column:
+    """Normalised venue name, or null when the value is not a venue at all."""
+    return plain_venue_name_of(cut_venue_info(nfkc(col_of(c))), None if title is None else col_of(title))
+
+
 def legacy_venue_name(c: Column | str, title: Column | str) -> Column:
     """Cleaned venue name with known aliases resolved; empty when unusable."""
     name = cut_venue_info(or_empty(c))

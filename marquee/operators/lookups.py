@@ -212,7 +212,7 @@ def link_status(events: DataFrame, artists: DataFrame) -> DataFrame:
 
 
 def existing_events(incoming: DataFrame, events: DataFrame) -> DataFrame:
-    """(row_id, event_id): by dedup key, else the oldest event with that title and start day."""
+    """Incoming rows with event_id: by dedup key, else the oldest event with that title and start day."""
     by_key = events.filter(F.col("dedup_key").isNotNull()).groupBy("dedup_key").agg(
         F.min_by("id", F.struct("created_at", "id")).alias("_by_key")
     )
@@ -221,7 +221,7 @@ def existing_events(incoming: DataFrame, events: DataFrame) -> DataFrame:
     ).agg(F.min_by("id", F.struct("created_at", "id")).alias("_by_title"))
     rows = incoming.withColumn("start_day", F.col("start_date").cast("date"))
     hit = rows.join(by_key, "dedup_key", "left").join(by_title, ["normalized_title", "start_day"], "left")
-    return hit.select("row_id", F.coalesce("_by_key", "_by_title").alias("event_id"))
+    return hit.select(*incoming.columns, F.coalesce("_by_key", "_by_title").alias("event_id"))
 
 
 def with_verdicts(titles: DataFrame, cache: DataFrame) -> DataFrame:

@@ -21,21 +21,23 @@ def popular_artists(artists: DataFrame, limit: int) -> DataFrame:
     return top_ranked(artists, [("popularity_score", False), ("followers_count", False)], "id", limit)
 
 
-def co_performers(followings: DataFrame, event_artists: DataFrame) -> DataFrame:
-    """(user_id, artist_id, shared, event_id, with_name): acts seen beside followed ones.
+def stages_seen(followings: DataFrame, lineup: DataFrame) -> DataFrame:
+    """(user_id, event_id, followed_id): events with followed acts, one row each."""
+    return followings.join(lineup, "artist_id").groupBy("user_id", "event_id").agg(F.min("artist_id").alias("followed_id"))
+
+
+def co_performers(followings: DataFrame, event_artists: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(user_id, artist_id, shared, event_id): acts seen beside followed ones, with the first such event.
 
     Followed acts are first reduced to one row per user and event, so an event with several of
-    them meets its lineup once.
+    them meets its lineup once; plain counts and minima keep the aggregation hash-based.
     """
-    lineup = event_artists.select("event_id", "artist_id", "artist_name").distinct()
-    seen = followings.join(lineup, "artist_id").groupBy("user_id", "event_id").agg(
-        F.min(F.struct("artist_id", "artist_name")).alias("f")
-    )
-    beside = seen.join(lineup.select("event_id", "artist_id"), "event_id").groupBy("user_id", "artist_id").agg(
-        F.count("*").alias("shared"), F.min(F.struct("event_id", "f.artist_name")).alias("s")
+    lineup = event_artists.select("event_id", "artist_id").distinct()
+    seen = stages_seen(followings, lineup) if seen is None else seen
+    beside = seen.select("user_id", "event_id").join(lineup, "event_id").groupBy("user_id", "artist_id").agg(
+        F.count("*").alias("shared"), F.min("event_id").alias("event_id")
     )
-    beside = beside.join(followings, ["user_id", "artist_id"], "left_anti")
-    return beside.select("user_id", "artist_id", "shared", F.col("s.event_id").alias("event_id"), F.col("s.artist_name").alias("with_name"))
+    return beside.join(followings, ["user_id", "artist_id"], "left_anti")
 
 
 def _taste_base(liked: str, hot: str, genres: str, stages: str) -> Column:
@@ -82,11 +84,12 @@ def artist_recommendations(
     that many per user before scoring, strongest signals first.
     """
     follows = cut_lineage(followings.select("user_id", "artist_id").distinct())
-    lineup = event_artists.select("event_id", "artist_id", "artist_name").distinct()
-    sizes = lineup.groupBy("event_id").agg(F.count("*").alias("n_acts"))
-    lineup = cut_lineage(lineup.join(sizes, "event_id"))
-    cold = lineup.filter(F.col("n_acts") <= hot_lineup).drop("n_acts")
-    hot = lineup.filter(F.col("n_acts") > hot_lineup).drop("n_acts")
+    lineup = cut_lineage(event_artists.select("event_id", "artist_id").distinct())
+    genres = cut_lineage(genres.select("artist_id", "genre"))
+    large = lineup.groupBy("event_id").agg(F.count("*").alias("n_acts")).filter(F.col("n_acts") > hot_lineup).select("event_id")
+    large = cut_lineage(large)
+    cold = lineup.join(large, "event_id", "left_anti")
+    hot = lineup.join(large, "event_id", "left_semi")
 
     none = F.array().cast("array<string>")
     acts_genres = genres.groupBy("artist_id").agg(F.array_sort(F.collect_set("genre")).alias("genres"))
@@ -100,9 +103,8 @@ def artist_recommendations(
     acts = cut_lineage(acts)
 
     liked = follows.join(genres, "artist_id").groupBy("user_id").agg(F.array_sort(F.collect_set("genre")).alias("liked"))
-    seen_hot = follows.join(hot, "artist_id").groupBy("user_id", "event_id").agg(F.min(F.struct("artist_id", "artist_name")).alias("f"))
-    seen_hot = cut_lineage(seen_hot.select("user_id", F.col("event_id").cast("string").alias("event_id"), F.col("f.artist_name").alias("with_name")))
-    on_hot = seen_hot.groupBy("user_id").agg(F.array_sort(F.collect_set("event_id")).alias("hot"))
+    seen_hot = cut_lineage(stages_seen(follows, hot))
+    on_hot = seen_hot.groupBy("user_id").agg(F.array_sort(F.collect_set(F.col("event_id").cast("string"))).alias("hot"))
     users = follows.groupBy("user_id").agg(F.count("*").alias("n_follows"))
     users = users.join(liked, "user_id", "left").join(on_hot, "user_id", "left")
     users = cut_lineage(users.withColumn("liked", F.coalesce("liked", none)).withColumn("hot", F.coalesce("hot", none)))
@@ -112,7 +114,8 @@ def artist_recommendations(
     )
 
     # shared stages
-    beside = cut_lineage(co_performers(follows, cold))
+    seen = cut_lineage(stages_seen(follows, cold))
+    beside = cut_lineage(co_performers(follows, cold, seen))
 
     # groups of equal artists
     most = users.agg(F.max("n_follows")).first()[0] or 0
@@ -147,7 +150,7 @@ def artist_recommendations(
     flags = user_labels.withColumn("same_agency", F.lit(1))
     rows = (
         pairs.join(acts, "artist_id").join(users.drop("n_follows"), "user_id")
-        .join(beside.withColumnRenamed("event_id", "cold_event"), ["user_id", "artist_id"], "left")
+        .join(beside.withColumnRenamed("event_id", "first_event"), ["user_id", "artist_id"], "left")
         .join(flags, ["user_id", "label"], "left")
     )
     hot_shared = F.array_intersect("hot", "stages")
@@ -155,7 +158,7 @@ def artist_recommendations(
         "shared": F.coalesce("shared", F.lit(0)) + F.size(hot_shared),
         "agency": F.coalesce("same_agency", F.lit(0)),
         "matched_genres": F.array_intersect("liked", "genres"),
-        "hot_event": F.array_min(hot_shared),
+        "first_event": F.coalesce(F.col("first_event").cast("string"), F.array_min(hot_shared)),
     })
     if max_candidates is not None:
         strong = F.when(F.col("shared") > 0, 1).otherwise(0) + F.col("agency")
@@ -166,10 +169,12 @@ def artist_recommendations(
     score = clamp01(_W["co_performer"] * co + _W["agency"] * F.col("agency") + _W["genre"] * ge)
     rows = rows.withColumns({"co": co, "ge": ge, "score": score}).filter("score > 0").withColumn("score", round4(F.col("score")))
     best = top_per_group(rows, ["user_id"], [("score", False), ("popularity_score", False)], "artist_id", limit)
-    hot_names = seen_hot.select("user_id", F.col("event_id").alias("hot_event"), F.col("with_name").alias("hot_name"))
-    best = best.join(hot_names, ["user_id", "hot_event"], "left")
+    # the act behind the first shared stage, looked up for the listed rows only
+    named = seen.unionByName(seen_hot).select("user_id", F.col("event_id").cast("string").alias("first_event"), "followed_id")
+    names = artists.select(F.col("id").alias("followed_id"), F.col("name").alias("with_name"))
+    best = best.join(named, ["user_id", "first_event"], "left").join(names, "followed_id", "left")
     reasons = F.array_compact(F.array(
-        F.when(F.col("shared") > 0, F.concat(F.lit("회원님이 팔로우한 "), F.coalesce("with_name", "hot_name"), F.lit("와 같은 무대에 섰어요"))),
+        F.when(F.col("shared") > 0, F.concat(F.lit("회원님이 팔로우한 "), "with_name", F.lit("와 같은 무대에 섰어요"))),
         F.when(F.col("agency") > 0, F.concat(F.lit("같은 소속사 ("), "label", F.lit(") 아티스트예요"))),
         F.when(F.size("matched_genres") > 0, F.concat(F.lit("비슷한 장르("), F.array_min("matched_genres"), F.lit(")를 해요"))),
     ))

@@ -34,24 +34,25 @@ def validated(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def same_new_event(rows: DataFrame) -> DataFrame:
-    """(row_id, leader): rows without a stored event that describe one new event.
+    """(dedup_key, leader): keys without a stored event that describe one new event.
 
-    Rows belong together when they share a dedup key or a title and start day; the smallest key
-    spreads along those links until nothing changes.
+    Keys belong together when a title and start day is seen under both; the smallest key spreads
+    along those links until nothing changes. Rows are first reduced to distinct keys and titles.
     """
     state = cut_lineage(rows.select(
-        "row_id", "dedup_key", "normalized_title", F.col("start_date").cast("date").alias("day"), F.col("dedup_key").alias("leader")
-    ))
+        "dedup_key", F.col("normalized_title").alias("title"), F.col("start_date").cast("date").alias("day"),
+        F.col("dedup_key").alias("leader"),
+    ).distinct())
     while True:
         by_key = state.groupBy("dedup_key").agg(F.min("leader").alias("_k"))
-        linked = state.filter((F.col("normalized_title") != "") & F.col("day").isNotNull())
-        by_title = linked.groupBy("normalized_title", "day").agg(F.min("leader").alias("_t"))
-        spread = state.join(by_key, "dedup_key").join(by_title, ["normalized_title", "day"], "left")
-        new = cut_lineage(spread.select("row_id", "dedup_key", "normalized_title", "day", F.col("leader").alias("_old"),
-                                        F.least("_k", F.coalesce("_t", "_k")).alias("leader")))
+        by_title = state.filter((F.col("title") != "") & F.col("day").isNotNull()).groupBy("title", "day").agg(F.min("leader").alias("_t"))
+        spread = state.join(by_key, "dedup_key").join(by_title, ["title", "day"], "left")
+        new = cut_lineage(spread.select(
+            "dedup_key", "title", "day", F.col("leader").alias("_old"), F.least("_k", F.coalesce("_t", "_k")).alias("leader")
+        ))
         state = new.drop("_old")
         if new.filter("leader <> _old").isEmpty():
-            return state.select("row_id", "leader")
+            return state.groupBy("dedup_key").agg(F.min("leader").alias("leader"))
 
 
 def _typed(c: Column, field: StructField) -> Column:
@@ -97,12 +98,13 @@ def upsert(incoming: DataFrame, events: DataFrame, as_of: str, hold: bool = Fals
     """
     now = at(as_of)
     usable, rejected = validated(incoming)
-    hits = usable.join(existing_events(usable, events), "row_id", "left")
-    hits = cut_lineage(hits)
-    fresh = hits.filter(F.col("event_id").isNull())
-    named = same_new_event(fresh).select("row_id", new_id("event", F.col("leader")).alias("_new"))
-    keyed = hits.join(named, "row_id", "left").withColumn("event_id", F.coalesce(F.col("event_id").cast("string"), "_new"))
-    folded = cut_lineage(fold(keyed.drop("_new"))).withColumnsRenamed(
+    hits = cut_lineage(existing_events(usable, events))
+    named = same_new_event(hits.filter(F.col("event_id").isNull())).select(
+        F.col("dedup_key").alias("_key"), new_id("event", F.col("leader")).alias("_new")
+    )
+    keyed = hits.withColumn("_key", F.when(F.col("event_id").isNull(), F.col("dedup_key"))).join(named, "_key", "left")
+    keyed = keyed.withColumn("event_id", F.coalesce(F.col("event_id").cast("string"), "_new"))
+    folded = cut_lineage(fold(keyed.drop("_new", "_key"))).withColumnsRenamed(
         {c: f"n_{c}" for c in [*TRACKED, "status", "normalized_title", "dedup_key", "description", "artist_id", "venue_id", "source_name"]}
     )
     state = events.join(folded.withColumnRenamed("event_id", "id"), "id", "full")

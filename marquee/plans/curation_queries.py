@@ -14,6 +14,7 @@ from ..operators import lookups as LK
 from ..operators import quality as Q
 from ..operators import upsert as U
 from .matching_queries import CATALOG_SQL, catalog
+from ..session import spread
 from .registry import query
 from .roles import AS_OF, Roles, with_roles
 
@@ -243,7 +244,7 @@ def flat_metrics(r: Roles):
 
 # --- upsert ------------------------------------------------------------------------------
 UPSERT_SQL = """crawl AS (
-  SELECT l_partkey AS part, l_orderkey * 10 + l_linenumber AS row_id, l_suppkey,
+  SELECT l_partkey AS part, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS row_id, l_suppkey,
     CASE l_returnflag WHEN 'A' THEN 'yes24' WHEN 'N' THEN 'festivallife' ELSE 'gemini-search' END AS src,
     CASE l_returnflag WHEN 'A' THEN 70 WHEN 'N' THEN 55 ELSE 20 END AS trust FROM lineitem),
   best AS (SELECT part, max(trust) AS trust, arg_max('https://img/' || l_suppkey, (trust, row_id, 'https://img/' || l_suppkey)) AS poster,
@@ -280,8 +281,8 @@ def crawl_batch(r: Roles) -> DataFrame:
     text = F.col("l_partkey").cast("string")
     source = F.when(F.col("l_returnflag") == "A", "yes24").when(F.col("l_returnflag") == "N", "festivallife").otherwise("gemini-search")
     title = F.concat("p_name", F.lit(" "), text)
-    return r.table("lineitem").join(part, "l_partkey").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), title.alias("title"), title.alias("normalized_title"),
+    return spread(r.table("lineitem")).join(part, "l_partkey").select(
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10000000 + F.col("l_partkey")).alias("row_id"), title.alias("title"), title.alias("normalized_title"),
         F.concat(F.lit("key"), text).alias("dedup_key"), F.concat(F.lit("https://img/"), F.col("l_suppkey").cast("string")).alias("poster_url"),
         F.lit("2024-01-01").cast("date").alias("start_date"), none("date").alias("end_date"), none("timestamp").alias("ticket_open_date"),
         none().alias("ticket_provider"), none().alias("booking_url"), F.lit("upcoming").alias("status"), F.col("p_type").alias("genre"),
@@ -568,7 +569,7 @@ def backfilled_lineups(r: Roles):
 )
 def lineup_audit(r: Roles):
     """Payload names against timetable slots that spell the act differently."""
-    payloads = r.table("lineitem").select(
+    payloads = spread(r.table("lineitem")).select(
         F.col("l_partkey").alias("event_id"), F.col("l_orderkey").alias("id"), F.lit("yes24").alias("source_name"), F.lit("u").alias("source_url"),
         F.to_json(F.struct(F.array(F.concat(F.lit("act "), F.col("l_suppkey").cast("string"))).alias("artists"))).alias("parsed_json"),
         F.lit(True).alias("processed"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..sources import landing as LD
 from ..sources import pages as P
+from ..session import spread
 from .registry import query
 from .roles import AS_OF, Roles, with_roles
 
@@ -171,7 +172,7 @@ def crawled(r: Roles) -> DataFrame:
         F.concat(F.date_format(day, "yyyy.MM.dd"), F.lit(" ~ "), F.date_format(F.date_add(day, 2), "MM.dd")).alias("startDate"),
         F.col("p_type").alias("genre"),
     )
-    rows = r.table("lineitem").join(part, "l_partkey")
+    rows = spread(r.table("lineitem")).join(part, "l_partkey")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_json(record).alias("parsed_json"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import at, infer_status
+from ..session import spread
 
 AS_OF = "2024-01-20T00:00:00"
 SNAPSHOT_AS_OF = "2024-01-31T00:00:00"
@@ -21,6 +22,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Tables whose rows are long texts, where the work per row is what counts.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 class Roles:
     """Lazily derived role tables of one data folder."""
 
@@ -28,7 +33,8 @@ class Roles:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return load(self.spark, self.sf_dir, name)
+        rows = load(self.spark, self.sf_dir, name)
+        return spread(rows) if name in TEXT_TABLES else rows
 
     @property
     def lines(self) -> DataFrame:

@@ -89,7 +89,7 @@ def streamed_crawl_alarms(r: Roles):
     """SELECT i.user_id, i.e AS event_id, i.ts AS attempted_at, b.ts AS booked_at, CASE WHEN b.ts IS NULL THEN 'skipped' ELSE 'booked' END AS outcome
        FROM (SELECT *, event_id % 5 AS e FROM events WHERE event_type = 'click') i LEFT JOIN (SELECT *, event_id % 5 AS e FROM events WHERE event_type = 'purchase') b
          ON b.user_id = i.user_id AND b.e = i.e AND b.ts >= i.ts AND b.ts <= i.ts + INTERVAL 7 DAY
-       WHERE b.ts IS NOT NULL OR i.ts + INTERVAL 7 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+       WHERE b.ts IS NOT NULL OR i.ts + INTERVAL 7 DAY < (SELECT min(m) FROM (SELECT max(ts) AS m FROM events WHERE event_type IN ('click', 'purchase') GROUP BY event_type)) - INTERVAL 1 DAY""",
 )
 def streamed_intents(r: Roles):
     def side(kind: str, time: str) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import validate as V
 from ..operators import lookups as LK
 from ..operators import merge_artists as MA
 from .matching_queries import BAND_SQL, bands
+from ..session import spread
 from .registry import query
 from .roles import AS_OF, Roles, with_roles
 
@@ -188,7 +189,7 @@ def parsed_dates(r: Roles):
         .when(status == "P", F.date_format(day, "yyyy년 M월 d일")).otherwise(F.concat(dotted, F.lit(" 20:00")))
     )
     as_of = D.at(AS_OF)
-    rows = r.table("orders").select(F.col("o_orderkey").alias("id"), text.alias("t"))
+    rows = spread(r.table("orders")).select(F.col("o_orderkey").alias("id"), text.alias("t"))
     legacy = D.parse_date_range("t", as_of)
     period = D.parse_period("t", "festivallife", as_of)
     return rows.select(

@@ -64,13 +64,16 @@ def record_errors(record: str = "record", corrupt: str = "corrupt") -> Column:
 def normalise_records(records: DataFrame, as_of: str, record: str = "record") -> DataFrame:
     """The normalised event of each raw record; other payload columns are kept."""
     r = lambda name: F.col(f"{record}.{name}")
-    start = D.parse_date(r("startDate"))
-    end = F.coalesce(D.parse_end_date(r("endDate")), D.parse_end_date(r("startDate")))
-    opening = D.parse_ticket_opening(r("ticketOpenDate"))
+    # step by step: a value used by several others becomes a column first, so it is computed once
     base = records.withColumns({
-        "title": T.display_title(r("title")), "start_date": start, "end_date": end, "ticket_open_date": opening,
-        "normalized_venue": T.plain_venue_name(r("venueName"), r("title")),
+        "title": T.display_title(r("title")),
+        "start_date": D.parse_date(r("startDate")),
+        "end_date": F.coalesce(D.parse_end_date(r("endDate")), D.parse_end_date(r("startDate"))),
+        "ticket_open_date": D.parse_ticket_opening(r("ticketOpenDate")),
+        "_venue": T.cut_venue_info(T.nfkc(r("venueName"))),
     })
+    base = base.withColumn("normalized_venue", T.plain_venue_name_of(F.col("_venue"), r("title"))).drop("_venue")
+    base = T.with_event_key(base, "title", "normalized_venue", F.col("start_date"), "dedup_key")
     return base.withColumns({
         "normalized_title": T.plain_title("title"),
         "poster_url": L.https_image(r("posterUrl")),
@@ -86,7 +89,6 @@ def normalise_records(records: DataFrame, as_of: str, record: str = "record") ->
         "description": T.strip(r("description")),
         "status": F.coalesce(r("status"), F.lit("upcoming")),
         "inferred_status": D.infer_status(F.col("start_date"), F.col("end_date"), F.col("ticket_open_date"), D.at(as_of)),
-        "dedup_key": T.event_key("title", "normalized_venue", F.col("start_date")),
     }).drop(record)
 
 
