@@ -52,8 +52,9 @@ def moment(c: Column | str) -> Column:
 
 
 def at(as_of: str) -> Column:
-    """An explicit clock reading, as UTC."""
-    return F.lit(as_of if as_of.endswith("Z") or "+" in as_of else as_of + "Z").cast("timestamp")
+    """An explicit clock reading, as UTC; a bare date is its midnight."""
+    text = as_of + "T00:00:00" if len(as_of) == 10 else as_of
+    return F.lit(text if text.endswith("Z") or "+" in text else text + "Z").cast("timestamp")
 
 
 def days_between(later: Column, earlier: Column) -> Column:
