@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -119,9 +119,9 @@ def unpin(events: DataFrame, ids: DataFrame) -> DataFrame:
 
 def edit_fields(events: DataFrame, edits: DataFrame, editable: list[str]) -> DataFrame:
     """Apply (id, field, value) edits; empty text clears, and each edited field is locked."""
-    allowed = edits.filter(F.col("field").isin(editable))
+    allowed = edits.filter(F.col("field").isin(editable)).groupBy("id", "field").agg(F.max("value").alias("value"))
     wide = allowed.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_v")  # at most one per field
+        F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_v")  # one entry per editable field
     )
     state = events.join(wide, "id", "left")
     for f in editable:
@@ -250,8 +250,6 @@ def structure_alarms(jobs: DataFrame, key: str = "source_name", order: str = "fi
     A run restarts after every crawl that found something. Histories are ordered per source; the
     position of the last success is a running maximum, so nothing is collected.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy(order, tie)
     n = F.row_number().over(w)
     rows = jobs.withColumn("_n", n)

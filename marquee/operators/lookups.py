@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -139,12 +139,11 @@ def event_artist_rows(lineups: DataFrame, matches: DataFrame) -> DataFrame:
     one = hit.groupBy("event_id", "artist_id").agg(
         F.min(F.struct("pos", "raw_name", "source_name")).alias("r")
     )
-    listed = one.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("r.pos", "artist_id", "r.raw_name", "r.source_name"))).alias("acts"))
-    acts = listed.select("event_id", F.posexplode("acts").alias("i", "a"))
-    return acts.select(
-        "event_id", "a.artist_id", F.col("a.raw_name").alias("artist_name"),
-        F.when(F.col("i") == 0, "primary").otherwise("lineup").alias("role"),
-        (F.col("i") + 1).alias("display_order"), "a.source_name",
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy("r.pos"))
+    return one.withColumn("display_order", place).select(
+        "event_id", "artist_id", F.col("r.raw_name").alias("artist_name"),
+        F.when(F.col("display_order") == 1, "primary").otherwise("lineup").alias("role"),
+        "display_order", "r.source_name",
     )
 
 

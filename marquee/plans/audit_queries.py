@@ -128,7 +128,7 @@ def user_stats(r: Roles):
         "r_events r_event_artists",
         """SELECT count(*) AS total, count(*) FILTER (bare) AS without_column, count(*) FILTER (linked) AS with_edges,
              count(*) FILTER (bare AND linked) AS only_edges, count(*) FILTER (bare AND NOT linked) AS unlinked,
-             floor(count(*) FILTER (bare) * 100 / count(*) + 0.5) AS without_pct
+             CAST(floor(count(*) FILTER (bare) * 100 / count(*) + 0.5) AS BIGINT) AS without_pct
            FROM (SELECT genre IN ('PROMO', 'SMALL') AS bare, id IN (SELECT event_id FROM r_event_artists) AS linked FROM r_events)""",
     ),
 )

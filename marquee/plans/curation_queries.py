@@ -81,14 +81,15 @@ def bulk_status(r: Roles):
 
 @query(
     "edited_fields",
-    with_roles("r_events", "SELECT id, CASE WHEN id % 2 = 0 THEN 'edited ' || id ELSE title END AS title, CASE WHEN id % 2 = 1 THEN genre END AS genre, 2 * (1 - id % 2) AS n_locks FROM r_events"),
+    with_roles("r_events", """SELECT id, CASE WHEN has_timetable THEN 'edited ' || id ELSE title END AS title,
+        CASE WHEN NOT has_timetable THEN genre END AS genre, CASE WHEN has_timetable THEN 2 ELSE 0 END AS n_locks FROM r_events"""),
 )
 def edited_fields(r: Roles):
+    """Events with a timetable get a new title and lose their genre."""
     events = r.events.withColumn("locked_fields", F.array().cast("array<string>"))
-    even = events.filter(F.col("id") % 2 == 0)
-    edits = even.select("id", F.lit("title").alias("field"), F.concat(F.lit("edited "), F.col("id").cast("string")).alias("value")).unionByName(
-        even.select("id", F.lit("genre").alias("field"), F.lit("").alias("value"))
-    )
+    title = F.struct(F.lit("title").alias("field"), F.concat(F.lit("edited "), F.col("id").cast("string")).alias("value"))
+    genre = F.struct(F.lit("genre").alias("field"), F.lit("").alias("value"))
+    edits = events.filter("has_timetable").select("id", F.explode(F.array(title, genre)).alias("e")).select("id", "e.*")
     out = LC.edit_fields(events, edits, ["title", "genre"])
     return out.select("id", "title", "genre", F.size("locked_fields").alias("n_locks"))
 
@@ -188,7 +189,7 @@ def zero_runs(r: Roles):
 
 @query(
     "run_history",
-    """SELECT user_id AS run, list_sort(list_distinct(coalesce(list('s' || event_id % 8) FILTER (event_type = 'error'), []))) AS failed_steps, count(*) AS step_count,
+    """SELECT user_id AS run, coalesce(array_to_string(list_sort(list_distinct(list('s' || event_id % 8) FILTER (event_type = 'error'))), ';'), '') AS failed_steps, count(*) AS step_count,
          CASE WHEN count(*) FILTER (value > 100) > 0 THEN 'failed' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'partial' ELSE 'done' END AS status FROM events GROUP BY 1""",
 )
 def run_history(r: Roles):
@@ -196,7 +197,7 @@ def run_history(r: Roles):
         F.col("user_id").alias("run"), F.concat(F.lit("s"), (F.col("event_id") % 8).cast("string")).alias("step_name"),
         F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"), F.when(F.col("value") > 100, "broke").alias("run_error"),
     )
-    return LC.run_status(steps, ["run"])
+    return LC.run_status(steps, ["run"]).withColumn("failed_steps", F.array_join("failed_steps", ";"))
 
 
 @query(

@@ -119,7 +119,7 @@ def sale_windows(r: Roles):
 
 @query(
     "ld_events",
-    """SELECT s_suppkey AS page_id, s_name AS title, n_name AS venue_name, [s_name, n_name] AS performers FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
+    """SELECT s_suppkey AS page_id, s_name AS title, n_name AS venue_name, s_name || ';' || n_name AS performers FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
 )
 def ld_events(r: Roles):
     nations = r.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
@@ -127,7 +127,7 @@ def ld_events(r: Roles):
     body = F.struct(F.col("s_name").alias("name"), F.struct(F.col("n_name").alias("name")).alias("location"), F.array(act("s_name"), act("n_name")).alias("performer"))
     page = F.concat(F.lit('<html><script type="application/ld+json">'), F.to_json(body), F.lit("</script></html>"))
     rows = r.table("supplier").join(nations, "s_nationkey").select(F.col("s_suppkey").alias("page_id"), page.alias("html"))
-    return P.ld_events(rows).select("page_id", "title", "venue_name", "performers")
+    return P.ld_events(rows).select("page_id", "title", "venue_name", F.array_join("performers", ";").alias("performers"))
 
 
 @query(
@@ -242,18 +242,22 @@ def stage_overlaps(r: Roles):
 
 
 def timetable_texts(r: Roles) -> DataFrame:
-    """One text per user: a line with stage and time, then a line with the act, for every event."""
+    """One text per event: its day, a line with stage and time, a line with the act."""
     hhmm = lambda c: F.format_string("%02d:%02d", F.floor(c / 60), c % 60)
-    line = F.concat(F.upper("stage"), F.lit(" "), hhmm(F.col("s")), F.lit(" ~ "), hhmm(F.col("e")), F.lit("\nact "), F.col("id").cast("string"))
-    usable = slots(r).filter("s < e")
-    texts = usable.groupBy(F.col("user_id").alias("event_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
-    return texts.select("event_id", "text", F.lit("2024-01-01").cast("date").alias("start_date"), F.lit("live").alias("genre"))
+    text = F.concat(
+        F.lit("DAY "), F.dayofmonth("day").cast("string"), F.lit("\n"), F.upper("stage"), F.lit(" "), hhmm(F.col("s")), F.lit(" ~ "),
+        hhmm(F.col("e")), F.lit("\nact "), F.col("id").cast("string"),
+    )
+    return spread(slots(r)).select(
+        F.col("id").alias("event_id"), text.alias("text"), F.lit("2024-01-01").cast("date").alias("start_date"), F.lit("live").alias("genre")
+    )
 
 
 @query(
     "parsed_timetables",
-    f"""WITH {TIMETABLE_SQL} SELECT user_id AS event_id, 'act ' || id AS artist_name, upper(stage) AS stage_name, 1 AS day_number, '2024.01.01' AS date_string,
-          printf('%02d:%02d', s // 60, s % 60) AS start_time, printf('%02d:%02d', e // 60, e % 60) AS end_time, 'live' AS genre FROM slots WHERE s < e""",
+    f"""WITH {TIMETABLE_SQL} SELECT id AS event_id, 'act ' || id AS artist_name, upper(stage) AS stage_name, day(day) AS day_number,
+          strftime(day, '%Y.%m.%d') AS date_string, printf('%02d:%02d', s // 60, s % 60) AS start_time, printf('%02d:%02d', e // 60, e % 60) AS end_time,
+          'live' AS genre FROM slots WHERE s < e""",
 )
 def parsed_timetables(r: Roles):
     from ..operators.timetable import parse_timetable
@@ -262,15 +266,12 @@ def parsed_timetables(r: Roles):
     return rows.drop("pos")
 
 
-@query(
-    "timetable_lines",
-    f"""WITH {TIMETABLE_SQL} SELECT user_id AS event_id, 2 * count(*) + 2 AS n_lines FROM slots WHERE s < e GROUP BY 1""",
-)
+@query("timetable_lines", f"""WITH {TIMETABLE_SQL} SELECT id AS event_id, 5 AS n_lines FROM slots""")
 def timetable_lines(r: Roles):
-    """Lines kept of pages that end in a dozen lines without any bearing on the timetable."""
+    """Lines kept of pages that begin and end in lines without any bearing on the timetable."""
     filler = F.array_join(F.array_repeat(F.lit("notice"), 12), "\n")
-    html = timetable_texts(r).select("event_id", F.concat(F.lit("<body>"), "text", F.lit("\n"), filler, F.lit("</body>")).alias("html"))
-    kept = P.timetable_lines(P.page_lines(html, "event_id"), "event_id")
+    html = F.concat(F.lit("<body>"), filler, F.lit("\n"), "text", F.lit("\n"), filler, F.lit("</body>"))
+    kept = P.timetable_lines(P.page_lines(timetable_texts(r).select("event_id", html.alias("html")), "event_id"), "event_id")
     return kept.groupBy("event_id").agg(F.count("*").alias("n_lines"))
 
 

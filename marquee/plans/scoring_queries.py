@@ -39,7 +39,12 @@ ARTIST_ROLES = "r_events r_artists r_event_artists r_followings r_interested r_r
 
 
 def _pct(column: str) -> str:
-    return f"(rank() OVER (ORDER BY {column}) - 1) / (SELECT count(*) FROM base) * 100"
+    """Share strictly below, or log min-max in a population of fewer than twenty."""
+    low, high = f"ln(1 + min({column}) OVER ())", f"ln(1 + max({column}) OVER ())"
+    return f"""CASE WHEN (SELECT count(*) FROM base) >= {V.MIN_POPULATION}
+      THEN (rank() OVER (ORDER BY {column}) - 1) / (SELECT count(*) FROM base) * 100
+      WHEN max({column}) OVER () > min({column}) OVER ()
+      THEN least(greatest((ln(1 + {column}) - {low}) / ({high} - {low}) * 100, 0), 100) ELSE 0 END"""
 
 
 def _weights(signals) -> dict[str, float]:
@@ -199,8 +204,8 @@ def artist_popularity(r: Roles):
     "event_popularity",
     with_roles(
         EVENT_ROLES,
-        """SELECT id, popularity_score, artist_influence, ticket_demand, event_scale, community_attention, freshness
-           FROM event_scores""",
+        """SELECT id, popularity_score, artist_influence, CAST(ticket_demand AS DOUBLE) AS ticket_demand, CAST(event_scale AS DOUBLE) AS event_scale,
+             CAST(community_attention AS DOUBLE) AS community_attention, CAST(freshness AS DOUBLE) AS freshness FROM event_scores""",
         EVENT_SCORE_SQL,
     ),
 )

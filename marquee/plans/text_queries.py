@@ -113,7 +113,7 @@ def title_forms(r: Roles):
         SELECT r.id, CASE WHEN r.id % 3 = 0 THEN '밴드' || r.id WHEN r.id % 3 = 1 THEN name ELSE raw END AS display_name,
           CASE WHEN r.id % 3 = 0 THEN name END AS name_en,
           CASE WHEN r.id % 3 = 0 THEN 2 WHEN r.id % 3 = 1 THEN 2 ELSE 0 END AS n_aliases
-        FROM raw r JOIN bands b ON b.id = r.id WHERE b.name NOT LIKE '%[%'""",
+        FROM raw r JOIN bands b ON b.id = r.id""",
 )
 def structured_names(r: Roles):
     key = F.col("id")
@@ -121,19 +121,19 @@ def structured_names(r: Roles):
         F.when(key % 3 == 0, F.concat(F.lit("밴드"), key.cast("string"), F.lit("("), "name", F.lit(")")))
         .when(key % 3 == 1, F.concat("name", F.lit(" 밴드"))).otherwise(F.col("name"))
     )
-    rows = bands(r).filter(~F.contains("name", F.lit("["))).select("id", T.structured_name(raw).alias("s"))
+    rows = bands(r).select("id", T.structured_name(raw).alias("s"))
     return rows.select("id", "s.display_name", "s.name_en", F.size("s.aliases").alias("n_aliases"))
 
 
 @query(
     "joined_records",
-    """SELECT a.s_suppkey AS id, [a.s_name, b.s_name] AS parts FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1""",
+    """SELECT a.s_suppkey AS id, a.s_name || ';' || b.s_name AS parts FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1""",
 )
 def joined_records(r: Roles):
     acts = r.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("a"))
     both = acts.join(acts.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id")
     joint = F.when(F.col("id") % 2 == 0, F.lit(" X ")).otherwise(F.lit(" feat. "))
-    return MA.joined_records(both.select("id", F.concat("a", joint, "b").alias("name"))).select("id", "parts")
+    return MA.joined_records(both.select("id", F.concat("a", joint, "b").alias("name"))).select("id", F.array_join("parts", ";").alias("parts"))
 
 
 @query(
@@ -203,10 +203,10 @@ def parsed_dates(r: Roles):
     with_roles(
         "r_events",
         """SELECT id, status, date_diff('day', start_date, end_date) + 1 AS n_days, end_date AS last_day,
-             CASE WHEN status = 'ended' THEN 0 WHEN d < 0 THEN 70 WHEN d <= 14 THEN 100 WHEN d <= 30 THEN 80 WHEN d <= 60 THEN 60
-               WHEN d <= 120 THEN 40 ELSE 20 END AS freshness,
+             CAST(CASE WHEN status = 'ended' THEN 0 WHEN d < 0 THEN 70 WHEN d <= 14 THEN 100 WHEN d <= 30 THEN 80 WHEN d <= 60 THEN 60
+               WHEN d <= 120 THEN 40 ELSE 20 END AS DOUBLE) AS freshness,
              CASE WHEN end_date < DATE '2024-01-20' THEN 'ended' WHEN start_date <= DATE '2024-01-20' THEN 'on_sale' ELSE 'upcoming' END AS legacy_status,
-             CASE WHEN d < 0 THEN 0.7 WHEN d <= 14 THEN 1 WHEN d <= 30 THEN 0.8 ELSE 0.65 END AS freshness_norm
+             CAST(CASE WHEN d < 0 THEN 0.7 WHEN d <= 14 THEN 1 WHEN d <= 30 THEN 0.8 ELSE 0.65 END AS DOUBLE) AS freshness_norm
            FROM (SELECT *, date_diff('day', DATE '2024-01-20', start_date) AS d FROM r_events)""",
     ),
 )
@@ -307,78 +307,81 @@ def page_plain_text(r: Roles):
 # --- JSON and arrays ---------------------------------------------------------------------
 @query(
     "payload_names",
-    """SELECT l_orderkey AS id, list_sort(list_distinct(list(s_name))) AS names FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""",
+    """SELECT l_orderkey, l_linenumber, l_partkey, s_name || ';' || l_returnflag AS names FROM lineitem JOIN supplier ON s_suppkey = l_suppkey""",
 )
 def payload_names(r: Roles):
+    """Crawled name lists with white space, repeats, empty names and things that are no names."""
     acts = r.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    lists = r.table("lineitem").join(acts, "l_suppkey").groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.to_json(F.struct(F.collect_list(F.concat(F.lit(" "), "s_name")).alias("artists"))).alias("json")
-    )  # one list per order, as crawled
-    return lists.select("id", F.array_sort(K.candidate_names(F.col("json"))).alias("names"))
+    text = F.concat(
+        F.lit('{"artists":[" '), "s_name", F.lit('","'), "s_name", F.lit('","",'), F.col("l_linenumber").cast("string"),
+        F.lit(',{"a":1},"'), "l_returnflag", F.lit('"]}'),
+    )
+    rows = spread(r.table("lineitem")).join(acts, "l_suppkey")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(K.candidate_names(text), ";").alias("names"))
 
 
 @query(
     "merged_sources",
-    """SELECT l_orderkey AS id, count(DISTINCT l_returnflag) AS n_sites, max(l_returnflag) AS last_site FROM lineitem GROUP BY 1""",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = l_linestatus THEN 1 ELSE 2 END AS n_sites, l_returnflag AS last_site FROM lineitem""",
 )
 def merged_sources(r: Roles):
-    per_order = r.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.collect_list(F.struct(F.col("l_returnflag").alias("site"), F.lit("u").alias("url"))).alias("urls"),
-        F.max("l_returnflag").alias("late"),
-    )
-    stamp = K.stamp_sources(
-        F.create_map(F.lit("title"), F.struct(F.lit("old").alias("source"), D.at(AS_OF).alias("at"))),
-        F.array(F.lit("title")), F.col("late"), D.at(AS_OF),
+    link = lambda c: F.struct(F.col(c).alias("site"), F.lit("u").alias("url"))
+    old = F.create_map(F.lit("title"), F.struct(F.lit("old").alias("source"), D.at(AS_OF).alias("at")))
+    stamp = K.stamp_sources(old, F.array(F.lit("title")), F.col("l_returnflag"), D.at(AS_OF))
+    sites = K.distinct_sites(F.array(link("l_returnflag"), link("l_linestatus"), link("l_returnflag")))
+    return r.table("lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.size(sites).alias("n_sites"), stamp["title"]["source"].alias("last_site")
     )
-    return per_order.select("id", F.size(K.distinct_sites(F.col("urls"))).cast("long").alias("n_sites"), stamp["title"]["source"].alias("last_site"))
 
 
 @query(
     "child_lists",
-    """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN ['a'] WHEN 1 THEN [] ELSE [c_mktsegment] END AS albums FROM customer""",
+    """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN '' ELSE c_mktsegment END AS albums FROM customer""",
 )
 def child_lists(r: Roles):
     key = F.col("c_custkey")
     new = F.when(key % 3 == 1, F.array().cast("array<string>")).when(key % 3 == 2, F.array("c_mktsegment"))
-    return r.table("customer").select(key.alias("id"), K.replaced_children(F.array(F.lit("a")), new).alias("albums"))
+    return r.table("customer").select(key.alias("id"), F.array_join(K.replaced_children(F.array(F.lit("a")), new), ";").alias("albums"))
 
 
 # --- validation --------------------------------------------------------------------------
 @query(
     "event_rules",
-    """SELECT doc_id, list_filter([CASE WHEN length(text) < 2 THEN 'title: too short' END, CASE WHEN length(text) > 300 THEN 'title: too long' END,
+    """SELECT doc_id, array_to_string(list_filter([CASE WHEN length(text) < 2 THEN 'title: too short' END, CASE WHEN length(text) > 300 THEN 'title: too long' END,
          CASE WHEN regexp_matches(text, '(?i)https?://|www\\.') THEN 'title: has a URL' END, CASE WHEN trim(text) = '' THEN 'title: blank' END,
-         CASE WHEN lang NOT IN ('en', 'fr') THEN 'status: unknown' END], lambda x: x IS NOT NULL) AS errors FROM documents""",
+         CASE WHEN lang NOT IN ('en', 'fr') THEN 'status: unknown' END], lambda x: x IS NOT NULL), ';') AS errors FROM documents""",
 )
 def event_rules(r: Roles):
     status = F.when(F.col("lang").isin("en", "fr"), "upcoming").otherwise(F.col("lang"))
     none = F.lit(None).cast("string")
     errors = V.event_errors(F.col("text"), none, none, status, F.lit("k"), F.col("source"))
-    return r.table("documents").select("doc_id", errors.alias("errors"))
+    return r.table("documents").select("doc_id", F.array_join(errors, ";").alias("errors"))
 
 
 @query(
     "artist_rules",
-    """SELECT item_id, list_filter([CASE WHEN length(text) > 100 THEN 'name: too long' END, CASE WHEN regexp_matches(text, '(?i)https?://|www\\.') THEN 'name: has a URL' END,
-         CASE WHEN contains(text, '/') THEN 'name: has a slash' END], lambda x: x IS NOT NULL) AS errors,
-         list_filter([CASE WHEN length(text) > 100 THEN 'name: too long' END], lambda x: x IS NOT NULL) AS legacy_errors FROM benchmark""",
+    """SELECT item_id, array_to_string(list_filter([CASE WHEN length(text) > 100 THEN 'name: too long' END, CASE WHEN regexp_matches(text, '(?i)https?://|www\\.') THEN 'name: has a URL' END,
+         CASE WHEN contains(text, '/') THEN 'name: has a slash' END], lambda x: x IS NOT NULL), ';') AS errors,
+         CASE WHEN length(text) > 100 THEN 'name: too long' ELSE '' END AS legacy_errors FROM benchmark""",
 )
 def artist_rules(r: Roles):
     none = F.lit(None).cast("string")
     return r.table("benchmark").select(
-        "item_id", V.artist_errors(F.col("text"), none).alias("errors"), V.legacy_artist_errors(F.col("text"), none).alias("legacy_errors")
+        "item_id", F.array_join(V.artist_errors(F.col("text"), none), ";").alias("errors"),
+        F.array_join(V.legacy_artist_errors(F.col("text"), none), ";").alias("legacy_errors"),
     )
 
 
 @query(
     "venue_rules",
-    """SELECT page_id, list_filter([CASE WHEN length(url) > 200 THEN 'name: too long' END, 'name: has a URL'], lambda x: x IS NOT NULL) AS errors,
-         [CASE WHEN length(url) > 200 THEN 'name: too long' ELSE 'name: has a URL' END] AS legacy_errors FROM pages""",
+    """SELECT page_id, CASE WHEN length(url) > 200 THEN 'name: too long;' ELSE '' END || 'name: has a URL' AS errors,
+         CASE WHEN length(url) > 200 THEN 'name: too long' ELSE 'name: has a URL' END AS legacy_errors FROM pages""",
 )
 def venue_rules(r: Roles):
     none = F.lit(None).cast("string")
     return r.table("pages").select(
-        "page_id", V.venue_errors(F.col("url"), none).alias("errors"), V.legacy_venue_errors(F.col("url"), none).alias("legacy_errors")
+        "page_id", F.array_join(V.venue_errors(F.col("url"), none), ";").alias("errors"),
+        F.array_join(V.legacy_venue_errors(F.col("url"), none), ";").alias("legacy_errors"),
     )
 
 
