@@ -136,24 +136,29 @@ def shown_titles(r: Roles) -> DataFrame:
     return parts.unionByName(r.table("pages").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("title")))
 
 
-@query(
-    "titles_naming_artists",
-    f"""WITH {ACTS_SQL},
-        a AS (SELECT *, regexp_replace(lower(name), '[\\s\\-_·•]', '', 'g') AS norm FROM acts),
-        u AS (SELECT norm, first(id ORDER BY length(name) DESC, name, id) AS id, first(name ORDER BY length(name) DESC, name, id) AS name
-          FROM a WHERE length(norm) >= 2 GROUP BY 1),
-        s AS (SELECT *, regexp_replace(lower(title), '[\\s\\-_·•]', '', 'g') AS norm FROM shows),
-        hit AS (SELECT s.id AS event_id, u.id AS artist_id, u.name AS artist_name FROM s JOIN u ON
-          CASE WHEN length(u.norm) > 3 THEN contains(s.norm, u.norm)
-          ELSE regexp_matches(lower(s.title), '(^|[^a-z가-힣])' || lower(u.name) || '([^a-z가-힣]|$)') END)
-        SELECT event_id, first(artist_id ORDER BY length(artist_name) DESC, artist_name, artist_id) AS artist_id,
-          first(artist_name ORDER BY length(artist_name) DESC, artist_name, artist_id) AS artist_name FROM hit GROUP BY 1""",
-)
+NAMED_SQL = ACTS_SQL + """,
+  a AS (SELECT *, regexp_replace(lower(name), '[\\s\\-_·•]', '', 'g') AS norm FROM acts),
+  u AS (SELECT norm, first(id ORDER BY length(name) DESC, name, id) AS id, first(name ORDER BY length(name) DESC, name, id) AS name
+    FROM a WHERE length(norm) >= 2 GROUP BY 1),
+  s AS (SELECT *, regexp_replace(lower(title), '[\\s\\-_·•]', '', 'g') AS norm FROM shows),
+  hit AS (SELECT s.id AS event_id, u.id AS artist_id, u.name AS artist_name FROM s JOIN u ON
+    CASE WHEN length(u.norm) > 3 THEN contains(s.norm, u.norm)
+    ELSE regexp_matches(lower(s.title), '(^|[^a-z가-힣])' || lower(u.name) || '([^a-z가-힣]|$)') END),
+  named AS (SELECT event_id, first(artist_id ORDER BY length(artist_name) DESC, artist_name, artist_id) AS artist_id,
+    first(artist_name ORDER BY length(artist_name) DESC, artist_name, artist_id) AS artist_name FROM hit GROUP BY 1)"""
+
+
+@query("titles_naming_artists", f"WITH {NAMED_SQL} SELECT * FROM named")
 def titles_naming_artists(r: Roles):
     return LK.titles_naming_artists(shown_titles(r), named_acts(r))
 
 
-@query("event_link_status")
+@query(
+    "event_link_status",
+    f"""WITH {NAMED_SQL}, m AS (SELECT id, regexp_matches(title, '(?i)festival|fest[''’\\s]|line[\\s-]?up|pre[\\s-]?sale|premium\\s?pass|conference|expo') AS multi FROM shows)
+        SELECT id, CASE WHEN multi THEN 'multi_artist' WHEN artist_id IS NOT NULL THEN 'linked' ELSE 'no_artist' END AS artist_link_status,
+          CASE WHEN NOT multi THEN artist_id END AS artist_id FROM m LEFT JOIN named ON event_id = id""",
+)
 def event_link_status(r: Roles):
     shows = shown_titles(r).withColumn("artist_id", F.lit(None).cast("string"))
     return LK.link_status(shows, named_acts(r))
@@ -273,7 +278,17 @@ def event_review_groups(r: Roles):
     return ME.review_groups(catalog(r))
 
 
-@query("event_review_contained")
+@query(
+    "event_review_contained",
+    with_roles(
+        "r_events r_event_artists",
+        """, c AS (SELECT DISTINCT artist_id, venue_id, regexp_replace(lower(CASE WHEN genre = 'PROMO' THEN title || ' ' || genre ELSE title END), '[^a-z0-9]', '', 'g') AS k
+             FROM catalog WHERE artist_id IS NOT NULL)
+           SELECT a.artist_id, a.k AS short, b.k AS long, a.venue_id AS short_venue, b.venue_id AS long_venue, 'same_artist_similar' AS reason, 0.75e0 AS similarity
+           FROM c a JOIN c b ON a.artist_id = b.artist_id AND a.venue_id = b.venue_id AND length(a.k) >= 7 AND length(a.k) < length(b.k) AND contains(b.k, a.k)""",
+        CATALOG_SQL,
+    ),
+)
 def event_review_contained(r: Roles):
     longer = F.when(F.col("genre") == "PROMO", F.concat("title", F.lit(" "), "genre")).otherwise(F.col("title"))
     return ME.review_contained(catalog(r).withColumn("title", longer))

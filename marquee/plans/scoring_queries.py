@@ -215,9 +215,28 @@ def event_popularity(r: Roles):
     return scored_events(r).select("id", "popularity_score", *[c.alias(k) for k, c in raw.items()])
 
 
-@query("event_score_breakdown")
+def _signal_sql(n: int, key: str, method: str) -> str:
+    weight = f"{_EW[key]!r}e0"
+    return f"""SELECT id, '{key}' AS key, floor(CAST({key} AS DOUBLE) * 100 + 0.5) / 100 AS raw, floor(n{n} * 100 + 0.5) / 100 AS normalized, {method} AS method,
+      floor({weight} * 100 + 0.5) / 100 AS weight, floor(n{n} * {weight} * 100 + 0.5) / 100 AS contribution FROM event_norm"""
+
+
+_RANKED = f"CASE WHEN (SELECT count(*) FROM event_norm) >= {V.MIN_POPULATION} THEN 'percentile' ELSE 'log_min_max' END"
+
+
+@query(
+    "event_score_breakdown",
+    with_roles(
+        EVENT_ROLES,
+        " UNION ALL ".join(
+            _signal_sql(i, k, "'min_max'" if k in V.BOUNDED_SIGNALS else _RANKED) for i, (k, _, _) in enumerate(V.EVENT_SIGNALS, start=1)
+        ),
+        EVENT_SCORE_SQL,
+    ),
+)
 def event_score_breakdown(r: Roles):
-    return scored_events(r).select("id", F.explode("score_breakdown.signals").alias("s")).select("id", "s.*")
+    rows = scored_events(r).select("id", F.explode("score_breakdown.signals").alias("s"))
+    return rows.select("id", "s.key", "s.raw", "s.normalized", "s.method", "s.weight", "s.contribution")
 
 
 @query(
