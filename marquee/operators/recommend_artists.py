@@ -187,8 +187,9 @@ def artist_recommendations(
 def cold_start(users: DataFrame, followings: DataFrame, popular: DataFrame) -> DataFrame:
     """Users who follow nobody get the popular list; it is a page, so it joins as a fixed few rows."""
     lonely = users.join(followings.select(F.col("user_id").alias("id")), "id", "left_anti")
-    listed = popular.select(F.lit(1).alias("_k"), "rank", F.col("id").alias("artist_id"), "name")
-    return lonely.select(F.col("id").alias("user_id"), F.lit(1).alias("_k")).join(F.broadcast(listed), "_k").select(
+    places = F.explode(F.sequence(F.lit(1), popular.agg(F.max("rank")).scalar()))
+    listed = popular.select("rank", F.col("id").alias("artist_id"), "name")
+    return lonely.select(F.col("id").alias("user_id"), places.alias("rank")).join(F.broadcast(listed), "rank").select(
         "user_id", "rank", "artist_id", "name", F.lit(0.0).alias("score"),
         F.array(F.lit("지금 인기 있는 아티스트")).alias("reasons"),
     )

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.dates import at, freshness_norm
 from ..functions.maths import clamp01, round0, round2, round4, trending_norm
 from ..session import cut_lineage
-from .listing import top_per_group
+from .listing import has_more, top_per_group, top_ranked
 
 _H, _R = V.HOMEPAGE_WEIGHTS, V.RECOMMENDATION_WEIGHTS
 _GENRE_ONLY = _R["similar"] * 0.6 + _R["behavior"] * 0.5
@@ -69,9 +69,9 @@ def event_recommendations(
     )
 
     order = [("base", False)]
-    best = candidates.orderBy(F.desc("base"), "event_id").limit(depth)
-    best = cut_lineage(best.select(F.lit(1).alias("_k"), "event_id", "base"))
-    for_all = users.select(F.col("id").alias("user_id"), F.lit(1).alias("_k")).join(F.broadcast(best), "_k")
+    best = cut_lineage(top_ranked(candidates, order, "event_id", depth).select("rank", "event_id", "base"))
+    places = F.explode(F.sequence(F.lit(1), F.lit(depth)))
+    for_all = users.select(F.col("id").alias("user_id"), places.alias("rank")).join(F.broadcast(best), "rank")
     by_genre = top_per_group(
         candidates.withColumn("base", _final(F.lit(_GENRE_ONLY))).filter(F.col("genre").isNotNull()),
         ["genre"], order, "event_id", depth,
@@ -79,10 +79,8 @@ def event_recommendations(
     for_genre = genres.join(by_genre, "genre").select("user_id", "event_id")
 
     # events that could still enter a list if everything matched
-    bar = best.agg(F.min("base").alias("bar"), F.count("*").alias("n")).select(F.lit(1).alias("_k"), "bar", "n")
-    ceiling = _final(F.lit(1.0))
-    reach = candidates.withColumn("_k", F.lit(1)).join(F.broadcast(bar), "_k")
-    reach = reach.filter((F.col("n") < depth) | (ceiling >= F.col("bar"))).select("event_id")
+    bar = best.agg(F.when(F.count("*") >= depth, F.min("base")).otherwise(0.0)).scalar()
+    reach = candidates.filter(_final(F.lit(1.0)) >= bar).select("event_id")
     acts = cut_lineage(lineup.join(reach, "event_id", "left_semi"))
     billing = lineup.groupBy("event_id").agg(F.min("display_order").alias("first"), F.count("*").alias("n_acts"))
     followed = follows.join(acts, "artist_id").select("user_id", "event_id", F.lit("followed").alias("kind"), "display_order")
@@ -125,7 +123,7 @@ def event_recommendations(
     ).withColumn("final_score", _final(F.col("recommendation")))
     page = top_per_group(rows, ["user_id"], [("final_score", False)], "event_id", depth)
     page = page.filter(F.col("rank") > offset)
-    total = candidates.agg(F.count("*").alias("n_open")).select(F.lit(1).alias("_k"), "n_open")
+    n_open = candidates.agg(F.count("*")).scalar()
     hot = F.col("trending_score") > 110
     alike = (n_followed == 0) & (yes("genre_hit") | yes("artist_hit"))
     first_reasons = F.array_compact(F.array(
@@ -134,11 +132,11 @@ def event_recommendations(
         F.when(alike, F.lit("회원님이 관심 등록한 공연과 비슷해요")),
     ))
     reasons = F.when((F.size(first_reasons) == 0) & (F.col("popularity") >= 0.5), F.array(F.lit("지금 인기 있는 공연"))).otherwise(first_reasons)
-    return page.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").select(
+    return page.select(
         "user_id", "rank", "event_id", "title", "final_score",
         round2(F.col("popularity")).alias("popularity"), round2(F.col("trending")).alias("trending"),
         round2(F.col("recommendation")).alias("recommendation"), round2(F.col("freshness")).alias("freshness"),
         round2(F.col("favorite")).alias("favorite_match"), round2(F.col("similar")).alias("similar_match"),
         round2(F.col("behavior")).alias("behavior_match"), reasons.alias("reasons"),
-        (F.lit(depth) < F.col("n_open")).alias("has_more"),
+        has_more(offset, limit, n_open).alias("has_more"),
     )
