@@ -143,14 +143,13 @@ def artist_recommendations(
         label_users, label_matches, label_members.select("label", "genres", "stages", "artist_id", "place"), ["label"], limit
     )
 
-    pairs = by_trait.unionByName(by_label).unionByName(beside.select("user_id", "artist_id")).distinct()
-    pairs = pairs.join(follows, ["user_id", "artist_id"], "left_anti")
+    picked = by_trait.unionByName(by_label).distinct().join(follows, ["user_id", "artist_id"], "left_anti")
 
-    # full score of every candidate
+    # full score of every candidate; one full join brings both sides together
+    pairs = beside.withColumnRenamed("event_id", "first_event").join(picked, ["user_id", "artist_id"], "full")
     flags = user_labels.withColumn("same_agency", F.lit(1))
     rows = (
         pairs.join(acts, "artist_id").join(users.drop("n_follows"), "user_id")
-        .join(beside.withColumnRenamed("event_id", "first_event"), ["user_id", "artist_id"], "left")
         .join(flags, ["user_id", "label"], "left")
     )
     hot_shared = F.array_intersect("hot", "stages")
