@@ -153,25 +153,27 @@ def artist_recommendations(
         .join(flags, ["user_id", "label"], "left")
     )
     hot_shared = F.array_intersect("hot", "stages")
-    rows = rows.withColumns({
-        "shared": F.coalesce("shared", F.lit(0)) + F.size(hot_shared),
-        "agency": F.coalesce("same_agency", F.lit(0)),
-        "matched_genres": F.array_intersect("liked", "genres"),
-        "first_event": F.coalesce(F.col("first_event").cast("string"), F.array_min(hot_shared)),
-    })
+    ge = clamp01(F.size(F.array_intersect("liked", "genres")) / F.greatest(F.lit(1), F.size("liked")))
+    rows = rows.select(
+        "user_id", "artist_id", "popularity_score",
+        (F.coalesce("shared", F.lit(0)) + F.size(hot_shared)).alias("shared"),
+        F.coalesce("same_agency", F.lit(0)).alias("agency"), ge.alias("ge"),
+        F.coalesce(F.col("first_event").cast("string"), F.array_min(hot_shared)).alias("first_event"),
+    )
     if max_candidates is not None:
         strong = F.when(F.col("shared") > 0, 1).otherwise(0) + F.col("agency")
-        rows = rows.withColumn("_strong", strong).withColumn("_genres", F.size("matched_genres"))
-        rows = top_per_group(rows, ["user_id"], [("_strong", False), ("_genres", False)], "artist_id", max_candidates, "_place")
-    co = co_performer_norm(F.col("shared"))
-    ge = clamp01(F.size("matched_genres") / F.greatest(F.lit(1), F.size("liked")))
-    score = clamp01(_W["co_performer"] * co + _W["agency"] * F.col("agency") + _W["genre"] * ge)
-    rows = rows.withColumns({"co": co, "ge": ge, "score": score}).filter("score > 0").withColumn("score", round4(F.col("score")))
+        rows = rows.withColumn("_strong", strong)
+        rows = top_per_group(rows, ["user_id"], [("_strong", False), ("ge", False)], "artist_id", max_candidates, "_place")
+    rows = rows.withColumn("co", co_performer_norm(F.col("shared")))
+    score = clamp01(_W["co_performer"] * F.col("co") + _W["agency"] * F.col("agency") + _W["genre"] * F.col("ge"))
+    rows = rows.withColumn("score", score).filter("score > 0").withColumn("score", round4(F.col("score")))
     best = top_per_group(rows, ["user_id"], [("score", False), ("popularity_score", False)], "artist_id", limit)
-    # the act behind the first shared stage, looked up for the listed rows only
+    # names, genres and the act behind the first shared stage, for the listed rows only
     named = seen.unionByName(seen_hot).select("user_id", F.col("event_id").cast("string").alias("first_event"), "followed_id")
     names = artists.select(F.col("id").alias("followed_id"), F.col("name").alias("with_name"))
     best = best.join(named, ["user_id", "first_event"], "left").join(names, "followed_id", "left")
+    best = best.join(acts.select("artist_id", "name", "label", "genres"), "artist_id").join(users.select("user_id", "liked"), "user_id")
+    best = best.withColumn("matched_genres", F.array_intersect("liked", "genres"))
     reasons = F.array_compact(F.array(
         F.when(F.col("shared") > 0, F.concat(F.lit("회원님이 팔로우한 "), "with_name", F.lit("와 같은 무대에 섰어요"))),
         F.when(F.col("agency") > 0, F.concat(F.lit("같은 소속사 ("), "label", F.lit(") 아티스트예요"))),
