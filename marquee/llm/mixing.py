@@ -9,7 +9,9 @@ bracket of its root is replaced by a bisection.
 
 Rates become copies by running sums over the sizes of a source, rounded down at both ends: a document gets
 the floor or the ceiling of its rate, and as sizes only grow along the sum, a source's words differ from
-its target by at most twice its largest document.
+its target by at most twice its largest document. That rest is closed by turning floors into ceilings, or
+the other way round, from the largest size down, and by exchanges of one for one. Both look at one row per size of a source: there are at
+most sqrt(2 * words) of them.
 
 Words are runs other than white space. Weights repeat over the sources in code point order, null last.
 On the driver: one row per source, the size of the weights themselves.
@@ -22,9 +24,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from .common import WORD, Scratch, numbered
 
@@ -34,6 +36,7 @@ MOST = 2
 STEPS = 60
 UNIT = 1 << 30
 CLOSE = 1e-9
+SWAPS = 64
 
 
 def targets(sizes: dict[str | None, int], weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> dict[str | None, float]:
@@ -93,6 +96,44 @@ def tilts(sizes: DataFrame, total: dict, docs: dict, goal: dict, most: int = MOS
     return {s: (now.get(s, full.get(s, 0.0)), mean[s]) for s in total}
 
 
+def rounded(classes):
+    """How many documents of each size get the ceiling of their rate, the others getting the floor.
+
+    The running sum of rates over growing sizes, rounded down, gives the number for each size. What is then
+    left of the target is closed from the largest size down, then by exchanges that leave less.
+    """
+    classes = classes.sort_values("size")
+    sizes, counts, rates = (classes[c].tolist() for c in ("size", "n", "rate"))
+    ups, run, taken = [], 0, 0
+    for size, n, w in zip(sizes, counts, rates):
+        floor = w // UNIT
+        up = (run + n * w) // UNIT - run // UNIT - n * floor
+        run += n * w
+        ups.append(up)
+        taken += size * (n * floor + up)
+    gap = round(float(classes["target"].iloc[0])) - taken
+    sizes, counts, ups = np.array(sizes, np.int64), np.array(counts, np.int64), np.array(ups, np.int64)
+    free = (sizes > 0) & (np.array(rates, np.int64) % UNIT > 0)
+    for k in np.flatnonzero(free)[::-1].tolist():
+        change = min(int(counts[k] - ups[k]), gap // int(sizes[k])) if gap > 0 else -min(int(ups[k]), -gap // int(sizes[k]))
+        ups[k] += change
+        gap -= change * int(sizes[k])
+    for _ in range(SWAPS):  # one more document up and one less, or only one of them
+        up, down = np.flatnonzero(free & (ups < counts)), np.flatnonzero(free & (ups > 0))
+        add, cut = np.concatenate([[0], sizes[up]]), np.concatenate([[0], sizes[down]])
+        near = np.clip(np.searchsorted(cut, add - gap)[:, None] + np.array([-1, 0]), 0, len(cut) - 1)
+        left = np.abs(gap - (add[:, None] - cut[near]))
+        i, j = np.unravel_index(int(left.argmin()), left.shape)
+        if left[i, j] >= abs(gap):
+            break
+        gap -= int(add[i] - cut[near[i, j]])
+        if i:
+            ups[up[i - 1]] += 1
+        if near[i, j]:
+            ups[down[near[i, j] - 1]] -= 1
+    return classes.assign(ups=ups)[["source", "size", "source_size", "target", "rate", "ups"]]
+
+
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies for each document."""
     spark = docs.sparkSession
@@ -112,12 +153,10 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
     w = F.when(F.col("size") == 0, UNIT).when(F.col("tilt") == math.inf, most * UNIT).when(F.col("tilt") == -math.inf, 0).otherwise(
         rate(F.col("tilt"), F.col("size") / F.col("mean"), most)).cast("long")
     held = held.select("source", "size", "n", w.alias("rate"), "source_size", "target")
-    before = W.Window.partitionBy("source").orderBy("size").rowsBetween(W.Window.unboundedPreceding, -1)  # different sizes only
-    held = held.withColumn("before", F.coalesce(F.sum(F.col("n").cast("decimal(20,0)") * F.col("rate")).over(before), F.lit(0).cast("decimal(38,0)")))
-    held = held.withColumn("part", F.pmod("before", F.lit(UNIT).cast("decimal(38,0)")).cast("long")).drop("before", "n")
+    schema = "source string, size long, source_size long, target double, rate long, ups long"
+    held = held.groupBy("source").applyInPandas(rounded, schema)  # different sizes of a source only
     held = held.withColumnsRenamed({"source": "from", "size": "words"})
     joined = rows.join(held, F.col("source").eqNullSafe(F.col("from")) & (F.col("size") == F.col("words")))
-    place = F.col("part").cast("decimal(38,0)") + F.col("rank").cast("decimal(20,0)") * F.col("rate")
-    copies = F.floor((place + F.col("rate")) / UNIT) - F.floor(place / UNIT)
+    copies = F.floor(F.col("rate") / UNIT).cast("long") + F.when(F.col("rank") < F.col("ups"), 1).otherwise(0)
     return joined.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
