@@ -27,6 +27,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from .common import WORD, Scratch, numbered
 
@@ -134,12 +135,15 @@ def rounded(classes):
     return classes.assign(ups=ups)[["source", "size", "source_size", "target", "rate", "ups"]]
 
 
+def words_in(text):
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies for each document."""
+    """doc_id, size, source_size, target, taken, copies and source for each document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words_in(F.col("text")).alias("size"))
     rows = scratch.cut(numbered(rows, ["source", "size"], ["doc_id"], "rank", scratch), "ranked")
     sizes = scratch.cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     sums = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("n")).collect()
@@ -158,5 +162,18 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
     held = held.withColumnsRenamed({"source": "from", "size": "words"})
     joined = rows.join(held, F.col("source").eqNullSafe(F.col("from")) & (F.col("size") == F.col("words")))
     copies = F.floor(F.col("rate") / UNIT).cast("long") + F.when(F.col("rank") < F.col("ups"), 1).otherwise(0)
-    return joined.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies")).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return joined.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), "source").select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+
+
+def copies_of(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """docs with every row as often as the mix takes it. Rows of equal doc_id, source and size are matched in any order."""
+    keys = {"_id": F.col("doc_id").cast("long"), "_of": F.col("source").cast("string"), "_size": words_in(F.col("text"))}
+    nth = F.row_number().over(W.Window.partitionBy("_id", "_of", "_size").orderBy(F.lit(1)))
+    mine = docs.withColumns(keys).withColumn("_nth", nth)
+    theirs = mixed(docs, weights, share, most).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_size"), "copies").withColumn("_nth", nth)
+    theirs = theirs.toDF("k0", "k1", "k2", "_copies", "k3")
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip((*keys, "_nth"), ("k0", "k1", "k2", "k3"))]
+    both = mine.join(theirs.filter("_copies > 0"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return both.select(*docs.columns)
