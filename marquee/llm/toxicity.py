@@ -2,12 +2,11 @@
 
 P(grade > k) = sigmoid(w . x - t_k) with one weight vector for all ordered thresholds t_0 < t_1 < ...;
 the expected severity is the sum of these chances. Features are words (letters, lower-cased) and word
-beginnings of STEM letters; x is ln(1 + count).
+beginnings of some lengths; x is ln(1 + count).
 
 Training uses at most `sample` labelled documents, those with the least hash of doc_id. Features are those
-with the largest smoothed log odds between grade 0 and the others among features in at least SUPPORT of
-the sample. Labels of 0 and 1 are graded by the share of cue words: documents of label 1 below the median
-share are grade 1, the others grade 2; a label column with more values is taken as it is.
+in at least SUPPORT texts of the sample whose share differs most between grade 0 and the others (chi-square). Labels of 0 and 1 are graded by cues, features whose log odds exceed ODDS: documents of label 1 with
+at most the median number of cues are grade 1, the others grade 2; a label column with more values is taken as it is.
 
 Defined cases: null and empty texts have no features and get the severity of the thresholds alone; without
 labels of two grades every severity is 0; repeated rows are scored alike; an empty table gives an empty
@@ -28,12 +27,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, text_slices
 
 SAMPLE = 10_000
-FEATURES = 2_000
-SUPPORT = 5
-STEM = 5
+FEATURES = 1_000
+SUPPORT = 8
+STEMS = (4, 6)
 ODDS = 3.0
-STEPS = 400
-RIDGE = 1e-3
+STEPS = 500
+RIDGE = 1e-5
 SLICE_BYTES = 1 << 22
 #: Marks below U+0080 and digits become blanks before words are split.
 BLANK = bytes(c if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -51,7 +50,7 @@ def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def features_of(word: str) -> list[str]:
-    return [word, word[:STEM] + "-"] if len(word) > STEM else [word]
+    return [word, *[word[:n] + "-" for n in STEMS if len(word) > n]]
 
 
 class Model:
@@ -66,7 +65,7 @@ class Model:
         offsets, place, words = words_in(texts)
         rows = np.repeat(np.arange(len(texts)), np.diff(offsets))
         pairs = []
-        for part in range(2):
+        for part in range(1 + len(STEMS)):
             of = np.array([self.place.get(f[part], -1) if part < len(f := features_of(w)) else -1 for w in words] or [-1], np.int64)
             got = of[place]
             hit = got >= 0
@@ -137,8 +136,11 @@ def chosen_features(train: DataFrame) -> dict[str, float]:
     sums = train.select("text", "label").mapInArrow(run, "feature string, clean long, toxic long").groupBy("feature").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= SUPPORT)
     n = {bool(r["t"]): r["n"] for r in train.groupBy((F.col("label") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
-    odds = F.log((F.col("toxic") + 0.5) / (n.get(True, 0) + 1.0)) - F.log((F.col("clean") + 0.5) / (n.get(False, 0) + 1.0))
-    top = sums.select("feature", odds.alias("odds")).orderBy(F.desc(F.abs("odds")), "feature").limit(FEATURES)
+    toxic, clean = n.get(True, 0), n.get(False, 0)
+    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
+    share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
+    apart = F.pow(F.col("toxic") / toxic - F.col("clean") / clean, 2) / (share * (1 - share) + 1e-9)
+    top = sums.select("feature", odds.alias("odds"), apart.alias("apart")).orderBy(F.desc("apart"), "feature").limit(FEATURES)
     return {r["feature"]: r["odds"] for r in top.collect()}
 
 
@@ -162,22 +164,21 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, part in text_slices(batch, 1, SLICE_BYTES):
-                offsets, _, _ = words_in(part)
                 row, feature, count = blank.counted(part)
                 found: list[list] = [[] for _ in range(len(part))]
                 for k, f, c in zip(row.tolist(), feature.tolist(), count.tolist()):
                     found[k] += f, c
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, len(part)), batch.column(2).slice(start, len(part)),
-                    pa.array(np.diff(offsets), pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "label", "n", "found"])
+                    pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "label", "found"])
 
-    got = train.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, n long, found array<long>")
-    held = sorted(got.toLocalIterator(), key=lambda r: (r["doc_id"], r["label"], r["n"]))
+    got = train.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, found array<long>")
+    held = sorted(got.toLocalIterator(), key=lambda r: (r["doc_id"], r["label"], r["found"]))
     grades = np.array([r["label"] for r in held])
     if grades.max() == 1:
         cue = np.array([odds[n] > ODDS for n in names])
-        share = np.array([sum(c for f, c in zip(r["found"][::2], r["found"][1::2]) if cue[f]) / max(1, r["n"]) for r in held])
-        grades = np.where((grades == 1) & (share >= np.median(share[grades == 1])), 2, grades)
+        cues = np.array([sum(c for f, c in zip(r["found"][::2], r["found"][1::2]) if cue[f]) for r in held])
+        grades = np.where((grades == 1) & (cues > np.median(cues[grades == 1])), 2, grades)
     rows = np.repeat(np.arange(len(held)), [len(r["found"]) // 2 for r in held])
     flat = np.array([x for r in held for x in r["found"]], np.int64).reshape(-1, 2)
     _, grades = np.unique(grades, return_inverse=True)
