@@ -29,7 +29,7 @@ GROWTH = 1.02
 SPREAD = 6.0
 LEAST = 100
 #: Smallest distance of quartiles that is believed, for each share.
-SLACK = {"symbols": 0.01, "dup_lines": 0.05, "repeats": 0.05}
+SLACK = {"symbols": 0.01, "dup_lines": 0.1, "repeats": 0.05}
 
 
 def repeated_words(words: Column) -> Column:
