@@ -10,9 +10,10 @@ by all tables with a chance of at most MISS.
 
 Copies with equal sets become one representative first. Keys that no other representative has are left
 out before tables are formed. In each bucket all members are compared with its smallest one; a bucket
-whose members are then in one class is done. Of the others, buckets up to SMALL compare all members that
-are still in different classes; members of larger ones go through an exact prefix join on their rarest
-shingles, so that no bucket size loses a link and none is compared all with all.
+whose members are then in one class is done. Large ones of the others are compared once more, with the
+first of the bucket in one of ORDERS random orders. Of what is left, buckets up to SMALL compare all members
+that are still in different classes; members of larger ones go through an exact prefix join on their
+rarest shingles, so that no bucket size loses a link and none is compared all with all.
 
 Defined cases: null, empty or blank texts have no shingles, link with nothing and are kept; rows without
 doc_id are neither linked nor dropped; repeated rows are copies; columns besides doc_id and text are left
@@ -38,6 +39,7 @@ from .common import Scratch, text_slices, word_bytes, word_codes
 ROWS = 3
 MISS = 1e-4
 SMALL = 16
+ORDERS = 8
 SLICE_BYTES = 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -175,6 +177,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)
 
 
+def as_links(label: DataFrame) -> DataFrame:
+    return label.select(F.col("node").alias("u"), F.col("label").alias("v"))
+
+
 def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v: members of different classes that share one of the rarest shingles a link must share."""
     shingles = members.join(sets, "rep").select("rep", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
@@ -182,10 +188,33 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     order = W.Window.partitionBy("rep").orderBy("df", "s")
     ranked = shingles.join(rare, "s", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("k", F.row_number().over(order))
     prefix = ranked.filter((F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
-    left = prefix.select("s", F.col("rep").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"))
-    right = prefix.select("s", F.col("rep").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"))
+    whole = prefix.groupBy("rep", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("p"))
+    prefix = whole.select("rep", "label", "n", F.col("p.s").alias("p")).select("*", F.explode("p").alias("s"))
+    left = prefix.select("s", F.col("rep").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("p").alias("pu"))
+    right = prefix.select("s", F.col("rep").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("p").alias("pv"))
+    first = F.get(F.array_intersect("pu", "pv"), F.lit(0)) == F.col("s")  # each pair at its rarest shared shingle only
     return left.join(right, "s").filter(
-        (F.col("u") > F.col("v")) & (F.col("lu") != F.col("lv")) & close_sizes("nu", "nv", percent)).select("u", "v").distinct()
+        (F.col("u") > F.col("v")) & (F.col("lu") != F.col("lv")) & close_sizes("nu", "nv", percent) & first).select("u", "v").distinct()
+
+
+def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with the class of each representative."""
+    return rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def unresolved(members: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of buckets whose members are in different classes, with their class."""
+    classed = scratch.cut(labelled(members.drop("label"), label), "classed")
+    mixed_up = classed.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("key")
+    return scratch.cut(classed.join(mixed_up, "key", "left_semi"), "unresolved")
+
+
+def more_heads(left: DataFrame, percent: int, orders: int = ORDERS) -> DataFrame:
+    """u, v: members of large buckets with the first of their bucket in one of a few random orders of all documents."""
+    large = left.filter(F.col("c") > SMALL).withColumn("order", F.pmod("key", F.lit(orders)))
+    heads = large.groupBy("key").agg(F.min_by(F.struct("rep", "n", "label"), F.xxhash64("rep", "order")).alias("h"))
+    pairs = large.join(heads, "key").filter((F.col("label") != F.col("h.label")) & close_sizes("n", "h.n", percent))
+    return pairs.select(F.greatest("rep", "h.rep").alias("u"), F.least("rep", "h.rep").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, m: int | None = None) -> DataFrame:
@@ -210,10 +239,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     links = scratch.cut(confirmed(star, sets, percent), "links")
     label = scratch.cut(components(links, scratch), "labels")
 
-    classed = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    classed = scratch.cut(classed.select("key", "rep", "n", "v", "c", "label"), "classed")
-    mixed_up = classed.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("key")
-    left = scratch.cut(classed.join(mixed_up, "key", "left_semi"), "unresolved")
+    left = unresolved(members, label, scratch)
+    again = scratch.cut(confirmed(more_heads(left, percent), sets, percent), "again")
+    if not again.isEmpty():
+        label = scratch.cut(components(as_links(label).union(again), scratch), "labels")
+        left = unresolved(left, label, scratch)
     few = left.filter(F.col("c") <= SMALL)
     two = few.select("key", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"), F.col("v").alias("head"))
     pairs = two.join(few.select("key", F.col("rep").alias("w"), F.col("n").alias("nw"), F.col("label").alias("lw")), "key").filter(
@@ -224,9 +254,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         more = more.union(prefix_pairs(scratch.cut(many, "many"), sets, percent))
     more = scratch.cut(confirmed(more.distinct(), sets, percent), "more")
     if not more.isEmpty():
-        label = components(label.select(F.col("node").alias("u"), F.col("label").alias("v")).union(more), scratch)
+        label = components(as_links(label).union(more), scratch)
 
-    classes = same.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
+    classes = labelled(same, label).select("digest", F.col("label").alias("component"))
     out = found.join(scratch.cut(classes, "classes"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def without_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each class, that with the smallest doc_id; rows without doc_id stay.
+
+    Of rows with equal doc_id and text one stays.
+    """
+    found = near_duplicates(docs, width, percent)
+    wanted = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("wanted")).distinct()
+    one = docs.join(wanted, F.col("doc_id").cast("long") == F.col("wanted"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return one.union(docs.filter("doc_id is null"))
