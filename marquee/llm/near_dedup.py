@@ -188,13 +188,15 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     order = W.Window.partitionBy("rep").orderBy("df", "s")
     ranked = shingles.join(rare, "s", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("k", F.row_number().over(order))
     prefix = ranked.filter((F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
-    whole = prefix.groupBy("rep", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("p"))
-    prefix = whole.select("rep", "label", "n", F.col("p.s").alias("p")).select("*", F.explode("p").alias("s"))
-    left = prefix.select("s", F.col("rep").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("p").alias("pu"))
-    right = prefix.select("s", F.col("rep").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("p").alias("pv"))
+    whole = prefix.groupBy("rep", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s", "k"))).alias("p"))
+    prefix = whole.select("rep", "label", "n", F.col("p.s").alias("p"), F.explode("p").alias("at")).select("*", "at.s", "at.k")
+    left = prefix.select("s", F.col("rep").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("p").alias("pu"), F.col("k").alias("ku"))
+    right = prefix.select("s", F.col("rep").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("p").alias("pv"), F.col("k").alias("kv"))
     first = F.get(F.array_intersect("pu", "pv"), F.lit(0)) == F.col("s")  # each pair at its rarest shared shingle only
+    rest = F.least(F.col("nu") - F.col("ku"), F.col("nv") - F.col("kv")) + 1  # rarer ones are in one of the two only
+    enough = rest * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent
     return left.join(right, "s").filter(
-        (F.col("u") > F.col("v")) & (F.col("lu") != F.col("lv")) & close_sizes("nu", "nv", percent) & first).select("u", "v").distinct()
+        (F.col("u") > F.col("v")) & (F.col("lu") != F.col("lv")) & close_sizes("nu", "nv", percent) & enough & first).select("u", "v").distinct()
 
 
 def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
