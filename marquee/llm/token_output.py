@@ -38,8 +38,8 @@ SCALE_BITS = 20
 LANES = 4096
 BLOCK_TOKENS = 1 << 20
 CHECKPOINT_STEPS = 128
-UNIT_CACHE = 1_000_000
-SLICE_CHARS = 1 << 23
+UNIT_CACHE = 400_000
+SLICE_CHARS = 1 << 22
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sIIIQQI")
 
