@@ -121,15 +121,16 @@ def resolve_chains(mapping: DataFrame) -> DataFrame:
     """(old_id, keep_id) with every chain A -> B -> C followed to its end.
 
     Each round doubles the distance covered, so the number of rounds is the logarithm of the
-    longest chain. Mappings come from merges that always drop the old id, so there are no cycles.
+    longest chain. More rounds than that can only come from a cycle, which is an error.
     """
-    current = cut_lineage(mapping.select("old_id", "keep_id").distinct())
-    while True:
+    current = cut_lineage(mapping.select("old_id", "keep_id").filter("old_id <> keep_id").distinct())
+    for _ in range(current.count().bit_length() + 1):
         onward = current.select(F.col("old_id").alias("keep_id"), F.col("keep_id").alias("next_id"))
         jumped = current.join(onward, "keep_id", "left")
         if jumped.filter(F.col("next_id").isNotNull()).isEmpty():
             return current
         current = cut_lineage(jumped.select("old_id", F.coalesce("next_id", "keep_id").alias("keep_id")))
+    raise ValueError("the mapping has a cycle")
 
 
 def survivors(rows: DataFrame, group: list[str], rank: Column, id_col: str = "id") -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.maths import filled_count
 from ..functions.nested import distinct_sites
 from ..session import cut_lineage
-from .cluster import greedy_star, survivors
+from .cluster import greedy_star, resolve_chains, survivors
 from .similarity import containment_pairs
 
 # What counts as information about an event and what a survivor may take over.
@@ -308,13 +308,17 @@ def collapse_by_strong_key(events: DataFrame, venues: DataFrame) -> MergeResult:
 
 
 def auto_merge(events: DataFrame, venues: DataFrame) -> MergeResult:
-    """Strong-key collapse, then the eight passes over what is left."""
+    """Strong-key collapse, then the eight passes over what is left.
+
+    A survivor of the collapse can be absorbed by a pass: the mapping leads every absorbed event to
+    the one that is left in the end, with the step that absorbed it; the log keeps the steps.
+    """
     first = collapse_by_strong_key(events, venues)
     table = cut_lineage(first.events)
     second = absorb(table, pass_mapping(table))
-    return MergeResult(
-        second.events, first.mapping.unionByName(second.mapping), first.log.unionByName(second.log)
-    )
+    steps = cut_lineage(first.mapping.select("old_id", "keep_id", "pass_name").unionByName(second.mapping.select("old_id", "keep_id", "pass_name")))
+    mapping = resolve_chains(steps).join(steps.select("old_id", "pass_name"), "old_id")
+    return MergeResult(second.events, mapping, first.log.unionByName(second.log))
 
 
 def merge_pair(events: DataFrame, pairs: DataFrame) -> MergeResult:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import fixed_values as V
 from ..functions import text as T
@@ -72,7 +73,6 @@ def artist_recommendations(
     genres: DataFrame,
     limit: int,
     hot_lineup: int = HOT_LINEUP,
-    max_candidates: int | None = None,
 ) -> DataFrame:
     """(user_id, rank, artist_id, score, co_performer, agency, genre, reasons) for all users.
 
@@ -80,8 +80,7 @@ def artist_recommendations(
     events. Agency and genre would pair almost everybody with almost everybody, so there artists
     with the same genres and large events are one group, and only as many of the most popular of
     each group as could possibly make the list are looked at. Every candidate is then scored in
-    full, so the result is that of scoring all pairs. ``max_candidates`` optionally keeps only
-    that many per user before scoring, strongest signals first.
+    full, so the result is that of scoring all pairs; ``hot_lineup`` decides about the plan only.
     """
     follows = cut_lineage(followings.select("user_id", "artist_id").distinct())
     lineup = cut_lineage(event_artists.select("event_id", "artist_id").distinct())
@@ -92,22 +91,23 @@ def artist_recommendations(
     hot = lineup.join(large, "event_id", "left_semi")
 
     none = F.array().cast("array<string>")
+    no_stage = F.array().cast(T_.ArrayType(lineup.schema["event_id"].dataType))
     acts_genres = genres.groupBy("artist_id").agg(F.array_sort(F.collect_set("genre")).alias("genres"))
-    acts_stages = hot.groupBy("artist_id").agg(F.array_sort(F.collect_set(F.col("event_id").cast("string"))).alias("stages"))
+    acts_stages = hot.groupBy("artist_id").agg(F.array_sort(F.collect_set("event_id")).alias("stages"))
     acts = (
         artists.select(F.col("id").alias("artist_id"), "name", T.none_if_blank(F.col("label")).alias("label"),
                        F.coalesce("popularity_score", F.lit(0.0)).alias("popularity_score"))
         .join(acts_genres, "artist_id", "left").join(acts_stages, "artist_id", "left")
-        .withColumn("genres", F.coalesce("genres", none)).withColumn("stages", F.coalesce("stages", none))
+        .withColumn("genres", F.coalesce("genres", none)).withColumn("stages", F.coalesce("stages", no_stage))
     )
     acts = cut_lineage(acts)
 
     liked = follows.join(genres, "artist_id").groupBy("user_id").agg(F.array_sort(F.collect_set("genre")).alias("liked"))
     seen_hot = cut_lineage(stages_seen(follows, hot))
-    on_hot = seen_hot.groupBy("user_id").agg(F.array_sort(F.collect_set(F.col("event_id").cast("string"))).alias("hot"))
+    on_hot = seen_hot.groupBy("user_id").agg(F.array_sort(F.collect_set("event_id")).alias("hot"))
     users = follows.groupBy("user_id").agg(F.count("*").alias("n_follows"))
     users = users.join(liked, "user_id", "left").join(on_hot, "user_id", "left")
-    users = cut_lineage(users.withColumn("liked", F.coalesce("liked", none)).withColumn("hot", F.coalesce("hot", none)))
+    users = cut_lineage(users.withColumn("liked", F.coalesce("liked", none)).withColumn("hot", F.coalesce("hot", no_stage)))
     user_labels = cut_lineage(
         follows.join(acts.select("artist_id", T.strip("label").alias("label")), "artist_id").filter(F.col("label") != "")
         .select("user_id", "label").distinct()
@@ -123,7 +123,7 @@ def artist_recommendations(
     kinds = acts.groupBy("genres", "stages").agg(F.count("*").alias("kind_size"))
     members = top_per_group(acts, ["genres", "stages"], by_rank, "artist_id", limit + most, "place")
     tastes = users.select("liked", "hot").distinct()
-    traits = lambda a, b: F.concat(F.transform(a, lambda g: F.concat(F.lit("g:"), g)), F.transform(b, lambda e: F.concat(F.lit("e:"), e)))
+    traits = lambda a, b: F.concat(F.transform(a, lambda g: F.concat(F.lit("g:"), g)), F.transform(b, lambda e: F.concat(F.lit("e:"), e.cast("string"))))
     taste_traits = tastes.select("liked", "hot", F.explode(traits("liked", "hot")).alias("trait"))
     kind_traits = kinds.select("genres", "stages", "kind_size", F.explode(traits("genres", "stages")).alias("trait"))
     matches = taste_traits.join(kind_traits, "trait").drop("trait").distinct()
@@ -158,18 +158,14 @@ def artist_recommendations(
         "user_id", "artist_id", "popularity_score",
         (F.coalesce("shared", F.lit(0)) + F.size(hot_shared)).alias("shared"),
         F.coalesce("same_agency", F.lit(0)).alias("agency"), ge.alias("ge"),
-        F.coalesce(F.col("first_event").cast("string"), F.array_min(hot_shared)).alias("first_event"),
+        F.least("first_event", F.array_min(hot_shared)).alias("first_event"),
     )
-    if max_candidates is not None:
-        strong = F.when(F.col("shared") > 0, 1).otherwise(0) + F.col("agency")
-        rows = rows.withColumn("_strong", strong)
-        rows = top_per_group(rows, ["user_id"], [("_strong", False), ("ge", False)], "artist_id", max_candidates, "_place")
     rows = rows.withColumn("co", co_performer_norm(F.col("shared")))
     score = clamp01(_W["co_performer"] * F.col("co") + _W["agency"] * F.col("agency") + _W["genre"] * F.col("ge"))
     rows = rows.withColumn("score", score).filter("score > 0").withColumn("score", round4(F.col("score")))
     best = top_per_group(rows, ["user_id"], [("score", False), ("popularity_score", False)], "artist_id", limit)
     # names, genres and the act behind the first shared stage, for the listed rows only
-    named = seen.unionByName(seen_hot).select("user_id", F.col("event_id").cast("string").alias("first_event"), "followed_id")
+    named = seen.unionByName(seen_hot).select("user_id", F.col("event_id").alias("first_event"), "followed_id")
     names = artists.select(F.col("id").alias("followed_id"), F.col("name").alias("with_name"))
     best = best.join(named, ["user_id", "first_event"], "left").join(names, "followed_id", "left")
     best = best.join(acts.select("artist_id", "name", "label", "genres"), "artist_id").join(users.select("user_id", "liked"), "user_id")

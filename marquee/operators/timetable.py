@@ -30,25 +30,28 @@ def parse_lines(texts: DataFrame, as_of: str) -> DataFrame:
     )
     rows = texts.select("event_id", "start_date", "genre", F.posexplode(lines).alias("pos", "line"))
     line, start = F.col("line"), F.coalesce(F.col("start_date").cast("date"), D.at(as_of).cast("date"))
-    timed = line.rlike(V.TIME_RANGE)
-    begins, ends = _clock(line, 1), _clock(line, 2)
-    valid = D.is_clock(begins) & D.is_clock(ends) & (D.clock_minutes(begins) < D.clock_minutes(ends))
-    rest = T.strip(T.drop_first(line, V.TIME_RANGE))
-    slot = timed & valid & (rest != "") & ~rest.rlike(r"\d{1,2}[:.]\d{2}")
-    day_n = F.regexp_extract(line, V.DAY_MARKER, 1).try_cast("int")
-    year = F.coalesce(F.regexp_extract(line, V.SINGLE_DATE, 1).try_cast("int"), F.year(start))
-    month, dom = F.regexp_extract(line, V.SINGLE_DATE, 2), F.regexp_extract(line, V.SINGLE_DATE, 3)
-    has_date = line.rlike(V.SINGLE_DATE)
-    written = F.concat_ws(".", year.cast("string"), F.lpad(month, 2, "0"), F.lpad(dom, 2, "0"))
+    # patterns first, each once; what follows is built on their columns
+    rows = rows.withColumns({
+        "timed": line.rlike(V.TIME_RANGE), "begins": _clock(line, 1), "ends": _clock(line, 2),
+        "stage_rest": T.strip(T.drop_first(line, V.TIME_RANGE)), "_day_n": F.regexp_extract(line, V.DAY_MARKER, 1).try_cast("int"),
+        "_year": F.regexp_extract(line, V.SINGLE_DATE, 1).try_cast("int"), "_month": F.regexp_extract(line, V.SINGLE_DATE, 2),
+        "_dom": F.regexp_extract(line, V.SINGLE_DATE, 3), "_has_date": line.rlike(V.SINGLE_DATE),
+        "stage_line": F.when(line.rlike(V.STAGE_LINE) & line.rlike(V.STAGE_WORD), T.strip(F.regexp_extract(line, V.STAGE_LINE, 1))),
+        "_start": start,
+    })
+    start, day_n = F.col("_start"), F.col("_day_n")
+    rows = rows.withColumns({
+        "valid": D.is_clock(F.col("begins")) & D.is_clock(F.col("ends")) & (D.clock_minutes(F.col("begins")) < D.clock_minutes(F.col("ends"))),
+        "_written": F.concat_ws(".", F.coalesce("_year", F.year(start)).cast("string"), F.lpad("_month", 2, "0"), F.lpad("_dom", 2, "0")),
+    })
+    written = F.col("_written")
     real = F.replace(written, F.lit("."), F.lit("-")).try_cast("date")
     rows = rows.withColumns({
-        "timed": timed, "valid": valid, "begins": begins, "ends": ends, "slot": slot, "stage_rest": rest,
+        "slot": F.col("timed") & F.col("valid") & (F.col("stage_rest") != "") & ~F.col("stage_rest").rlike(r"\d{1,2}[:.]\d{2}"),
         "marked": F.when(
-            has_date, F.struct(F.coalesce(D.day_number(F.col("start_date"), real), F.lit(1)).alias("day"), written.alias("date"))
+            F.col("_has_date"), F.struct(F.coalesce(D.day_number(F.col("start_date"), real), F.lit(1)).alias("day"), written.alias("date"))
         ).when(day_n.isNotNull(), F.struct(day_n.alias("day"), _date_text(D.date_for_day(start, day_n)).alias("date"))),
-        "stage_line": F.when(
-            ~has_date & line.rlike(V.STAGE_LINE) & line.rlike(V.STAGE_WORD), T.strip(F.regexp_extract(line, V.STAGE_LINE, 1))
-        ),
+        "stage_line": F.when(~F.col("_has_date"), F.col("stage_line")),
         "first_day": _date_text(start),
     })
     w = Window.partitionBy("event_id").orderBy("pos")

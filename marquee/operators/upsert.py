@@ -65,8 +65,15 @@ def _change(field: str, old: Column, new: Column) -> Column:
 
 
 def _best(field: str) -> Column:
-    """The value that survives: the last one among the most trusted."""
-    return F.max(F.when(~is_blank(field), F.struct("trust", "row_id", F.col(field).alias("v"), F.col("source_name").alias("s")))).alias(field)
+    """The value that survives: the last one among the most trusted. A value that is stored already
+    changes nothing, nor does it raise the trust in what is stored."""
+    new = ~is_blank(field) & ~F.col(field).cast("string").eqNullSafe(F.col(f"o_{field}"))
+    return F.max(F.when(new, F.struct("trust", "row_id", F.col(field).alias("v"), F.col("source_name").alias("s")))).alias(field)
+
+
+def _as_incoming(field: str, events: DataFrame, incoming: DataFrame) -> Column:
+    """A stored value as the text that an equal incoming one has."""
+    return F.col(field).cast(incoming.schema[field].dataType).cast("string")
 
 
 def fold(rows: DataFrame) -> DataFrame:
@@ -104,12 +111,14 @@ def upsert(incoming: DataFrame, events: DataFrame, as_of: str, hold: bool = Fals
     )
     keyed = hits.withColumn("_key", F.when(F.col("event_id").isNull(), F.col("dedup_key"))).join(named, "_key", "left")
     keyed = keyed.withColumn("event_id", F.coalesce(F.col("event_id").cast("string"), "_new"))
-    folded = cut_lineage(fold(keyed.drop("_new", "_key"))).withColumnsRenamed(
+    stored = events.select(F.col("id").cast("string").alias("event_id"), *[_as_incoming(f, events, incoming).alias(f"o_{f}") for f in TRACKED])
+    keyed = keyed.drop("_new", "_key").join(stored, "event_id", "left")
+    folded = cut_lineage(fold(keyed)).withColumnsRenamed(
         {c: f"n_{c}" for c in [*TRACKED, "status", "normalized_title", "dedup_key", "description", "artist_id", "venue_id", "source_name"]}
     )
     state = events.join(folded.withColumnRenamed("event_id", "id"), "id", "full")
     old = events.select("id", F.lit(True).alias("_old"))
-    state = state.join(old, "id", "left").withColumn("_touched", F.col("n_title").isNotNull())
+    state = state.join(old, "id", "left").withColumn("_touched", F.col("n_source_name").isNotNull())
     inserted = F.col("_old").isNull()
     locked = F.coalesce("locked_fields", F.array().cast("array<string>"))
     sources = F.coalesce("field_sources", F.create_map().cast(_SOURCES))
@@ -144,6 +153,11 @@ def upsert(incoming: DataFrame, events: DataFrame, as_of: str, hold: bool = Fals
         "_take_links": F.size(links) != F.greatest(F.coalesce(F.size("source_urls"), F.lit(0)), F.lit(0)),
         "_booking": out["booking_url"],
     })
+    filled = F.lit(False)
+    if "description" in events.columns:
+        filled = F.col("description").isNull() & F.col("n_description").isNotNull()
+    relinked = ~F.to_json(L.booking_links(F.col("_links"), F.col("_booking"))).eqNullSafe(F.to_json("booking_links"))
+    state = state.withColumn("_patched", (F.size("_changes") > 0) | F.col("_take_links") | filled | relinked)
     if "description" in events.columns:
         out["description"] = F.coalesce("description", "n_description")
     touched = F.col("_touched")
@@ -155,7 +169,7 @@ def upsert(incoming: DataFrame, events: DataFrame, as_of: str, hold: bool = Fals
         "dedup_key": F.coalesce("n_dedup_key", "dedup_key"),
         "venue_id": F.when(inserted, F.col("n_venue_id")).otherwise(F.col("venue_id")),
         "source_name": F.when(inserted, F.col("n_source_name")).otherwise(F.col("source_name")),
-        "crawled_at": F.when(touched & (inserted | (F.size("_changes") > 0) | F.col("_take_links")), now).otherwise(F.col("crawled_at")),
+        "crawled_at": F.when(touched & (inserted | F.col("_patched")), now).otherwise(F.col("crawled_at")),
         "created_at": F.when(inserted, now).otherwise(F.col("created_at")),
         "is_hidden": F.when(inserted, F.lit(hold)).otherwise(F.col("is_hidden")),
         "hidden_reason": F.when(inserted & F.lit(hold), F.lit("pending_classification")).otherwise(F.col("hidden_reason")),
@@ -165,7 +179,7 @@ def upsert(incoming: DataFrame, events: DataFrame, as_of: str, hold: bool = Fals
     state = cut_lineage(state)
     table = state.select(*[_typed(out.get(f.name, F.col(f.name)), f) for f in events.schema.fields])
     action = (
-        F.when(inserted, "inserted").when((F.size("_changes") > 0) | F.col("_take_links"), "updated").otherwise("skipped")
+        F.when(inserted, "inserted").when(F.col("_patched"), "updated").otherwise("skipped")
     )
     acted = state.filter("_touched")
     return {

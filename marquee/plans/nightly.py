@@ -88,14 +88,39 @@ def fix(t: Tables, as_of: str) -> Outcome:
     return out
 
 
+# Child rows that go with the row they point at.
+CASCADES = {
+    "events": (("event_artists", "event_id"), ("event_venues", "event_id"), ("user_interested_events", "event_id"),
+               ("booking_intents", "event_id"), ("user_bookings", "event_id"), ("concert_reviews", "event_id"),
+               ("timetable_performances", "event_id")),
+    "artists": (("event_artists", "artist_id"), ("user_artist_followings", "artist_id"), ("artist_aliases", "artist_id")),
+    "venues": (("event_venues", "venue_id"),),
+}
+
+
+def without_children(before: Tables, after: Tables) -> Tables:
+    """The child tables without rows of parents that are in ``before`` and no longer in ``after``."""
+    out: Tables = {}
+    for parent, children in CASCADES.items():
+        if parent not in after:
+            continue
+        gone = before[parent].select("id").join(after[parent].select("id"), "id", "left_anti")
+        for child, key in children:
+            rows = out.get(child, before.get(child))
+            if rows is not None and key in rows.columns:
+                out[child] = rows.join(gone.withColumnRenamed("id", key), key, "left_anti").select(*rows.columns)
+    return out
+
+
 def delete(t: Tables, as_of: str) -> Outcome:
     venues, v_log = Q.auto_delete(t["venues"], "venue", as_of)
     artists, a_log = Q.auto_delete(t["artists"], "artist", as_of)
     events, e_log = Q.auto_delete(t["events"], "event", as_of)
     events, p_log, cache = Q.purge_non_concerts(cut_lineage(events), t["title_keep_verdicts"], as_of)
     log = v_log.unionByName(a_log).unionByName(e_log)
+    kept = {"venues": cut_lineage(venues), "artists": cut_lineage(artists), "events": cut_lineage(events)}
     return Outcome(
-        {"venues": venues, "artists": artists, "events": events, "title_keep_verdicts": cache},
+        {**kept, **without_children(t, kept), "title_keep_verdicts": cache},
         {"delete_logs": log, "purge_logs": p_log}, {"deleted": log.count()},
     )
 

@@ -312,3 +312,29 @@ def test_venues(spark):
     got = {r.id: r.venue_id for r in out["events"].collect()}
     assert got["e1"] == "5" and got["e2"] is None and got["e4"] is None and got["e6"] == "5"
     assert {r.name for r in out["venues"].collect()} == {"홍대 롤링홀", "킨텍스"}
+
+
+def test_user_rows_reach_the_last_survivor(spark, monkeypatch):
+    """A is absorbed by B, B by C in a later step: what pointed at A or B points at C."""
+    from .fixtures import EVENTS, event
+
+    df = spark.createDataFrame([event(x, "t", "2026-08-01") for x in "abc"], EVENTS)
+    maps = "old_id string, keep_id string, pass_name string"
+    one, two = spark.createDataFrame([("a", "b", "strong_key")], maps), spark.createDataFrame([("b", "c", "title_day")], maps)
+    monkeypatch.setattr(ME, "collapse_by_strong_key", lambda events, venues: ME.absorb(events, one))
+    monkeypatch.setattr(ME, "pass_mapping", lambda events: two)
+    merged = ME.auto_merge(df, None)
+    assert [r.id for r in merged.events.collect()] == ["c"]
+    assert sorted(tuple(r) for r in merged.mapping.select("old_id", "keep_id", "pass_name").collect()) == [("a", "c", "strong_key"), ("b", "c", "title_day")]
+    children = {"user_interested_events": spark.createDataFrame([("u1", "a"), ("u2", "b"), ("u2", "c")], "user_id string, event_id string")}
+    moved = ME.repoint_user_data(children, merged.mapping)["user_interested_events"].collect()
+    assert sorted(tuple(r) for r in moved) == [("u1", "c"), ("u2", "c")]
+
+
+def test_a_cycle_is_an_error(spark):
+    import pytest
+
+    from marquee.operators.cluster import resolve_chains
+
+    with pytest.raises(ValueError, match="cycle"):
+        resolve_chains(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "old_id string, keep_id string"))
