@@ -15,6 +15,8 @@ from marquee.session import ensure_checkpoint_dir
 #: White space between words, and what stands between it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
 class Scratch:
@@ -48,6 +50,32 @@ class Scratch:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def release() -> None:
+    """Hand memory that is free in this Python process back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow with batches of at most BATCH_BYTES, where the session has Spark's own bound: whole
+    texts are large, and a batch is in memory several times. Free memory is given back after each task."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF).rstrip("bB") == str(64 << 20):
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+    def released(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(released, schema)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once per row, however often body names it."""
     return F.transform(F.array(value), body)[0]

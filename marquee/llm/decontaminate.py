@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, word_bytes, word_codes
+from .common import in_arrow, text_slices, word_bytes, word_codes
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -209,8 +209,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
                     pa.array([[{"first": a, "last": b} for a, b in s] for s, _ in rows], kind)],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
         "spans array<struct<first long, last long>>")
 
 
@@ -250,4 +249,4 @@ def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, c
                 batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

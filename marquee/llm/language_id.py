@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import text_slices
+from .common import in_arrow, text_slices
 
 TOP = 300
 PER_LANGUAGE = 2000
@@ -102,7 +102,7 @@ def profiles(train: DataFrame, top: int = TOP) -> dict[str, list[int]]:
         if held:
             yield rows()
 
-    sums = train.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = in_arrow(train.select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = F.row_number().over(W.Window.partitionBy("lang").orderBy(F.desc("n"), F.expr("gram < 0"), "gram"))
     out: dict[str, list[int]] = {}
     for r in sums.withColumn("k", order).filter(F.col("k") <= top).orderBy("lang", "k").toLocalIterator():
@@ -146,7 +146,7 @@ def predicted(docs: DataFrame, learned: dict[str, list[int]], top: int = TOP) ->
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def held_out():

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import Scratch, text_slices, word_bytes, word_codes
+from .common import Scratch, in_arrow, text_slices, word_bytes, word_codes
 
 ROWS = 3
 MISS = 1e-4
@@ -112,8 +112,7 @@ def sketches(docs: DataFrame, width: int, m: int, rows: int = ROWS, seed: int =
                     batch.column(0).slice(start, len(texts)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -126,7 +125,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rep long, shingles array<long>")
+    return in_arrow(docs.select("doc_id", "text"), run, "rep long, shingles array<long>")
 
 
 def table_rows(reps: DataFrame, m: int, scratch: Scratch) -> DataFrame:

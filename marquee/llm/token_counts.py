@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, unit_codes
+from .common import in_arrow, text_slices, unit_codes
 
 MARK = "▁"
 UNKNOWN = 10.0
@@ -124,4 +124,4 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, len(texts)), pa.array(tokens), pa.array(scores)], names=["doc_id", "n_tokens", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, score double")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_slices, unit_codes
+from .common import Scratch, in_arrow, text_slices, unit_codes
 
 END_ID = 0
 SCALE_BITS = 20
@@ -296,7 +296,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
                 pos += int(offsets[-1])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "part int, pos long, doc_id long, n_tokens long, ids binary")
+    return in_arrow(ordered, run, "part int, pos long, doc_id long, n_tokens long, ids binary")
 
 
 def id_counts(tokens: DataFrame, wide: bool) -> DataFrame:
@@ -313,7 +313,7 @@ def id_counts(tokens: DataFrame, wide: bool) -> DataFrame:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return in_arrow(tokens.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def blocks_of(tokens: DataFrame, freq, bits: int, wide: bool, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -346,8 +346,7 @@ def blocks_of(tokens: DataFrame, freq, bits: int, wide: bool, block_tokens: int
         if held:
             yield block()
 
-    return tokens.select("part", "pos", "doc_id", "n_tokens", "ids").mapInArrow(
-        run, "part int, pos long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary")
+    return in_arrow(tokens.select("part", "pos", "doc_id", "n_tokens", "ids"), run, "part int, pos long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary")
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -410,7 +409,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
     parts = spark.read.schema("part int, base long").parquet(f"{folder}/parts")
     blocks = spark.read.parquet(f"{folder}/blocks").join(F.broadcast(parts), "part")  # a row for each part written
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return blocks.select((F.col("base") + F.col("pos")).alias("first"), "doc_ids", "lengths", "payload").mapInArrow(run, schema)
+    return in_arrow(blocks.select((F.col("base") + F.col("pos")).alias("first"), "doc_ids", "lengths", "payload"), run, schema)
 
 
 def encoded_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:

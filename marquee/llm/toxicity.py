@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_slices
+from .common import Scratch, in_arrow, text_slices
 
 SAMPLE = 10_000
 FEATURES = 1_000
@@ -133,7 +133,7 @@ def chosen_features(train: DataFrame) -> dict[str, float]:
                 pa.array(names, pa.string()), pa.array([held[0][f] for f in names], pa.int64()),
                 pa.array([held[1][f] for f in names], pa.int64())], names=["feature", "clean", "toxic"])
 
-    sums = train.select("text", "label").mapInArrow(run, "feature string, clean long, toxic long").groupBy("feature").agg(
+    sums = in_arrow(train.select("text", "label"), run, "feature string, clean long, toxic long").groupBy("feature").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= SUPPORT)
     n = {bool(r["t"]): r["n"] for r in train.groupBy((F.col("label") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
@@ -172,7 +172,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
                     batch.column(0).slice(start, len(part)), batch.column(2).slice(start, len(part)),
                     pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "label", "found"])
 
-    got = train.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, found array<long>")
+    got = in_arrow(train.select("doc_id", "text", "label"), run, "doc_id long, label int, found array<long>")
     held = sorted(got.toLocalIterator(), key=lambda r: (r["doc_id"], r["label"], r["found"]))
     grades = np.array([r["label"] for r in held])
     if grades.max() == 1:
@@ -198,8 +198,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
                     batch.column(0).slice(start, len(texts)), pa.array(above.sum(axis=1)), pa.array(above[:, 0]),
                     pa.array(above[:, 0] >= 0.5)], names=["doc_id", "severity", "toxic_chance", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, severity double, toxic_chance double, toxic boolean")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, severity double, toxic_chance double, toxic boolean")
 
 
 def severities(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
