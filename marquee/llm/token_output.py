@@ -21,6 +21,7 @@ besides doc_id and text are not read; repeated rows are documents of their own.
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,8 +39,8 @@ SCALE_BITS = 20
 LANES = 4096
 BLOCK_TOKENS = 1 << 20
 CHECKPOINT_STEPS = 128
-UNIT_CACHE = 400_000
-SLICE_CHARS = 1 << 22
+UNIT_CACHE = 1_000_000
+SLICE_CHARS = 1 << 23
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sIIIQQI")
 
@@ -137,6 +138,13 @@ class UnitEncoder:
         """
         if len(self.after) + len(self.first) > self.limit:
             self.after, self.first = {}, {}
+        gc.disable()  # a million cached units are no cycles, but the collector would walk over them again and again
+        try:
+            return self._encode(texts, end_id)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         offsets, place, units = unit_codes(texts)
         docs, heads, total = len(texts), offsets[:-1], len(units)
         inner = np.ones(len(place), bool)
