@@ -21,18 +21,19 @@ besides doc_id and text are not read; repeated rows are documents of their own.
 
 from __future__ import annotations
 
-import gc
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_arrow, text_slices, unit_codes
+from .common import Scratch, in_arrow, text_slices
 
 END_ID = 0
 SCALE_BITS = 20
@@ -40,142 +41,122 @@ LANES = 4096
 BLOCK_TOKENS = 1 << 20
 CHECKPOINT_STEPS = 128
 UNIT_CACHE = 1_000_000
+RUN, BATCH = 64, 1024
+#: How byte-level vocabularies write a space.
+SPACE_MARK = "\u0120"
 SLICE_CHARS = 1 << 23
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sIIIQQI")
 
 
 class UnitEncoder:
-    """Ids of whole texts from a tokenizers file of byte-level BPE, through a cache.
+    """Encodes with a byte-level tokenizer, each different unit of the texts at hand once at most.
 
-    Such a tokenizer splits a text before it merges, and always before a space that a non-space follows;
-    so the ids of a text are those of its units between such spaces. Units are looked up in a cache; new
-    ones are encoded together. A unit of plain words and marks is put together from the ids of these.
+    Such a tokenizer never merges over a space that is followed by something else than white space, so a
+    text is cut there. Only the first id of a unit holds a space: many units are encoded as one string.
     """
 
-    def __init__(self, path: str, limit: int = UNIT_CACHE):
+    def __init__(self, path: str):
+        import os
         import re
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self.odd = re.compile(r" (?=\S)")
-        self.after: dict[str, bytes] = {}  # of a unit with the space before it
-        self.first: dict[str, bytes] = {}  # of a unit without
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def plain(self, string: str) -> bytes:
-        return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def learn(self, words: set[str], spaced: bool) -> None:
-        """Encode words of letters only: " a b c" or "a\\nb\\nc" has one piece before merging for each."""
-        held = self.after if spaced else self.first
-        new = sorted(words.difference(held))
-        runs = [new[i:i + 64] for i in range(0, len(new), 64)]
-        joined = [" " + " ".join(r) if spaced else "\n".join(r) for r in runs]
-        step, size = 1 if spaced else 2, self.kind.itemsize
-        for run, found in zip(runs, self.tokenizer.encode_batch(joined, add_special_tokens=False)):
-            place, data = found.word_ids, np.array(found.ids, self.kind).tobytes()
-            if place[-1] != (len(run) - 1) * step:
-                held.update((w, self.plain(" " + w if spaced else w)) for w in run)
-                continue
-            cuts = (np.searchsorted(place, np.arange(place[-1] + 2)) * size).tolist()
-            held.update(zip(run, [data[a:b] for a, b in zip(cuts[::step], cuts[1::step])]))
-
-    @staticmethod
-    def atoms(unit: str) -> list[tuple[str, str]] | None:
-        """(word, marks after it) for each line of a unit; None if it holds anything else."""
-        if unit and unit[-1] in ".," and unit[:-1].isalpha():
-            return [(unit[:-1], unit[-1])]
-        out = []
-        for line in unit.split("\n"):
-            core = line.rstrip(".,;:!?*#$%&|")
-            if not core.isalpha():
-                return None
-            out.append((core, line[len(core):]))
-        return out
-
-    def resolve(self, units: set[str], spaced: bool) -> None:
-        """Put the ids of new units into the cache."""
-        held = self.after if spaced else self.first
-        words = {u for u in units if u.isalpha()}
-        split = {u: self.atoms(u) for u in units.difference(words)}
-        bare, marks = set(), {"\n"}
-        for parts in split.values():
-            for k, (word, tail) in enumerate(parts or ()):
-                (bare if k else words).add(word)
-                marks.add(tail)
-        if words:
-            self.learn(words, spaced)
-        if bare:
-            self.learn(bare, False)
-        for m in marks.difference(self.first):
-            self.first[m] = self.plain(m)
-        for unit, parts in split.items():
-            if parts is None:
-                held[unit] = self.plain(" " + unit if spaced else unit)
-            elif len(parts) == 1:
-                held[unit] = held[parts[0][0]] + self.first[parts[0][1]]
-            else:
-                ids = [held[parts[0][0]], self.first[parts[0][1]]]
-                for word, tail in parts[1:]:
-                    ids += self.first["\n"], self.first[word], self.first[tail]
-                held[unit] = b"".join(ids)
-
-    def known(self, units: list[str], spaced: bool) -> list[bytes]:
-        held = self.after if spaced else self.first
-        ids = list(map(held.get, units))
-        if None in ids:
-            self.resolve({u for u, x in zip(units, ids) if x is None}, spaced)
-            ids = [held[u] if x is None else x for u, x in zip(units, ids)]
-        return ids
+        self.cut = re.compile(r" (?=\S)")
+        pieces = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(pieces.values()) + 1, bool)
+        self.spaced[[k for p, k in pieces.items() if p.startswith(SPACE_MARK)]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = np.dtype("<u2" if len(self.spaced) <= 1 << 16 else "<u4")
+        self.units = pa.array([], pa.string())  # those seen, with their ids one after another
+        self.ids, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64)
+
+    def each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings one after another, and how many are of each."""
+        ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for k in range(0, len(strings), BATCH):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(strings[k:k + BATCH], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), self.kind, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def known(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Like `after_space`, for different units; what was encoded before is looked up."""
+        if len(self.units) > UNIT_CACHE:
+            self.units, self.ids, self.sizes = self.units[:0], self.ids[:0], self.sizes[:0]
+        new = units.filter(pc.invert(pc.is_in(units, self.units)))
+        ids, sizes = self.after_space(new)
+        self.units = pa.concat_arrays([self.units, new])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        at = pc.index_in(units, self.units).to_numpy().astype(np.int64)
+        sizes, begin = self.sizes[at], (np.cumsum(self.sizes) - self.sizes)[at]
+        shift = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+        return self.ids[np.arange(len(shift)) + shift], sizes
+
+    def after_space(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Like `each`, of units that follow a space, begin with no white space and hold no space."""
+        cuts = np.append(np.arange(0, len(units), RUN), len(units))
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), units), " ")
+        ids, _ = self.each([" " + r for r in runs.to_pylist()] if len(units) else [])
+        begin = np.flatnonzero(self.spaced[ids])
+        if len(begin) != len(units):
+            return self.each([" " + u for u in units.to_pylist()])
+        return ids, np.diff(np.append(begin, len(ids)))
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after another, and how many are of each text.
-
-        Units are told apart in Arrow; only the different ones of these texts are looked up.
-        """
-        if len(self.after) + len(self.first) > self.limit:
-            self.after, self.first = {}, {}
-        gc.disable()  # a million cached units are no cycles, but the collector would walk over them again and again
-        try:
-            return self._encode(texts, end_id)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        offsets, place, units = unit_codes(texts)
-        docs, heads, total = len(texts), offsets[:-1], len(units)
+        """All ids of the texts one after another, and how many are of each text."""
+        docs, lists = len(texts), pc.split_pattern(texts, " ")
+        coded = lists.values.dictionary_encode()
+        offsets, place, units = lists.offsets.to_numpy().astype(np.int64), coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        heads, total = offsets[:-1], len(units)
         inner = np.ones(len(place), bool)
         inner[heads] = False
+        blank = pc.or_(pc.equal(pc.binary_length(units), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(units, 0, 1)))
+        blank = blank.to_numpy(zero_copy_only=False)
+        whole = np.zeros(docs, bool)  # with a token that is cut out before all others
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        odd = whole.copy()  # a space before white space is no boundary
+        odd[np.searchsorted(offsets, np.flatnonzero(blank[place] & inner), "right") - 1] = True
+        inner &= ~np.repeat(odd, np.diff(offsets))
+
+        # Ids of: units after a space; the first unit of each text; what odd texts have after spaces; the end id.
         used = np.zeros(total, bool)
         used[place[inner]] = True
-        odd = np.array([u and (not w or w[0].isspace()) for w, u in zip(units, used.tolist())], bool)
-        ids = [b""] * total
-        take = np.flatnonzero(used & ~odd).tolist()
-        for k, x in zip(take, self.known([units[k] for k in take], True)):
-            ids[k] = x
-        starts = self.known([units[k] for k in place[heads].tolist()], False)
-        if odd.any():  # before such a unit a space is no boundary; these texts are split at the others only
-            again = np.unique(np.searchsorted(offsets, np.flatnonzero(odd[place] & inner), "right") - 1)
-            for k in again.tolist():
-                first, *rest = self.odd.split(texts[k].as_py())
-                starts[k] = b"".join(self.known([first], False) + self.known(rest, True))
-                place[offsets[k] + 1:offsets[k + 1]] = total + docs
-        ends = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
-        ids += starts + [b"", ends]
-        counts = np.diff(offsets)
-        row = np.repeat(np.arange(docs), counts)
-        all_units = np.full(len(place) + docs, total + docs + 1, np.int64)  # each text ends with the end id
+        ids, found = self.known(units.filter(pa.array(used)))
+        sizes = np.zeros(total, np.int64)
+        sizes[used] = found
+        first = units.take(pa.array(place[heads])).to_pylist()
+        rest: dict[str, int] = {}
+        parts: dict[int, list[int]] = {}
+        for k in np.flatnonzero(odd).tolist():
+            text = texts[k].as_py()
+            first[k], *others = [text] if whole[k] else self.cut.split(text)
+            parts[k] = [rest.setdefault(" " + u, len(rest)) for u in others]
+        first_ids, first_sizes = self.each(first)
+        rest_ids, rest_sizes = self.each(list(rest))
+        ends = np.array([] if end_id is None else [end_id], self.kind)
+        flat = np.concatenate([ids, first_ids, rest_ids, ends])
+        sizes = np.concatenate([sizes, first_sizes, rest_sizes, [len(ends)]])
+
         place[heads] = total + np.arange(docs)
-        all_units[np.arange(len(place)) + row] = place
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        flat = np.frombuffer(b"".join(ids), self.kind)
-        lengths = sizes[all_units]
-        shift = (np.cumsum(sizes) - sizes)[all_units] - (np.cumsum(lengths) - lengths)
+        last = len(sizes) - 1
+        pieces, at = [], 0
+        for k, others in parts.items():
+            pieces += place[at:offsets[k] + 1], total + docs + np.array(others, np.int64)
+            at = offsets[k + 1]
+        counts = np.diff(offsets)
+        counts[list(parts)] = [1 + len(p) for p in parts.values()]
+        place = np.concatenate([*pieces, place[at:]])
+        order = np.full(len(place) + docs, last, np.int64)  # each text ends with the end id
+        order[np.arange(len(place)) + np.repeat(np.arange(docs), counts)] = place
+        lengths = sizes[order]
+        shift = (np.cumsum(sizes) - sizes)[order] - (np.cumsum(lengths) - lengths)
         out = flat[np.arange(int(lengths.sum())) + np.repeat(shift, lengths)]
-        return out, np.add.reduceat(lengths, heads + np.arange(docs)) if docs else lengths
+        tops = np.cumsum(counts + 1) - counts - 1
+        return out, np.add.reduceat(lengths, tops) if docs else lengths
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}

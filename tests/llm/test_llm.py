@@ -377,6 +377,23 @@ def test_token_files(request, which):
     assert table(token_output.encoded_documents(df, path)) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_units_encode_like_the_library(seed):
+    """White space of all kinds, added tokens and repeated units; units of earlier calls come from the cache."""
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(seed), queries.tokenizer_path("byte_bpe_50k.json")
+    parts = ["a", "word", " word", "é", "'s", "'", "12", " ", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "\u200b",
+             "...", "中文", "<|endoftext|>", "😀", "a\u0301", "\x00", "\u0120"]
+    plain, coder = Tokenizer.from_file(path), token_output.UnitEncoder(path)
+    for _ in range(20):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(60)]
+        ids, lengths = coder.encode(pa.array(texts), 0)
+        want = [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert lengths.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+
+
 def test_coder_round_trip_and_checksums():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 1000, 300_000):
