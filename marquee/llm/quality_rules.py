@@ -2,9 +2,13 @@
 
 For each document five counts and three shares are taken. Values of a share are counted in buckets whose
 bounds grow by GROWTH (a quantile is known to GROWTH - 1 of its value); such a sketch is a table
-(lang, source, share, bucket, n), and merging sketches is adding n. A group's limit for a share is its upper
-quartile plus SPREAD times the distance of its quartiles, at least `slack`; a document above a limit is not
-kept. A group of fewer than LEAST rows uses the merged sketch of its language, or that of all documents.
+(lang, source, share, bucket, n), and merging sketches is adding n. Only documents that the base rules pass
+count in n, so that the bulk of copies and scraps does not set the limits for the others.
+
+A group's limit for a share is its HIGH quantile, at least FLOOR, and at most its median plus SPREAD times the
+distance from the lower quartile to the median (at least `slack`), which dirt in less than half of its rows does
+not move. A document above a limit is not kept. A group of fewer than LEAST rows uses the merged sketch of its
+language, or that of all documents.
 
 Everything is DataFrame expressions. A text's 8-word windows are compared as 64-bit hashes.
 
@@ -28,6 +32,9 @@ MOST_REPEATED = 30
 GROWTH = 1.02
 SPREAD = 6.0
 LEAST = 100
+HIGH = 0.98
+#: What is always let pass, for each share.
+FLOOR = {"symbols": 0.02, "dup_lines": 0.1, "repeats": 0.05}
 #: Smallest distance of quartiles that is believed, for each share.
 SLACK = {"symbols": 0.01, "dup_lines": 0.1, "repeats": 0.05}
 
@@ -84,11 +91,12 @@ def shares() -> dict[str, Column]:
 
 
 def sketched(rows: DataFrame) -> DataFrame:
-    """lang, source, share, bucket, n: the mergeable sketch; bucket null holds zeros."""
+    """lang, source, share, bucket, n: the mergeable sketch; bucket null holds zeros, n leaves out what the base rules fail."""
     values = F.array(*[F.struct(F.lit(k).alias("share"), v.alias("value")) for k, v in shares().items()])
-    flat = rows.select("lang", "source", F.explode(values).alias("v")).select("lang", "source", "v.*")
+    passed = F.when(F.col("base_failed"), 0).otherwise(1).alias("passed")
+    flat = rows.select("lang", "source", passed, F.explode(values).alias("v")).select("lang", "source", "passed", "v.*")
     bucket = F.when(F.col("value") > 0, F.floor(F.log("value") / math.log(GROWTH)).cast("int"))
-    return flat.groupBy("lang", "source", "share", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return flat.groupBy("lang", "source", "share", bucket.alias("bucket")).agg(F.sum("passed").alias("n"))
 
 
 def limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,12 +104,14 @@ def limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
     merged = sketch.groupBy(*keys, "share", "bucket").agg(F.sum("n").alias("n"))
     group = W.Window.partitionBy(*keys, "share")
     upto = group.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(W.Window.unboundedPreceding, 0)
-    run = merged.select(*keys, "share", F.when(F.col("bucket").isNull(), 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bucket") + 0.5)).alias("value"),
-                        F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("rows"))
-    quartile = lambda q: F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("value")))
-    both = run.groupBy(*keys, "share").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.max("rows").alias("rows"))
-    slack = F.create_map(*[F.lit(x) for p in SLACK.items() for x in p])[F.col("share")]
-    return both.select(*keys, "share", "rows", (F.col("q3") + SPREAD * F.greatest(F.col("q3") - F.col("q1"), slack)).alias("limit"))
+    value = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bucket") + 1))  # no value of the bucket is above
+    run = merged.select(*keys, "share", value.alias("value"), F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("rows"))
+    quantile = lambda q: F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("value")))
+    both = run.groupBy(*keys, "share").agg(
+        quantile(0.25).alias("q1"), quantile(0.5).alias("q2"), quantile(HIGH).alias("high"), F.max("rows").alias("rows"))
+    of = lambda table: F.create_map(*[F.lit(x) for p in table.items() for x in p])[F.col("share")]
+    fence = F.col("q2") + SPREAD * F.greatest(F.col("q2") - F.col("q1"), of(SLACK))
+    return both.select(*keys, "share", "rows", F.greatest(of(FLOOR), F.least(F.col("high"), fence)).alias("limit"))
 
 
 def thresholds(sketch: DataFrame, scratch: Scratch) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -362,6 +364,38 @@ def test_quality_limits_follow_groups(spark):
     assert table(quality_rules.limits(halves, ["lang"])) == table(quality_rules.limits(quality_rules.sketched(df), ["lang"]))
 
 
+def plain_limits(values, floor, slack):
+    """HIGH quantile of the values in its bounds; sketch buckets are 2 % wide."""
+    at = lambda q: sorted(values)[max(0, math.ceil(q * len(values) - 1e-9) - 1)]
+    return max(floor, min(at(0.98), at(0.5) + 6 * max(at(0.5) - at(0.25), slack)))
+
+
+def shares_of(r):
+    return {"symbols": r.n_symbols / (r.word_chars or 1), "dup_lines": r.n_dup_lines / (r.n_lines or 1), "repeats": r.n_repeat_words / (r.n_words or 1)}
+
+
+def test_quality_limits_equal_plain_quantiles(spark):
+    """Limits and decisions on real documents: groups differ, and each rule rejects something beyond the base rules."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang = 'en' and doc_id % 2 = 0")
+    lines = {r.doc_id: r for r in quality_rules.signals(docs).select("doc_id", "lang", "source", "n_lines").collect()}
+    out = quality_rules.judged(docs).collect()
+    full = [SimpleNamespace(**r.asDict(), lang=lines[r.doc_id].lang, source=lines[r.doc_id].source, n_lines=lines[r.doc_id].n_lines) for r in out]
+    groups, every = collections.defaultdict(list), [r for r in full if not r.base_failed]
+    for r in every:
+        groups[r.source].append(r)
+    seen, beyond = collections.defaultdict(set), collections.Counter()
+    for r in full:
+        mine = groups[r.source] if len(groups[r.source]) >= quality_rules.LEAST else every
+        for s in quality_rules.SLACK:
+            want = plain_limits([shares_of(x)[s] for x in mine], quality_rules.FLOOR[s], quality_rules.SLACK[s])
+            got = getattr(r, f"limit_{s}")
+            assert want <= got * (1 + 1e-9) and got <= want * 1.021
+            seen[s].add(got)
+            beyond[s] += not r.base_failed and shares_of(r)[s] > got
+        assert r.kept == (not r.base_failed and all(v <= getattr(r, f"limit_{s}") for s, v in shares_of(r).items()))
+    assert len(seen["dup_lines"]) > 3 and len(seen["repeats"]) > 3 and max(seen["repeats"]) < 0.3 and min(beyond.values()) > 10
+
+
 # --- 9 token files ------------------------------------------------------------------------
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_token_files(request, which):
