@@ -8,7 +8,9 @@ count in n, so that the bulk of copies and scraps does not set the limits for th
 A group's limit for a share is its HIGH quantile, at least FLOOR, and at most its median plus SPREAD times the
 distance from the lower quartile to the median (at least `slack`), which dirt in less than half of its rows does
 not move. A document above a limit is not kept. A group of fewer than LEAST rows uses the merged sketch of its
-language, or that of all documents.
+language, or that of all documents; no limit is more than LOOSER times that of the language or of all, nor than
+LOOSER times the median of the limits of their groups, which one hot source does not move. So a source that is
+mostly dirt, or unlike all others, is held to about what the others show.
 
 Everything is DataFrame expressions. A text's 8-word windows are compared as 64-bit hashes.
 
@@ -33,6 +35,8 @@ GROWTH = 1.02
 SPREAD = 6.0
 LEAST = 100
 HIGH = 0.98
+#: How much looser than those of its language and of all documents a limit may be.
+LOOSER = 2.0
 #: What is always let pass, for each share.
 FLOOR = {"symbols": 0.02, "dup_lines": 0.1, "repeats": 0.05}
 #: Smallest distance of quartiles that is believed, for each share.
@@ -118,11 +122,18 @@ def thresholds(sketch: DataFrame, scratch: Scratch) -> DataFrame:
     """lang, source and the limit of each share."""
     sketch = scratch.cut(sketch, "sketch")
     own, by_lang, every = limits(sketch, ["lang", "source"]), limits(sketch, ["lang"]), limits(sketch.withColumn("all", F.lit(1)), ["all"])
-    by_lang = by_lang.select(F.col("lang").alias("l2"), F.col("share").alias("s2"), F.col("rows").alias("r2"), F.col("limit").alias("m2"))
-    every = every.select(F.col("share").alias("s3"), F.col("limit").alias("m3"))
+    full, middle = own.filter(F.col("rows") >= LEAST), F.percentile_approx("limit", 0.5)
+    lang_middle = full.groupBy(F.col("lang").alias("l4"), F.col("share").alias("s4")).agg(middle.alias("m4"))
+    middle = full.groupBy(F.col("share").alias("s5")).agg(middle.alias("m5"))
+    by_lang = by_lang.select(F.col("lang").alias("l2"), F.col("share").alias("s2"), F.col("rows").alias("r2"), F.col("limit").alias("m2")).join(
+        lang_middle, F.col("l2").eqNullSafe(F.col("l4")) & (F.col("s2") == F.col("s4")), "left")
+    every = every.select(F.col("share").alias("s3"), F.col("limit").alias("m3")).join(middle, F.col("s3") == F.col("s5"), "left")
     both = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("share") == F.col("s2"))).join(
         F.broadcast(every), F.col("share") == F.col("s3"))  # one row per share
-    limit = F.when(F.col("rows") >= LEAST, F.col("limit")).when(F.col("r2") >= LEAST, F.col("m2")).otherwise(F.col("m3"))
+    most = LOOSER * F.least("m3", "m5")  # null where no group has LEAST rows, which `least` passes over
+    of_lang = F.least(F.col("m2"), most)
+    limit = F.when(F.col("rows") >= LEAST, F.least(F.col("limit"), most, LOOSER * F.least("m2", "m4"))).when(
+        F.col("r2") >= LEAST, of_lang).otherwise(F.least(F.col("m3"), most))
     wide = both.groupBy("lang", "source")
     return wide.agg(*[F.max(F.when(F.col("share") == s, limit)).alias(f"limit_{s}") for s in SLACK]).select(
         F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[f"limit_{s}" for s in SLACK])

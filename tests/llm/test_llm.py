@@ -396,6 +396,21 @@ def test_quality_limits_equal_plain_quantiles(spark):
     assert len(seen["dup_lines"]) > 3 and len(seen["repeats"]) > 3 and max(seen["repeats"]) < 0.3 and min(beyond.values()) > 10
 
 
+@pytest.mark.parametrize("share,hot,mixed", [(0.3, 200, False), (0.3, 2000, False), (0.3, 2000, True), (0.8, 200, True)])
+def test_dirty_source_keeps_no_junk(spark, share, hot, mixed):
+    """A source with much junk, also one that holds a third of all rows, is held to what the others show."""
+    rng = random.Random(hot)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    symbols = lambda: " ".join(f"w{rng.randrange(10**4)}$$$" for _ in range(40))
+    lines = lambda: "\n".join([prose(6)] * 2 + [prose(30)])
+    rows = [(k, prose(40), "en", f"s{k % 20}") for k in range(4000)]
+    rows += [(10_000 + k, (lines() if mixed and k % 2 else symbols()) if k < share * hot else prose(40), "en", "dirty") for k in range(hot)]
+    out = quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    junk = [r for r in out if 10_000 <= r.doc_id < 10_000 + share * hot]
+    assert not any(r.base_failed for r in out)
+    assert not any(r.kept for r in junk) and all(r.kept for r in out if r.doc_id < 10_000)
+
+
 # --- 9 token files ------------------------------------------------------------------------
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_token_files(request, which):
