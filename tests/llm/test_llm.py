@@ -336,6 +336,25 @@ def test_automaton_blocks(seed):
         assert {p for a, b in spans for p in range(a, b + 1)} == hit and got == ids and counts[k] == len(w)
 
 
+def test_many_blocks_equal_one(spark, docs, odd):
+    """Automata are built in tasks, none in the driver; many small blocks find and cut what one does."""
+    def none_here(*_):
+        raise AssertionError("built in the driver")
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    here = decontaminate.Automaton.__init__
+    try:
+        decontaminate.Automaton.__init__ = none_here
+        for df, items in ((docs, bench), (odd, spark.createDataFrame([(1, "two three four"), (2, "five six"), (1, "x"), (None, "beta")], "item_id long, text string"))):
+            one, many = [decontaminate.contamination(df, items, block_words=n) for n in (10**6, 300 if df is docs else 2)]
+            assert table(one) == table(many) and many.filter("contaminated").count() > 0
+            one, many = [decontaminate.without_benchmark(df, items, block_words=n) for n in (10**6, 300 if df is docs else 2)]
+            assert one.columns == many.columns and table(one) == table(many)
+    finally:
+        decontaminate.Automaton.__init__ = here
+    assert len(decontaminate.Blocks(bench, decontaminate.Scratch(spark, "t"), block_words=300).names) > 2
+
+
 # --- 8 quality ----------------------------------------------------------------------------
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_quality_counts(request, which):
