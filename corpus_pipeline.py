@@ -1,8 +1,9 @@
 """A training corpus from raw documents: five stages, each over all that the one before kept.
 
-The language stage rejects documents without letters or with a score below LEAST_SCORE; one document of
-each near-duplicate class stays (five-word shingles, 0.8); benchmark passages are cut out; sources are mixed
-to their weights; what remains is written as coded token files and read back.
+The language stage rejects documents without letters or with a score below a floor that follows the held-out
+documents, LEAST_SCORE at least; one document of each near-duplicate class stays (five-word shingles, 0.8);
+benchmark passages are cut out; sources are mixed to their weights; what remains is written as coded token files
+and read back.
 """
 
 from __future__ import annotations

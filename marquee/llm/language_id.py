@@ -31,6 +31,9 @@ PER_LANGUAGE = 2000
 SLICE_BYTES = 1 << 20
 HELD_GRAMS = 500_000
 NONE = "und"
+#: The floor of a recognised text's score is this quantile of the held-out texts' scores, less the margin.
+FLOOR_QUANTILE = 0.01
+FLOOR_MARGIN = 0.15
 _LETTERS: list[np.ndarray] = []
 
 
@@ -161,9 +164,19 @@ def identified(docs: DataFrame, per_language: int = PER_LANGUAGE, top: int = TOP
     return predicted(rows, learned, top).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def score_floor(docs: DataFrame, learned: dict[str, list[int]], top: int = TOP) -> float:
+    """Scores below it are not those of a learned language: all held-out documents whose label is found count;
+    0 without any. On sf0.01 their 1 % quantile is 0.51, while texts in other languages come to 0.3."""
+    rows = docs.filter(held_out()).select(F.col("lang").cast("string").alias("lang"), "text")
+    found = predicted(rows, learned, top).filter("lang_pred = lang")
+    low = found.agg(F.percentile_approx("score", FLOOR_QUANTILE, 10_000)).first()[0]
+    return 0.0 if low is None else max(0.0, low - FLOOR_MARGIN)
+
+
 def with_language(docs: DataFrame, least: float = 0.0, per_language: int = PER_LANGUAGE, top: int = TOP) -> DataFrame:
-    """The rows of docs in which a language is recognised with a score of at least `least`, columns unchanged."""
+    """The rows of docs in which a language is recognised with a score of at least `least` and the floor, columns unchanged."""
     learned = profiles(training_rows(docs.filter(~held_out()), per_language), top)
+    least = max(least, score_floor(docs, learned, top))
     named = predicted(docs.select(*[F.col(c).alias(f"c{k}") if c != "text" else F.col(c) for k, c in enumerate(docs.columns)]), learned, top)
     kept = named.filter((F.col("lang_pred") != NONE) & (F.col("score") >= least)).drop("lang_pred", "score")
     return kept.toDF(*docs.columns)

@@ -187,6 +187,19 @@ def test_language_edges(spark, odd):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()}.isdisjoint({0, 1, 2, 7})
 
 
+def test_language_stage_rejects_what_was_not_learned(spark, docs):
+    go = ["Tervetuloa kaupunkiin, jossa jokainen päivä alkaa hyvällä kahvilla ja pitkällä kävelyllä järven rannalla.",
+          "Dzisiaj jest piękna pogoda i wszyscy chcą wyjść na spacer do parku, żeby odpocząć po pracy.",
+          "Ma nagyon szép idő van, és mindenki sétálni szeretne a parkban munka után.", "xq zj vk wq pz", "12 34"]
+    stay = ["The station and the house on the other side of the street are then the best.", "the one and the other",
+            "Der Hund und die Katze sind nicht in der Stadt, aber ich gehe mit dir.",
+            "La maison est dans la rue et les enfants ne sont pas là.", "La casa de la ciudad es muy grande y los niños están en el parque."]
+    more = spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(go + stay)], "doc_id long, text string")
+    kept = corpus_pipeline.recognised(spark, docs.unionByName(more, allowMissingColumns=True), SF)
+    assert {r.text for r in kept.filter("doc_id >= 1000000").collect()} == set(stay)
+    assert kept.filter("doc_id < 1000000").count() == docs.count()
+
+
 # --- 4 mixing -----------------------------------------------------------------------------
 def test_targets_share_what_is_cut():
     got = mixing.targets({"a": 100, "b": 10, "c": 100, None: 0})
