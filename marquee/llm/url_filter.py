@@ -2,7 +2,7 @@
 
 A rule is a host and the beginning of a path ("net/es/"); it fits the host and all its subdomains. A URL
 is looked up under every suffix of its host by one join with the rules; the longest rule that fits wins.
-The URLs that a rule decides are the labelled ones: the trees learn from at most `sample` of them, those
+The URLs that a rule decides are the labelled ones: the trees learn from at most `sample` different ones, those
 with the least hash, and judge the others. Host and path words are not features, only their shape and how
 common the host's suffixes are.
 
@@ -98,7 +98,8 @@ def judged(pages: DataFrame, rules: tuple = RULES, sample: int = SAMPLE) -> Data
     scratch = Scratch(pages.sparkSession, "urls")
     rows = scratch.cut(featured(ruled(parts(pages), rules), scratch), "features")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = rows.filter("rule is not null").withColumn("hash", F.xxhash64("url")).orderBy("hash", "page_id").limit(sample)
+    labelled = rows.filter("rule is not null").dropDuplicates(["url"])  # rows of one URL have equal features
+    train = labelled.withColumn("hash", F.xxhash64("url")).orderBy("hash", "url").limit(sample)
     train = scratch.cut(train.select(*FEATURES, (F.col("rule_verdict") == "block").cast("double").alias("label")), "train")
     seen = {r["label"] for r in train.select("label").distinct().collect()}
     if len(seen) < 2:

@@ -292,6 +292,16 @@ def test_url_trees_learn(spark):
     assert np.mean([r.verdict == r.learned_verdict for r in out]) > 0.8
 
 
+def test_repeated_url_does_not_fill_the_sample(spark):
+    urls = [f"http://a{k}.com/" for k in range(50)] + [f"http://b.net/es/{k}/{k}" for k in range(50)]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    first = df.orderBy(F.xxhash64("url")).first()["url"]
+    more = ["http://a7.org/", "http://b.org/es/3/3"]
+    pages = spark.createDataFrame(list(enumerate([*urls, *[first] * 300, *more])), "page_id long, url string")
+    out = url_filter.judged(pages, sample=60).collect()
+    assert len(out) == 402 and {r.learned_verdict for r in out} == {"allow", "block"}
+
+
 # --- 7 decontamination --------------------------------------------------------------------
 def plain_contamination(rows, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
