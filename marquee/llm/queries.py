@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    conversation_trie,
     decontaminate,
+    instruction_packing,
     language_id,
     mixing,
     near_dedup,
+    phrases,
     quality_rules,
     sharding,
     token_counts,
@@ -81,7 +84,24 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of each language, counted over all documents."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut into training sequences of at most 1024 tokens."""
+    pieces = instruction_packing.packed_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return pieces.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("total").alias("doc_tokens"), "sequence_id", "offset")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of conversations with common heads."""
+    return conversation_trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_token_counts, op2_sharding, op3_language_id, op4_mixing, op5_toxicity, op6_url_filter, op7_decontamination,
-    op8_quality_rules, op9_token_ids, op10_near_dedup)}
+    op8_quality_rules, op9_token_ids, op10_near_dedup, op11_phrases, op12_packing, op13_conversation_trie)}
 ORACLES: dict[str, str] = {}
