@@ -300,8 +300,10 @@ def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, c
     A space takes the place of a span. An n_chars column is set to the new length of a changed text.
     """
     scratch = Scratch(docs.sparkSession, "benchmark")
-    blocks, columns, schema = Blocks(items, scratch, window, block_words), docs.columns, docs.schema
-    at = columns.index("text")
+    blocks, names = Blocks(items, scratch, window, block_words), docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    columns, schema = docs.columns, docs.schema
 
     def cut(text: str, spans: list[tuple[int, int]]) -> str:
         places = [m.span() for m in WORD.finditer(text)]
@@ -324,10 +326,9 @@ def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, c
                     arrays = [c.take(pa.array(kept, pa.int64())) for c in batch.columns]
                     texts = arrays[at].to_pylist()
                     arrays[at] = pa.array([changed.get(k, t) for k, t in zip(kept, texts)], batch.schema.field(at).type)
-                    if "n_chars" in columns:
-                        n = columns.index("n_chars")
-                        sizes = [len(changed[k]) if k in changed else x for k, x in zip(kept, arrays[n].to_pylist())]
-                        arrays[n] = pa.array(sizes, batch.schema.field(n).type)
+                    if chars is not None:
+                        sizes = [len(changed[k]) if k in changed else x for k, x in zip(kept, arrays[chars].to_pylist())]
+                        arrays[chars] = pa.array(sizes, batch.schema.field(chars).type)
                     batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
                 yield batch
 
@@ -335,16 +336,16 @@ def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, c
 
     if len(blocks.names) > 1:
         held = scratch.cut(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-        found = found_by_row(held, blocks, scratch, False).select(F.col("_row").alias("_of"), "n_words", "spans")
-        both = held.join(found, F.col("_row") == F.col("_of"), "left").select(*[held[c] for c in columns], F.col("n_words").alias("_n"), F.col("spans").alias("_s"))
+        found = found_by_row(held.select("_row", F.col(columns[at]).alias("text")), blocks, scratch, False).select(F.col("_row").alias("_of"), "n_words", "spans")
+        both = held.join(found, F.col("_row") == F.col("_of"), "left").select(*columns, "n_words", "spans")
 
         def known(batch: pa.RecordBatch) -> Iterator[tuple]:
             counts, spans = batch.column(len(columns)), pairs(batch.column(len(columns) + 1))
             yield from ((k, counts[k].as_py(), s, batch.column(at)[k].as_py()) for k, s in enumerate(spans) if s)
 
-        return in_arrow(both, run(known), schema)
+        return in_arrow(both, run(known), schema).toDF(*names)
     if not blocks.names:
-        return docs
+        return docs.toDF(*names)
     sent = blocks.sent(blocks.names[0])
 
     def scan(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -352,4 +353,4 @@ def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, c
             counts, found = hits(texts, [automaton_of(sent)])
             yield from ((start + k, counts[k], spans, texts[k].as_py()) for k, (spans, _) in found.items())
 
-    return in_arrow(docs, run(scan), schema)
+    return in_arrow(docs, run(scan), schema).toDF(*names)

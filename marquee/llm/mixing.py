@@ -27,6 +27,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .common import WORD, Scratch, numbered
@@ -140,11 +141,14 @@ def words_in(text):
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies and source for each document."""
+    """doc_id, size, source_size, target, taken, copies, source and text_hash for each document.
+
+    Documents of one size in a source take their copies by doc_id, then by a hash of the text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words_in(F.col("text")).alias("size"))
-    rows = scratch.cut(numbered(rows, ["source", "size"], ["doc_id"], "rank", scratch), "ranked")
+    rows = docs.select(
+        F.col("doc_id").cast("long"), F.col("source").cast("string"), words_in(F.col("text")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    rows = scratch.cut(numbered(rows, ["source", "size"], ["doc_id", "text_hash"], "rank", scratch), "ranked")
     sizes = scratch.cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     sums = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("n")).collect()
     total, count = {r["source"]: r["words"] for r in sums}, {r["source"]: r["n"] for r in sums}
@@ -162,18 +166,18 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
     held = held.withColumnsRenamed({"source": "from", "size": "words"})
     joined = rows.join(held, F.col("source").eqNullSafe(F.col("from")) & (F.col("size") == F.col("words")))
     copies = F.floor(F.col("rate") / UNIT).cast("long") + F.when(F.col("rank") < F.col("ups"), 1).otherwise(0)
-    return joined.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), "source").select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+    return joined.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), "source", "text_hash").select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "text_hash")
 
 
 def copies_of(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """docs with every row as often as the mix takes it. Rows of equal doc_id, source and size are matched in any order."""
-    keys = {"_id": F.col("doc_id").cast("long"), "_of": F.col("source").cast("string"), "_size": words_in(F.col("text"))}
-    nth = F.row_number().over(W.Window.partitionBy("_id", "_of", "_size").orderBy(F.lit(1)))
-    mine = docs.withColumns(keys).withColumn("_nth", nth)
-    theirs = mixed(docs, weights, share, most).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_size"), "copies").withColumn("_nth", nth)
-    theirs = theirs.toDF("k0", "k1", "k2", "_copies", "k3")
-    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip((*keys, "_nth"), ("k0", "k1", "k2", "k3"))]
-    both = mine.join(theirs.filter("_copies > 0"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return both.select(*docs.columns)
+    """docs with every row as often as the mix takes it; rows of equal doc_id, source and text are matched in order of a hash of all columns."""
+    plain = [F.to_json(F.struct(f"`{f.name}`")) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    mine = docs.select(row.alias("row"), F.struct(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(F.col("text").cast("string"))).alias("id"), F.xxhash64(*plain).alias("order"))
+    theirs = mixed(docs, weights, share, most).select(F.struct("doc_id", "source", "text_hash").alias("id"), "copies")
+    mine = mine.withColumn("nth", F.row_number().over(W.Window.partitionBy("id").orderBy("order")))
+    theirs = theirs.withColumn("nth", F.row_number().over(W.Window.partitionBy("id").orderBy(F.desc("copies"))))
+    taken = theirs.filter("copies > 0").select(F.col("id").alias("of"), F.col("nth").alias("no"), "copies")
+    both = mine.join(taken, F.col("id").eqNullSafe(F.col("of")) & (F.col("nth") == F.col("no")))
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -9,15 +9,17 @@ tables from 2 * m * ROWS values. `collection_size` picks m so that a pair just a
 by all tables with a chance of at most MISS.
 
 Copies with equal sets become one representative first. Keys that no other representative has are left
-out before tables are formed. In each bucket all members are compared with its smallest one; a bucket
-whose members are then in one class is done. Large ones of the others are compared once more, with the
-first of the bucket in one of ORDERS random orders. Of what is left, buckets up to SMALL compare all members
-that are still in different classes; members of larger ones go through an exact prefix join on their
-rarest shingles, so that no bucket size loses a link and none is compared all with all.
+out before tables are formed. In each bucket all members are compared with its smallest one, its head; a bucket
+whose members are then in one class is done. The members of large buckets are from then on looked at by their
+heads, not bucket by bucket: where there are different classes under a head, all are compared with those that
+come first in ORDERS random orders. Of what is left, buckets up to SMALL compare all members that are still in
+different classes; members of larger ones go through an exact prefix join on their rarest shingles, so that no
+bucket size loses a link and none is compared all with all.
 
 Defined cases: null, empty or blank texts have no shingles, link with nothing and are kept; rows without
-doc_id are neither linked nor dropped; repeated rows are copies; columns besides doc_id and text are left
-alone; an empty table gives an empty result.
+doc_id are neither linked nor dropped; repeated rows are copies; different texts of one doc_id are documents of
+their own, in any order of rows; columns besides doc_id and text are left alone; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .common import Scratch, in_arrow, text_slices, word_bytes, word_codes
@@ -40,6 +43,7 @@ ROWS = 3
 MISS = 1e-4
 SMALL = 16
 ORDERS = 8
+SALTS = 32
 SLICE_BYTES = 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,6 +86,10 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def digest_of(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def band_keys(shingles: np.ndarray, mult: np.ndarray, add: np.ndarray, rows: int) -> np.ndarray:
     """One key for each `rows` MinHash values of a set."""
     least = np.full(len(mult), np.iinfo(np.uint64).max, np.uint64)
@@ -95,7 +103,7 @@ def band_keys(shingles: np.ndarray, mult: np.ndarray, add: np.ndarray, rows: int
 
 
 def sketches(docs: DataFrame, width: int, m: int, rows: int = ROWS, seed: int = 7) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and its 2 * m band keys."""
+    """doc_id, a hash of the text, n_shingles, digest of the set and its 2 * m band keys."""
     draw = np.random.default_rng(seed)
     mult = draw.integers(0, 1 << 63, 2 * m * rows, np.uint64) * np.uint64(2) + np.uint64(1)
     add = draw.integers(0, 1 << 63, 2 * m * rows, np.uint64)
@@ -106,26 +114,27 @@ def sketches(docs: DataFrame, width: int, m: int, rows: int = ROWS, seed: int =
                 sizes, digests, keys = [], [], []
                 for s in shingle_sets(texts, width):
                     sizes.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    digests.append(digest_of(s))
                     keys.append(band_keys(s, mult, add, rows).view(np.int64) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(start, len(texts)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                    pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "keys"])
+                    batch.column(0).slice(start, len(texts)), batch.column(2).slice(start, len(texts)), pa.array(sizes, pa.int64()),
+                    pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "digest", "keys"])
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    rows_ = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return in_arrow(rows_, run, "doc_id long, text_hash long, n_shingles long, digest binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, shingles: the whole set of each document."""
+    """digest, shingles: the whole set of each document that has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_slices(batch, 1, SLICE_BYTES):
-                sets = [s.view(np.int64) for s in shingle_sets(texts, width)]
+                sets = [s for s in shingle_sets(texts, width) if len(s)]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(start, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+                    pa.array(map(digest_of, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "shingles"])
 
-    return in_arrow(docs.select("doc_id", "text"), run, "rep long, shingles array<long>")
+    return in_arrow(docs.select("doc_id", "text"), run, "digest binary, shingles array<long>")
 
 
 def table_rows(reps: DataFrame, m: int, scratch: Scratch) -> DataFrame:
@@ -141,10 +150,12 @@ def table_rows(reps: DataFrame, m: int, scratch: Scratch) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u > v) whose whole sets are alike enough."""
+    """The pairs (u > v) whose whole sets are alike enough. Pairs of one v are dealt over SALTS tasks, each with its set once."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
     one = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su"))
     two = sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv"))
-    both = pairs.join(one, "u").join(two, "v")
+    heads = salted.select("v", "salt").distinct().join(two, "v")
+    both = salted.join(one, "u").join(heads, ["v", "salt"])
     shared = F.size(F.array_intersect("su", "sv"))
     return both.withColumn("both", shared).filter(
         F.col("both") * 100 >= (F.size("su") + F.size("sv") - F.col("both")) * percent).select("u", "v")
@@ -203,72 +214,113 @@ def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
 
-def unresolved(members: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
+def small_unresolved(small: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of buckets whose members are in different classes, with their class."""
-    classed = scratch.cut(labelled(members.drop("label"), label), "classed")
+    classed = scratch.cut(labelled(small, label), "classed")
     mixed_up = classed.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("key")
     return scratch.cut(classed.join(mixed_up, "key", "left_semi"), "unresolved")
 
 
+def large_unresolved(large: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
+    """rep, n, v, label: the members of large buckets, by their heads v, under which there are different classes."""
+    classed = scratch.cut(labelled(large, label), "classed")
+    mixed_up = classed.groupBy("v").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("v")
+    return scratch.cut(classed.join(mixed_up, "v", "left_semi"), "unresolved")
+
+
 def more_heads(left: DataFrame, percent: int, orders: int = ORDERS) -> DataFrame:
-    """u, v: members of large buckets with the first of their bucket in one of a few random orders of all documents."""
-    large = left.filter(F.col("c") > SMALL).withColumn("order", F.pmod("key", F.lit(orders)))
-    heads = large.groupBy("key").agg(F.min_by(F.struct("rep", "n", "label"), F.xxhash64("rep", "order")).alias("h"))
-    pairs = large.join(heads, "key").filter((F.col("label") != F.col("h.label")) & close_sizes("n", "h.n", percent))
+    """u, v: members of large buckets with those of the same head that come first in a few random orders."""
+    heads = left.groupBy("v").agg(F.array(*[
+        F.min_by(F.struct("rep", "n", "label"), F.xxhash64("rep", F.lit(k))) for k in range(orders)]).alias("h"))
+    heads = heads.select("v", F.explode(F.array_distinct("h")).alias("h"))
+    pairs = left.join(heads, "v").filter((F.col("label") != F.col("h.label")) & close_sizes("n", "h.n", percent))
     return pairs.select(F.greatest("rep", "h.rep").alias("u"), F.least("rep", "h.rep").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, m: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the class) and kept for each document."""
+def representatives(some: DataFrame, scratch: Scratch) -> DataFrame:
+    """digest, node, first: a number for each different set and the smallest doc_id that has it.
+
+    The number is that doc_id, or a hash of the set where several sets have the same smallest doc_id.
+    """
+    first = scratch.cut(some.groupBy("digest").agg(F.min("doc_id").alias("first")), "first")
+    again = first.groupBy("first").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("first").alias("again"))
+    node = F.when(F.col("again").isNull(), F.col("first")).otherwise(F.xxhash64("digest"))
+    return scratch.cut(first.join(again, F.col("first") == F.col("again"), "left").select("digest", node.alias("node"), "first"), "representatives")
+
+
+def classes(docs: DataFrame, width: int, percent: int, rows: int = ROWS, m: int | None = None) -> DataFrame:
+    """doc_id, text_hash, n_shingles, class (null without shingles) and component_id, for each row of docs."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     m = m or collection_size(percent, rows)
     found = scratch.cut(sketches(docs, width, m, rows), "sketches")
     some = found.filter("digest is not null and doc_id is not null")
-    first = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    same = scratch.cut(first, "representatives")
-    one = some.join(same, "digest").filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "keys", "digest").dropDuplicates(["digest"])
+    same = representatives(some, scratch)
+    nodes = same.select("digest", F.col("node").alias("rep"), "first")
+    one = some.join(nodes, "digest").filter("doc_id = first").select("rep", F.col("n_shingles").alias("n"), "keys").dropDuplicates(["rep"])
     rows_ = scratch.cut(table_rows(one, m, scratch), "tables")
 
     heads = rows_.groupBy("key").agg(F.min("rep").alias("v"), F.min_by("n", "rep").alias("nv"), F.count("*").alias("c")).filter("c > 1")
     heads = scratch.cut(heads, "heads")
     members = scratch.cut(rows_.join(heads, "key"), "members")  # of buckets with others
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
-    sets = scratch.cut(full_sets(texts, width).dropDuplicates(["rep"]), "sets")
+    scratch.drop(rows_, heads)
+    wanted = members.select("rep").distinct().join(nodes, "rep")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    whole = full_sets(texts, width).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    sets = scratch.cut(whole.join(wanted, "digest").select("rep", "shingles"), "sets")
 
     star = members.filter((F.col("rep") != F.col("v")) & close_sizes("n", "nv", percent)).select(F.col("rep").alias("u"), "v").distinct()
     links = scratch.cut(confirmed(star, sets, percent), "links")
     label = scratch.cut(components(links, scratch), "labels")
 
-    left = unresolved(members, label, scratch)
+    large = scratch.cut(members.filter(F.col("c") > SMALL).select("rep", "n", "v").distinct(), "large")
+    left = large_unresolved(large, label, scratch)
     again = scratch.cut(confirmed(more_heads(left, percent), sets, percent), "again")
     if not again.isEmpty():
         label = scratch.cut(components(as_links(label).union(again), scratch), "labels")
-        left = unresolved(left, label, scratch)
-    few = left.filter(F.col("c") <= SMALL)
+        left = large_unresolved(large, label, scratch)
+    few = small_unresolved(members.filter(F.col("c") <= SMALL), label, scratch)
     two = few.select("key", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"), F.col("v").alias("head"))
     pairs = two.join(few.select("key", F.col("rep").alias("w"), F.col("n").alias("nw"), F.col("label").alias("lw")), "key").filter(
         (F.col("u") > F.col("w")) & (F.col("w") != F.col("head")) & (F.col("lu") != F.col("lw")) & close_sizes("nu", "nw", percent))
     more = pairs.select("u", F.col("w").alias("v"))
-    many = left.filter(F.col("c") > SMALL).select("rep", "label").distinct()
+    many = left.select("rep", "label").distinct()
     if not many.isEmpty():
         more = more.union(prefix_pairs(scratch.cut(many, "many"), sets, percent))
     more = scratch.cut(confirmed(more.distinct(), sets, percent), "more")
     if not more.isEmpty():
-        label = components(as_links(label).union(more), scratch)
+        label = scratch.cut(components(as_links(label).union(more), scratch), "labels")
+
+    of = scratch.cut(labelled(nodes, label), "classes")
+    least = of.groupBy("label").agg(F.min("first").alias("component"))
+    of = scratch.cut(of.join(least, "label").select("digest", F.col("label").alias("class"), "component"), "classes")
+    scratch.drop(members, sets, large)
+    linked = found.filter("digest is not null").select("doc_id", "text_hash", "n_shingles", "digest").join(of, "digest")
+    linked = linked.filter("doc_id is not null").select("doc_id", "text_hash", "n_shingles", "class", F.col("component").alias("component_id"))
+    alone = found.filter("digest is null or doc_id is null").select(
+        "doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id"))
+    return linked.union(alone)
 
-    classes = labelled(same, label).select("digest", F.col("label").alias("component"))
-    out = found.join(scratch.cut(classes, "classes"), "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, m: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of the class) and kept for each document."""
+    return classes(docs, width, percent, rows, m).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each class, that with the smallest doc_id; rows without doc_id stay.
 
-    Of rows with equal doc_id and text one stays.
+    Of rows with equal doc_id and text one stays, that with the least hash of all columns; so does, of different
+    texts of the smallest doc_id in one class, that with the least hash.
     """
-    found = near_duplicates(docs, width, percent)
-    wanted = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("wanted")).distinct()
-    one = docs.join(wanted, F.col("doc_id").cast("long") == F.col("wanted"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.union(docs.filter("doc_id is null"))
+    found = classes(docs, width, percent).filter("doc_id is not null and doc_id = component_id")
+    in_class = found.filter("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("w"))
+    wanted = in_class.select("w.*").union(found.filter("class is null").select("doc_id", "text_hash").distinct())
+    wanted = wanted.toDF("wanted", "hash").select(F.struct("wanted", "hash").alias("wanted"))
+    own = F.struct(F.col("row.doc_id").cast("long").alias("wanted"), F.xxhash64(F.col("row.text").cast("string")).alias("hash"))
+    rows = docs.filter("doc_id is not null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("id", own)
+    rows = rows.join(wanted, F.col("id") == F.col("wanted"), "left_semi")
+    plain = [F.col(f"row.`{f.name}`") if not isinstance(f.dataType, (T.MapType, T.VariantType)) else F.to_json(F.struct(f"row.`{f.name}`"))
+             for f in docs.schema.fields if f.name != "text"]
+    one = rows.groupBy("id").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return one.select("row.*").union(docs.filter("doc_id is null"))

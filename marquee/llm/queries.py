@@ -49,7 +49,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix with source weights 3, 1, 2 takes from every document."""
-    return mixing.mixed(read(spark, sf_dir, "documents"))
+    return mixing.mixed(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Token ids in files: a static range asymmetric numeral system over independent blocks.
 
-Every text is encoded once, in `doc_id` order (nulls first, equal ids by text), and an end id is added.
-The counts of all ids give one frequency table, which every block shares. A block holds whole documents,
+Every text is encoded once, where it is read, and an end id is added; the ids, a quarter of the text in size, are
+then put in `doc_id` order (nulls first, equal ones by a hash of the text). Tasks count ids as they encode, and the
+counts of all give one frequency table, which every block shares. A block holds whole documents,
 as many as fill `BLOCK_TOKENS` ids, dealt in turn over interleaved lanes; each lane is a coder of its own
 with a 64-bit state and all write 32-bit words into one stream. Every `CHECKPOINT_STEPS` steps the states
 and the place in the stream are kept, so that parts of a block can be decoded side by side, and a block
@@ -267,75 +268,75 @@ class Coder:
             x[:b - a] = now
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """part, pos, doc_id, ids: each text's ids with the end id, in doc_id order over the parts."""
+def tokenised(docs: DataFrame, tokenizer: str, wide: bool, end_id: int = END_ID) -> DataFrame:
+    """doc_id, text_hash, ids: each text's ids with the end id, where the text is read; last in each task a row
+    with counts, how often each id occurs in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, pos, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        names = ["doc_id", "text_hash", "ids", "counts"]
+        coder, total = encoder(tokenizer), np.zeros(0, np.int64)
         for batch in batches:
             for start, texts in text_slices(batch, 1, SLICE_CHARS):
                 ids, lengths = coder.encode(texts, end_id)
-                offsets = np.concatenate([[0], np.cumsum(lengths)])
-                rows = pa.Array.from_buffers(pa.binary(), len(lengths), [
-                    None, pa.py_buffer((offsets * ids.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(lengths), part, np.int32)), pa.array(pos + offsets[:-1]),
-                    batch.column(0).slice(start, len(lengths)), pa.array(lengths), rows],
-                    names=["part", "pos", "doc_id", "n_tokens", "ids"])
-                pos += int(offsets[-1])
+                got = np.bincount(ids, minlength=len(total)).astype(np.int64)
+                got[:len(total)] += total
+                total, n = got, len(lengths)
+                ids = ids.astype("<u4" if wide else "<u2", copy=False)
+                offsets = np.concatenate([[0], np.cumsum(lengths)]) * ids.itemsize
+                rows = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, n), batch.column(2).slice(start, n), rows, pa.nulls(n, pa.binary())], names=names)
+        if len(total):
+            none = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return in_arrow(ordered, run, "part int, pos long, doc_id long, n_tokens long, ids binary")
+    rows_ = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return in_arrow(rows_, run, "doc_id long, text_hash long, ids binary, counts binary")
 
 
-def id_counts(tokens: DataFrame, wide: bool) -> DataFrame:
-    """id, n over all documents; tasks count before the shuffle."""
-    kind = "<u4" if wide else "<u2"
+def id_counts(tokens: DataFrame) -> DataFrame:
+    """id, n over all documents, from the counts of the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), kind)
-            got = np.bincount(ids, minlength=len(total)).astype(np.int64)
-            got[:len(total)] += total
-            total = got
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["id", "n"])
+            for counts in batch.column(0).to_pylist():
+                total = np.frombuffer(counts, "<i8")
+                found = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["id", "n"])
 
-    return in_arrow(tokens.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return in_arrow(tokens.filter("counts is not null").select("counts"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def blocks_of(tokens: DataFrame, freq, bits: int, wide: bool, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of whole documents that follow one another; freq is a broadcast of the table."""
-    kind = "<u4" if wide else "<u2"
+    """Blocks of whole documents in doc_id order over the parts; freq is a broadcast of the table."""
+    kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(freq.value, bits)
+        coder, part, pos = Coder(freq.value, bits), TaskContext.get().partitionId(), 0
         names = ["part", "pos", "n_tokens", "doc_ids", "lengths", "payload"]
         held: list[tuple] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join([r[4] for r in held]), kind)
+            ids = np.frombuffer(b"".join([r[1] for r in held]), kind)
             return pa.RecordBatch.from_arrays([
-                pa.array([held[0][0]], pa.int32()), pa.array([held[0][1]], pa.int64()), pa.array([len(ids)], pa.int64()),
-                pa.array([[r[2] for r in held]], pa.list_(pa.int64())), pa.array([[r[3] for r in held]], pa.list_(pa.int64())),
+                pa.array([part], pa.int32()), pa.array([pos], pa.int64()), pa.array([len(ids)], pa.int64()),
+                pa.array([[r[0] for r in held]], pa.list_(pa.int64())), pa.array([[len(r[1]) // kind.itemsize for r in held]], pa.list_(pa.int64())),
                 pa.array([coder.encode(ids)], pa.binary())], names=names)
 
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if held and (row[0] != held[-1][0] or row[1] != held[-1][1] + held[-1][3]):
-                    yield block()
-                    held, size = [], 0
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.append(row)
-                size += row[3]
+                size += len(row[1]) // kind.itemsize
                 if size >= block_tokens:
                     yield block()
-                    held, size = [], 0
+                    held, pos, size = [], pos + size, 0
         if held:
             yield block()
 
-    return in_arrow(tokens.select("part", "pos", "doc_id", "n_tokens", "ids"), run, "part int, pos long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary")
+    order = ["doc_id", "text_hash"]
+    ordered = tokens.filter("ids is not null").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    return in_arrow(ordered, run, "part int, pos long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary")
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -349,9 +350,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     wide = vocabulary > 1 << 16
     scratch = Scratch(spark, "token-ids")
-    tokens = scratch.cut(tokenised(docs, tokenizer, end_id), "ids", "zstd")
+    tokens = scratch.cut(tokenised(docs, tokenizer, wide, end_id), "ids", "zstd")
     counts = np.zeros(max(vocabulary, end_id + 1), np.int64)
-    for row in id_counts(tokens, wide).toLocalIterator():
+    for row in id_counts(tokens).toLocalIterator():
         counts[row["id"]] = row["n"]
     freq, bits = shares(counts)
     found = np.flatnonzero(freq)
@@ -359,7 +360,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     spark.createDataFrame(rows, "id int, freq int").coalesce(1).write.parquet(f"{folder}/table")
     table = spark.sparkContext.broadcast(freq)
     blocks_of(tokens, table, bits, wide).write.option("compression", "none").parquet(f"{folder}/blocks")
-    ends = tokens.groupBy("part").agg(F.max(F.col("pos") + F.col("n_tokens")).alias("n")).orderBy("part").collect()
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    ends = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     base, parts = 0, []
     for row in ends:
         parts.append((row["part"], base))
