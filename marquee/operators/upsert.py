@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructField, StructType
 
+from ..functions import fixed_values as V
 from ..functions import links as L
 from ..functions.dates import at
 from ..functions.nested import merge_maps
@@ -18,6 +23,10 @@ from .lookups import existing_events, new_id
 TRACKED = [
     "title", "poster_url", "start_date", "end_date", "ticket_open_date", "ticket_provider", "booking_url", "genre",
 ]
+#: Every trust that a stored value can have; a blank one gives way to all.
+LEVELS = sorted({-1, 0, V.UNKNOWN_SOURCE_TRUST, *V.SOURCE_TRUST.values()})
+#: For a stored value unlike `first`, the (value, source, trust) in the end; for one like it, the `then_` ones, if any.
+STEP = ["first", "value", "source", "trust", "then_value", "then_source", "then_trust"]
 _SOURCES = "map<string,struct<source:string,at:timestamp>>"
 
 
@@ -64,35 +73,103 @@ def _change(field: str, old: Column, new: Column) -> Column:
     return F.struct(F.lit(field).alias("field_name"), old.alias("old_value"), new.alias("new_value"))
 
 
-def _best(field: str) -> Column:
-    """The value that survives: the last one among the most trusted. A value that is stored already
-    changes nothing, nor does it raise the trust in what is stored."""
-    new = ~is_blank(field) & ~F.col(field).cast("string").eqNullSafe(F.col(f"o_{field}"))
-    return F.max(F.when(new, F.struct("trust", "row_id", F.col(field).alias("v"), F.col("source_name").alias("s")))).alias(field)
-
-
 def _as_incoming(field: str, events: DataFrame, incoming: DataFrame) -> Column:
     """A stored value as the text that an equal incoming one has."""
     return F.col(field).cast(incoming.schema[field].dataType).cast("string")
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a run of rows of one event, in order, does to each field, whatever is stored: see `steps`."""
+    share, names = TaskContext.get().partitionId(), ["event_id", "share", *TRACKED]
+    kind = pa.list_(pa.struct([(n, pa.int32() if n in ("trust", "then_trust") else pa.string()) for n in STEP]))
+    done: list[tuple] = []
+
+    def rows() -> pa.RecordBatch:
+        columns = list(zip(*done)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), *[pa.array(c, kind) for c in columns[2:]]], names=names)
+
+    def event() -> tuple:
+        return (key, share, *[[dict(zip(STEP, level)) for level in levels] for levels in held])
+
+    key, held, last = None, [], []
+    for batch in batches:
+        for event_id, trust, source, *values in zip(*[c.to_pylist() for c in batch.columns]):
+            if event_id != key:
+                if key is not None:
+                    done.append(event())
+                key, last = event_id, [None] * len(TRACKED)
+                held = [[[None] * len(STEP) for _ in LEVELS] for _ in TRACKED]
+            for f, value in enumerate(values):
+                if value is None or last[f] == (value, trust):  # the same again does nothing
+                    continue
+                last[f] = value, trust
+                for level, now in zip(LEVELS, held[f]):
+                    if trust < level:
+                        break
+                    if now[0] is None:
+                        now[:4] = value, value, source, trust
+                        continue
+                    if now[6] is None and value != now[0] or now[6] is not None and value != now[4] and trust >= now[6]:
+                        now[4:] = value, source, trust
+                    if value != now[1] and trust >= now[3]:
+                        now[1:4] = value, source, trust
+        yield rows()
+        done.clear()
+    if key is not None:
+        done.append(event())
+        yield rows()
+
+
+def steps(rows: DataFrame) -> DataFrame:
+    """event_id and, in order, the effect of its rows on each field, as one struct for each task that held some.
+
+    Stored (value, trust) decides what a row does: it overwrites another value at equal or higher trust and leaves an
+    equal one, with its trust, alone. For a trust level, all that matters of the stored value is whether it equals
+    the first value that could overwrite it: if not, that one is taken and the rest follows; if it does, the first
+    later one that differs is. So seven levels with two outcomes each stand for any number of rows, and effects of
+    runs that follow one another are applied one by one: rows are dealt by event and order, and an event of any
+    size is split over tasks.
+    """
+    texts = [F.when(~is_blank(f), F.col(f).cast("string")).alias(f) for f in TRACKED]
+    order = ["event_id", "row_id", "source_name"]
+    dealt = rows.select(*order, L.source_trust("source_name").alias("trust"), *texts).repartitionByRange(*order).sortWithinPartitions(*order)
+    level = "array<struct<" + ",".join(f"{n}:{'int' if n in ('trust', 'then_trust') else 'string'}" for n in STEP) + ">>"
+    schema = "event_id string, share int, " + ", ".join(f"{f} {level}" for f in TRACKED)
+    shares = dealt.select("event_id", "trust", "source_name", *TRACKED).mapInArrow(_shares, schema)
+    return shares.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("share", F.struct(*TRACKED).alias("of")))).alias("shares"))
+
+
+def settled(field: str, stored: Column, source: Column) -> Column:
+    """struct(v, s, t, moved): the stored value after all shares of the incoming rows, and whether any was taken."""
+    blank = stored.isNull() | (stored == "")
+    start = F.struct(
+        stored.alias("v"), source.alias("s"), F.when(blank, LEVELS[0]).otherwise(L.source_trust(source)).cast("int").alias("t"), F.lit(False).alias("moved"))
+
+    def apply(now: Column, share: Column) -> Column:
+        step = F.get(share["of"][field], (F.array_position(F.array(*map(F.lit, LEVELS)), now["t"]) - 1).cast("int"))
+        to = lambda v, s, t: F.struct(step[v].alias("v"), step[s].alias("s"), step[t].alias("t"), F.lit(True).alias("moved"))
+        differs = ~now["v"].eqNullSafe(step["first"])
+        return F.when(step["first"].isNull(), now).when(differs, to("value", "source", "trust")).when(
+            step["then_trust"].isNotNull(), to("then_value", "then_source", "then_trust")).otherwise(now)
+
+    return F.when(F.col("shares").isNull(), start).otherwise(F.aggregate("shares", start, apply))
+
+
 def fold(rows: DataFrame) -> DataFrame:
-    """All incoming rows of an event as one: a later row overwrites only at equal or higher trust."""
-    ordered = rows.withColumn("trust", L.source_trust("source_name"))
+    """All incoming rows of an event as one row: what they do to the tracked fields, and the other columns."""
     ended = F.max(F.col("status") == "ended")
     last_status = F.max(F.when(F.col("status").isNotNull(), F.struct("row_id", "status")))["status"]
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("row_id", c)))[c]
-    folded = ordered.groupBy("event_id").agg(
-        *[_best(f) for f in TRACKED],
+    folded = rows.groupBy("event_id").agg(
         F.when(ended, F.lit("ended")).otherwise(last_status).alias("status"),
-        first("normalized_title").alias("normalized_title"), first("dedup_key").alias("dedup_key"),
+        first("normalized_title").alias("normalized_title"), F.max(F.struct("row_id", "dedup_key"))["dedup_key"].alias("dedup_key"),
         first("description").alias("description"), first("artist_id").alias("artist_id"),
-        first("venue_id").alias("venue_id"), first("source_name").alias("source_name"),
+        F.min(F.struct("row_id", "venue_id"))["venue_id"].alias("venue_id"), first("source_name").alias("source_name"),
     )
     urls = rows.select("event_id", F.explode("source_urls").alias("u")).distinct().groupBy("event_id").agg(
         F.array_sort(F.collect_list("u")).alias("urls")
     )
-    return folded.join(urls, "event_id", "left")
+    return folded.join(urls, "event_id", "left").join(steps(rows), "event_id", "left")
 
 
 def upsert(incoming: DataFrame, events: DataFrame, as_of: str, hold: bool = False) -> dict[str, DataFrame]:
@@ -100,8 +177,8 @@ def upsert(incoming: DataFrame, events: DataFrame, as_of: str, hold: bool = Fals
 
     Rows carry row_id (arrival order) and the ids found for their artist and venue. Locked fields
     stay, status never leaves ended, a less trusted source cannot overwrite a filled field, links
-    are united and booking links recomputed. Several rows of one event count as applied in order;
-    the change log shows their net effect.
+    are united and booking links recomputed. Several rows of one event count as applied in order, so
+    a batch gives what any split of it into batches gives; the change log shows the net effect of this one.
     """
     now = at(as_of)
     usable, rejected = validated(incoming)
@@ -110,11 +187,9 @@ def upsert(incoming: DataFrame, events: DataFrame, as_of: str, hold: bool = Fals
         F.col("dedup_key").alias("_key"), new_id("event", F.col("leader")).alias("_new")
     )
     keyed = hits.withColumn("_key", F.when(F.col("event_id").isNull(), F.col("dedup_key"))).join(named, "_key", "left")
-    keyed = keyed.withColumn("event_id", F.coalesce(F.col("event_id").cast("string"), "_new"))
-    stored = events.select(F.col("id").cast("string").alias("event_id"), *[_as_incoming(f, events, incoming).alias(f"o_{f}") for f in TRACKED])
-    keyed = keyed.drop("_new", "_key").join(stored, "event_id", "left")
+    keyed = cut_lineage(keyed.withColumn("event_id", F.coalesce(F.col("event_id").cast("string"), "_new")).drop("_new", "_key"))
     folded = cut_lineage(fold(keyed)).withColumnsRenamed(
-        {c: f"n_{c}" for c in [*TRACKED, "status", "normalized_title", "dedup_key", "description", "artist_id", "venue_id", "source_name"]}
+        {c: f"n_{c}" for c in ["status", "normalized_title", "dedup_key", "description", "artist_id", "venue_id", "source_name"]}
     )
     state = events.join(folded.withColumnRenamed("event_id", "id"), "id", "full")
     old = events.select("id", F.lit(True).alias("_old"))
@@ -122,15 +197,15 @@ def upsert(incoming: DataFrame, events: DataFrame, as_of: str, hold: bool = Fals
     inserted = F.col("_old").isNull()
     locked = F.coalesce("locked_fields", F.array().cast("array<string>"))
     sources = F.coalesce("field_sources", F.create_map().cast(_SOURCES))
+    state = cut_lineage(state.select("*", *[
+        settled(f, _as_incoming(f, events, incoming), F.try_element_at(sources, F.lit(f))["source"]).alias(f"_end_{f}") for f in TRACKED]).drop("shares"))
     out, changed = {}, []
     for f in TRACKED:
-        new = F.col(f"n_{f}.v").cast(events.schema[f].dataType)
-        known = F.try_element_at(sources, F.lit(f))["source"]
-        allowed = is_blank(f) | (F.col(f"n_{f}.trust") >= L.source_trust(known))
-        take = new.isNotNull() & ~F.array_contains(locked, f) & allowed & ~new.eqNullSafe(F.col(f))
-        take = F.coalesce(take, F.lit(False))
-        out[f] = F.when(take, new).otherwise(F.col(f))
-        changed.append((f, take, F.col(f).cast("string"), new.cast("string"), F.col(f"n_{f}.s")))
+        end = F.col(f"_end_{f}")
+        new = end["v"].cast(incoming.schema[f].dataType).cast(events.schema[f].dataType)
+        moved = F.coalesce(end["moved"], F.lit(False)) & ~F.array_contains(locked, f)
+        out[f] = F.when(moved, new).otherwise(F.col(f))
+        changed.append((f, moved, F.col(f).cast("string"), new.cast("string"), end["s"]))
     take_status = (
         F.col("n_status").isNotNull() & ~F.array_contains(locked, "status")
         & ~F.coalesce(F.col("status") == "ended", F.lit(False)) & ~F.col("n_status").eqNullSafe(F.col("status"))
@@ -139,7 +214,7 @@ def upsert(incoming: DataFrame, events: DataFrame, as_of: str, hold: bool = Fals
     take_artist = F.col("artist_id").isNull() & F.col("n_artist_id").isNotNull()
     out["artist_id"] = F.coalesce("artist_id", "n_artist_id")
     changes = F.array_compact(F.array(
-        *[F.when(t, _change(f, o, n)) for f, t, o, n, _ in changed],
+        *[F.when(t & ~o.eqNullSafe(n), _change(f, o, n)) for f, t, o, n, _ in changed],
         F.when(take_status, _change("status", F.col("status"), F.col("n_status"))),
         F.when(take_artist, _change("artist_id", F.lit(None).cast("string"), F.col("n_artist_id").cast("string"))),
     ))
@@ -157,7 +232,8 @@ def upsert(incoming: DataFrame, events: DataFrame, as_of: str, hold: bool = Fals
     if "description" in events.columns:
         filled = F.col("description").isNull() & F.col("n_description").isNotNull()
     relinked = ~F.to_json(L.booking_links(F.col("_links"), F.col("_booking"))).eqNullSafe(F.to_json("booking_links"))
-    state = state.withColumn("_patched", (F.size("_changes") > 0) | F.col("_take_links") | filled | relinked)
+    moved = F.size(F.coalesce("_stamps", F.create_map().cast(_SOURCES))) > 0
+    state = state.withColumn("_patched", (F.size("_changes") > 0) | moved | F.col("_take_links") | filled | relinked)
     if "description" in events.columns:
         out["description"] = F.coalesce("description", "n_description")
     touched = F.col("_touched")

@@ -14,7 +14,7 @@ from ..operators import lookups as LK
 from ..operators import quality as Q
 from ..operators import upsert as U
 from .matching_queries import CATALOG_SQL, catalog
-from ..session import spread
+from ..session import cut_lineage, spread
 from .registry import query
 from .roles import AS_OF, Roles, with_roles
 
@@ -244,16 +244,25 @@ def flat_metrics(r: Roles):
 
 
 # --- upsert ------------------------------------------------------------------------------
-UPSERT_SQL = """crawl AS (
-  SELECT l_partkey AS part, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS row_id, l_suppkey,
+def upsert_sql(batches: int = 1) -> str:
+    """The crawl rows of each part applied one after another, as often as there are batches."""
+    return f"""WITH RECURSIVE crawl AS (
+  SELECT l_partkey AS part, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS row_id, 'https://img/' || l_suppkey AS x,
     CASE l_returnflag WHEN 'A' THEN 'yes24' WHEN 'N' THEN 'festivallife' ELSE 'gemini-search' END AS src,
     CASE l_returnflag WHEN 'A' THEN 70 WHEN 'N' THEN 55 ELSE 20 END AS trust FROM lineitem),
-  best AS (SELECT part, max(trust) AS trust, arg_max('https://img/' || l_suppkey, (trust, row_id, 'https://img/' || l_suppkey)) AS poster,
-    count(DISTINCT src) AS n_src FROM crawl GROUP BY 1),
-  merged AS (SELECT p.p_partkey AS id, CASE WHEN p.p_partkey % 2 = 1 THEN b.poster
-      WHEN p.p_partkey % 10 = 0 THEN 'https://img/old' WHEN b.trust >= 55 THEN b.poster ELSE 'https://img/old' END AS poster_url,
-    CASE WHEN p.p_size > 25 THEN p.p_type ELSE 'old' END AS genre, coalesce(b.n_src, 0) + 1 AS n_links, b.part IS NOT NULL AS touched
-    FROM part p LEFT JOIN best b ON b.part = p.p_partkey)"""
+  in_order AS (SELECT part, x, trust, batch, row_number() OVER (PARTITION BY part ORDER BY batch, row_id, src) AS k
+    FROM crawl, (SELECT unnest(range({batches})) AS batch)),
+  walk AS (SELECT p_partkey AS id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS batch, false AS taken,
+      CASE WHEN p_partkey % 2 = 0 THEN 'https://img/old' END AS v, CASE WHEN p_partkey % 2 = 0 THEN 55 ELSE -1 END AS t FROM part
+    UNION ALL
+    SELECT id, k, batch, take, CASE WHEN take THEN x ELSE v END, CASE WHEN take THEN trust ELSE t END FROM (
+      SELECT w.id, o.k, o.batch, o.x, o.trust, w.v, w.t, w.id % 10 <> 0 AND (w.v IS NULL OR (o.x <> w.v AND o.trust >= w.t)) AS take
+      FROM walk w JOIN in_order o ON o.part = w.id AND o.k = w.k + 1)),
+  ends AS (SELECT id, arg_max(v, k) AS poster_url, max(k) > 0 AS touched FROM walk GROUP BY 1),
+  links AS (SELECT part, count(DISTINCT src) AS n FROM crawl GROUP BY 1),
+  merged AS (SELECT id, poster_url, touched, p_size > 25 AND touched AS by_genre, p_type, coalesce(n, 0) + 1 AS n_links,
+      CASE WHEN id % 2 = 0 THEN 'https://img/old' END AS old_poster
+    FROM ends JOIN part ON p_partkey = id LEFT JOIN links ON part = id)"""
 
 
 def stored_events(r: Roles) -> DataFrame:
@@ -294,19 +303,40 @@ def crawl_batch(r: Roles) -> DataFrame:
 
 @query(
     "upserted_events",
-    f"""WITH {UPSERT_SQL.replace("CASE WHEN p.p_size > 25 THEN p.p_type ELSE 'old' END", "CASE WHEN b.part IS NOT NULL AND p.p_size > 25 THEN p.p_type ELSE 'old' END")}
-        SELECT CAST(id AS VARCHAR) AS id, poster_url, genre, n_links FROM merged""",
+    f"""{upsert_sql()}
+        SELECT CAST(id AS VARCHAR) AS id, poster_url, CASE WHEN by_genre THEN p_type ELSE 'old' END AS genre, n_links FROM merged""",
 )
 def upserted_events(r: Roles):
     table = U.upsert(crawl_batch(r), stored_events(r), AS_OF)["events"]
     return table.select("id", "poster_url", "genre", F.size("source_urls").cast("long").alias("n_links"))
 
 
-@query("upsert_changes")
+@query(
+    "upsert_changes",
+    f"""{upsert_sql()}
+        SELECT CAST(id AS VARCHAR) AS event_id, 'poster_url' AS field_name, old_poster AS old_value, poster_url AS new_value
+          FROM merged WHERE poster_url IS DISTINCT FROM old_poster
+        UNION ALL SELECT CAST(id AS VARCHAR), 'genre', 'old', p_type FROM merged WHERE by_genre""",
+)
 def upsert_changes(r: Roles):
     return U.real_changes(U.upsert(crawl_batch(r), stored_events(r), AS_OF)["changes"])
 
 
+@query(
+    "upsert_actions",
+    f"""{upsert_sql(2)}
+        SELECT CAST(id AS VARCHAR) AS event_id, batch + 1 AS batch, CASE WHEN batch = 0 OR bool_or(taken) THEN 'updated' ELSE 'skipped' END AS action
+        FROM walk WHERE batch >= 0 GROUP BY id, batch""",
+)
+def upsert_actions(r: Roles):
+    """The same batch twice: what moves again, as rows apply in order, is an update."""
+    batch = cut_lineage(crawl_batch(r))
+    once = U.upsert(batch, stored_events(r), AS_OF)
+    again = U.upsert(batch, once["events"], AS_OF)
+    said = lambda out, n: out["actions"].select("event_id", F.lit(n).cast("long").alias("batch"), "action")
+    return said(once, 1).union(said(again, 2))
+
+
 @query(
     "inserted_events",
     """SELECT p_name || ' ' || p_partkey AS title, count(DISTINCT l_returnflag) AS n_links, 'inserted' AS action FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1""",
