@@ -65,8 +65,10 @@ def _greedy_rounds(nodes: DataFrame) -> DataFrame:
     """The same rule for blocks of any size.
 
     Per round every (block, feature, site set) keeps its first open row and first open leader.
-    A free row whose first compatible neighbour is none leads; a free row joins leader L when L is
-    its first compatible neighbour and it is the first free row L could take. Both are final.
+    A free row whose first compatible neighbour is none leads. A free row whose first compatible
+    neighbour is a leader joins it, unless an earlier free row could bring one of its sites there
+    first. All such rows of a round are settled at once; rows without sites never wait for each
+    other, so the rounds follow the longest chain of undecided neighbours, not the cluster sizes.
     """
     decided: list[DataFrame] = []
     free = nodes
@@ -83,21 +85,25 @@ def _greedy_rounds(nodes: DataFrame) -> DataFrame:
             .filter(~F.arrays_overlap("sites", "own") & (F.col("first") < F.col("ord")))
             .groupBy("block", "ord").agg(F.min(F.struct("first", "leads")).alias("e"))
         )
+        keys = ["block", "leader", "site"]
         free_firsts = firsts.filter(~F.col("leads")).select("block", "f", F.col("own").alias("s"), F.col("first").alias("cand"))
-        wanted = (
+        bringing = (
             leaders.select("block", F.col("ord").alias("leader"), "own", F.explode("feats").alias("f"))
-            .join(free_firsts, ["block", "f"])
+            .join(free_firsts.filter(F.size("s") > 0), ["block", "f"])
             .filter(~F.arrays_overlap("own", "s"))
-            .groupBy("block", "leader").agg(F.min("cand").alias("ord"))
+            .select("block", "leader", F.explode("s").alias("site"), "cand")
+            .groupBy(*keys).agg(F.min("cand").alias("cand"))
         )
         state = free.join(earliest, ["block", "ord"], "left")
         new_leaders = cut_lineage(state.filter(F.col("e").isNull()).select("block", "ord", "feats", "sites"))
-        joined = cut_lineage(
-            state.filter(F.col("e.leads"))
-            .select("block", "ord", "sites", F.col("e.first").alias("leader"))
-            .join(wanted, ["block", "leader", "ord"])
+        ready = state.filter(F.col("e.leads")).select("block", "ord", "sites", F.col("e.first").alias("leader"))
+        late = (
+            ready.select("block", "leader", "ord", F.explode("sites").alias("site")).join(bringing, keys)
+            .filter(F.col("cand") < F.col("ord")).select("block", "ord").distinct()
         )
-        gained = joined.groupBy("block", "leader").agg(F.first("sites").alias("gain")).withColumnRenamed("leader", "ord")
+        joined = cut_lineage(ready.join(late, ["block", "ord"], "left_anti"))
+        gained = joined.select("block", F.col("leader").alias("ord"), F.explode("sites").alias("site")).groupBy("block", "ord").agg(
+            F.collect_set("site").alias("gain"))
         empty = F.array().cast("array<string>")
         leaders = cut_lineage(
             leaders.join(gained, ["block", "ord"], "left")
