@@ -423,7 +423,24 @@ def alias_pairs(r: Roles):
     return MA.alias_pairs(bands(r), aliases)
 
 
-@query("artist_candidates")
+@query(
+    "artist_candidates",
+    f"""WITH {BAND_SQL}, al AS (SELECT p_partkey AS artist_id, lower(p_type) || ' ' || split_part(p_name, ' ', 2) || ' ' || p_brand AS alias FROM part),
+        own AS (SELECT lower(name) AS n, first(id ORDER BY created_at, id) AS owner FROM bands GROUP BY 1),
+        t AS (SELECT id, length(n) AS len, list_distinct(list_filter(
+            string_split_regex(regexp_replace(lower(n), '[()\\[\\]{{}}]', ' ', 'g'), '[\\s\\-·._/]+'), lambda x: x <> '')) AS tok
+          FROM (SELECT name AS n, min(id) AS id FROM bands GROUP BY 1) WHERE regexp_matches(n, '[A-Za-z]')),
+        both_ AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.tok, b.tok)) AS m, len(a.tok) + len(b.tok) AS n
+          FROM t a JOIN t b ON a.id < b.id AND abs(a.len - b.len) <= 2),
+        k AS (SELECT {_KEY.format('name')} AS s, min(id) AS id FROM bands GROUP BY 1),
+        found AS (
+          SELECT least(artist_id, owner) AS id_a, greatest(artist_id, owner) AS id_b, 0 AS place, 'alias_match' AS reason, 0.95e0 AS similarity
+            FROM al JOIN own ON lower(alias) = n WHERE artist_id <> owner
+          UNION ALL SELECT a, b, 2, 'token_overlap', m / (n - m) FROM both_ WHERE m / (n - m) >= 0.85
+          UNION ALL SELECT least(a.id, b.id), greatest(a.id, b.id), 3, 'name_contains', length(a.s) / length(b.s) FROM k a JOIN k b
+            ON length(a.s) >= 2 AND length(a.s) < length(b.s) AND contains(b.s, a.s) AND length(a.s) / length(b.s) >= 0.4)
+        SELECT id_a, id_b, first(reason ORDER BY place) AS reason, first(similarity ORDER BY place) AS similarity FROM found GROUP BY 1, 2""",
+)
 def artist_candidates(r: Roles):
     alias = F.concat(F.lower("p_type"), F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" "), "p_brand")
     aliases = r.table("part").select(F.col("p_partkey").alias("artist_id"), alias.alias("alias"))

@@ -101,3 +101,18 @@ def streamed_intents(r: Roles):
     out = drain(trends.intent_outcomes(intents, bookings))
     ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("attempted_at", "booked_at")}
     return out.withColumns(ntz)
+
+
+@query(
+    "streamed_sessions",
+    """WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+         i AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS visit FROM e)
+       SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n_actions, count(*) FILTER (event_type = 'purchase') AS n_purchases,
+         sum(CAST(floor(coalesce(value, 0) * 100 + 0.5) AS BIGINT)) AS value_cents
+       FROM i GROUP BY user_id, visit HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+)
+def streamed_sessions(r: Roles):
+    """Visits that are over: six hours without an action of the user."""
+    actions = stream(r, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind"), "value")
+    visits = drain(trends.sessions(actions))
+    return visits.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")})

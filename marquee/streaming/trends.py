@@ -67,3 +67,17 @@ def intent_outcomes(intents: DataFrame, bookings: DataFrame, days: int = 7, dela
         "i.user_id", "i.event_id", "i.attempted_at", "b.booked_at",
         F.when(F.col("b.booked_at").isNotNull(), "booked").otherwise("skipped").alias("outcome"),
     )
+
+
+def sessions(actions: DataFrame, gap: str = "6 hours", delay: str = "1 day") -> DataFrame:
+    """Visits of a user: actions no more than `gap` apart, from a stream of (user_id, at, kind, value).
+
+    A visit is given out, and its state dropped, once the watermark has passed its last action by
+    `gap`; until then late actions still extend it or join two visits into one.
+    """
+    return (
+        actions.withWatermark("at", delay).groupBy("user_id", F.session_window("at", gap).alias("w"))
+        .agg(F.count("*").alias("n_actions"), F.max("at").alias("ended_at"), F.count_if(F.col("kind") == "purchase").alias("n_purchases"),
+             F.sum(cents(F.coalesce("value", F.lit(0.0)))).alias("value_cents"))
+        .select("user_id", F.col("w.start").alias("started_at"), "ended_at", "n_actions", "n_purchases", "value_cents")
+    )
