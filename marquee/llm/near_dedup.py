@@ -43,7 +43,6 @@ ROWS = 3
 MISS = 1e-4
 SMALL = 16
 ORDERS = 8
-HEAD_PAIRS = 64
 SLICE_BYTES = 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,13 +149,11 @@ def table_rows(reps: DataFrame, m: int, scratch: Scratch) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u > v) whose whole sets are alike enough. A set v meets its partners in shares of about HEAD_PAIRS."""
-    shares = pairs.groupBy("v").agg(F.ceil(F.count("*") / HEAD_PAIRS).cast("int").alias("shares"))
-    dealt = pairs.join(shares, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("shares")).cast("int").alias("share"))
+    """The pairs (u > v) whose whole sets are alike enough. Both joins are sort-merge joins of which Spark splits
+    the partitions of a set with many partners; sets are unique, so a split repeats one row."""
     one = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su"))
     two = sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv"))
-    heads = shares.select("v", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).join(two, "v")
-    both = dealt.join(one, "u").join(heads, ["v", "share"])
+    both = pairs.join(one, "u").join(two, "v")
     shared = F.size(F.array_intersect("su", "sv"))
     return both.withColumn("both", shared).filter(
         F.col("both") * 100 >= (F.size("su") + F.size("sv") - F.col("both")) * percent).select("u", "v")
