@@ -60,6 +60,12 @@ class Automaton:
             last = 0
             for w in words:
                 last = self.extend(last, w)
+        by_size = sorted(range(len(self.next)), key=self.size.__getitem__)
+        self.holder = [-1] * len(self.next)  # the state that holds the last `window` words of what a state ends with
+        for state in by_size:
+            if self.size[state] >= window:
+                up = self.link[state]
+                self.holder[state] = state if self.size[up] < window else self.holder[up]
         self.items: dict[int, set[int]] = {}  # of the state that holds a window
         self.whole: dict[int, list[tuple[int, int]]] = {}  # (words, item) where a short item ends
         self.shortest = min([window, *(len(w) for _, w in coded)])
@@ -68,12 +74,12 @@ class Automaton:
             for k, w in enumerate(words):
                 state = self.next[state][w]
                 if k + 1 >= window:
-                    self.items.setdefault(self.holder(state), set()).add(item)
+                    self.items.setdefault(self.holder[state], set()).add(item)
             if len(words) < window:
                 self.whole.setdefault(state, []).append((len(words), item))
         self.above = [-1] * len(self.next)  # nearest state on the way to the root where a short item ends
         if self.whole:
-            for state in sorted(range(len(self.next)), key=self.size.__getitem__):
+            for state in by_size:
                 up = self.link[state]
                 self.above[state] = state if state in self.whole else self.above[up] if up >= 0 else -1
 
@@ -106,16 +112,11 @@ class Automaton:
             self.link[new] = self.split(self.next[at][w], at, w)
         return new
 
-    def holder(self, state: int) -> int:
-        """The state that holds the last `window` words of what `state` ends with."""
-        while self.size[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
-
     def scan(self, words: list[int], at: int, spans: list[tuple[int, int]], found: set[int]) -> None:
         """Stream words through; note the first and last word of each hit, the former plus `at`."""
         state = length = 0
-        following, link, size = self.next, self.link, self.size
+        following, link, size, holder = self.next, self.link, self.size, self.holder
+        held: set[int] = set()
         for k, w in enumerate(words, at):
             step = following[state].get(w)
             while step is None and state:
@@ -126,8 +127,11 @@ class Automaton:
                 continue
             state, length = step, length + 1
             if length >= self.window:
-                found |= self.items[self.holder(state)]
-                spans.append((k - length + 1, k))
+                held.add(holder[state])
+                first = k - length + 1
+                if spans and spans[-1][0] <= first <= spans[-1][1] + 1:
+                    first = spans.pop()[0]
+                spans.append((first, k))
             if self.whole:
                 short = self.above[state]
                 while short >= 0:
@@ -137,6 +141,7 @@ class Automaton:
                             spans.append((k - n + 1, k))
                     up = link[short]
                     short = self.above[up] if up >= 0 else -1
+        found.update(*[self.items[h] for h in held])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -53,7 +53,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected severity of every document, learned from the labels."""
+    """Expected severity of every document, learned from the labels. These are 0 and 1; grade 2 is made of the toxic
+    documents of the sample with more than the median number of cues (see toxicity)."""
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     return toxicity.severities(read(spark, sf_dir, "documents"), labels)
 

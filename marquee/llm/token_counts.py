@@ -2,12 +2,13 @@
 
 A text is cut before each space (a mark stands for it), with a mark before the first word. In each piece
 an Aho-Corasick automaton lists the vocabulary entries that end at every character; the best score of a
-path to that character and its number of tokens are all that is kept. Ties and unknown characters are as
+path to each of the last characters, as many as the longest entry has, and its number of tokens are all that is kept. Ties and unknown characters are as
 in the tokenizer: an entry replaces another only if its score is larger, those that begin earlier come
 first, a character that is no entry itself costs the least score less UNKNOWN, and neighbours that are
 unknown are one token, or a token per byte where the vocabulary has all byte entries.
 
-Pieces repeat, so each process keeps the counts of those it has seen (at most CACHE, then it starts anew).
+Pieces repeat, so each process keeps the counts of those of up to SHORT characters that it has seen (at most
+CACHE, then it starts anew).
 
 Defined cases: null and empty texts have 0 tokens and score 0; repeated rows are counted alike; an empty
 table gives an empty result; columns besides doc_id and text are not read.
@@ -29,6 +30,7 @@ from .common import in_arrow, text_slices, unit_codes
 MARK = "▁"
 UNKNOWN = 10.0
 CACHE = 500_000
+SHORT = 64
 SLICE_BYTES = 1 << 22
 
 
@@ -50,6 +52,7 @@ class Counter:
                 self.automaton.add_word(entry, (len(entry), score))
         self.automaton.make_automaton()
         names = {e for e, _ in entries}
+        self.longest = max(map(len, names), default=1)
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in names for b in range(256))
         self.unknown = min(s for _, s in entries) - UNKNOWN
         self.single = {e for e in names if len(e) == 1}
@@ -58,27 +61,32 @@ class Counter:
     def count(self, piece: str) -> tuple[int, float]:
         """Tokens of the best path, and its score."""
         n = len(piece)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, found in self.automaton.iter(piece):
-            ending[last + 1].append(found)
-        score: list[float | None] = [0.0] + [None] * n
-        tokens, open_ = [0] * (n + 1), [False] * (n + 1)  # open_: the path ends in an unknown character
+        width = min(n, self.longest) + 1  # of the window; the place of a character is its number modulo this
+        score: list[float | None] = [0.0] + [None] * (width - 1)
+        tokens, open_ = [0] * width, [False] * width  # open_: the path ends in an unknown character
+        matches = self.automaton.iter(piece)
+        ahead = next(matches, None)
         for end in range(1, n + 1):
-            best = None
-            for size, value in sorted(ending[end], reverse=True):
-                if score[end - size] is None:
+            best, at, before = None, end % width, (end - 1) % width
+            ending = []
+            while ahead is not None and ahead[0] == end - 1:
+                ending.append(ahead[1])
+                ahead = next(matches, None)
+            for size, value in sorted(ending, reverse=True) if len(ending) > 1 else ending:
+                begin = (end - size) % width
+                if score[begin] is None:
                     continue
-                total = value + score[end - size]
+                total = value + score[begin]
                 if best is None or total > best:
-                    best, tokens[end], open_[end] = total, tokens[end - size] + 1, False
+                    best, tokens[at], open_[at] = total, tokens[begin] + 1, False
             char = piece[end - 1]
-            if char not in self.single and score[end - 1] is not None:
-                total = self.unknown + score[end - 1]
+            if char not in self.single and score[before] is not None:
+                total = self.unknown + score[before]
                 if best is None or total > best:
-                    more = len(char.encode("utf-8", "surrogatepass")) if self.bytes else int(not open_[end - 1])
-                    best, tokens[end], open_[end] = total, tokens[end - 1] + more, True
-            score[end] = best
-        return tokens[n], score[n]
+                    more = len(char.encode("utf-8", "surrogatepass")) if self.bytes else int(not open_[before])
+                    best, tokens[at], open_[at] = total, tokens[before] + more, True
+            score[at] = best
+        return tokens[n % width], score[n % width]
 
     def counts(self, pieces: list[str]) -> list[tuple[int, float]]:
         if len(self.cache) > CACHE:
@@ -86,7 +94,9 @@ class Counter:
         got = list(map(self.cache.get, pieces))
         for k, x in enumerate(got):
             if x is None:
-                got[k] = self.cache[pieces[k]] = self.count(MARK + pieces[k])
+                got[k] = self.count(MARK + pieces[k])
+                if len(pieces[k]) <= SHORT:
+                    self.cache[pieces[k]] = got[k]
         return got
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,12 +4,14 @@ P(grade > k) = sigmoid(w . x - t_k) with one weight vector for all ordered thres
 the expected severity is the sum of these chances. Features are words (letters, lower-cased) and word
 beginnings of some lengths; x is ln(1 + count).
 
-Training uses at most `sample` labelled documents, those with the least hash of doc_id. Features are those
-in at least SUPPORT texts of the sample whose share differs most between grade 0 and the others (chi-square). Labels of 0 and 1 are graded by cues, features whose log odds exceed ODDS: documents of label 1 with
-at most the median number of cues are grade 1, the others grade 2; a label column with more values is taken as it is.
+Training uses at most `sample` different (doc_id, label) rows, those with the least hash of doc_id. Features are
+the FEATURES ones in at least SUPPORT texts of the sample whose share differs most between the lowest label and
+the others (chi-square). Labels of 0 and 1 only are graded by cues, features whose log odds exceed ODDS: documents
+of label 1 with at most the median number of cues are grade 1, the others grade 2. Other labels are taken as they
+are: grade k is the k-th different label of the sample, from 0.
 
 Defined cases: null and empty texts have no features and get the severity of the thresholds alone; without
-labels of two grades every severity is 0; repeated rows are scored alike; an empty table gives an empty
+two different labels every severity is 0; repeated rows are scored alike, repeated label rows count once; an empty table gives an empty
 result; columns besides doc_id and text are not read.
 """
 
@@ -117,8 +119,8 @@ def fit(rows: np.ndarray, features: np.ndarray, counts: np.ndarray, grades: np.n
     return Model(names, theta[:size], cuts_of(theta))
 
 
-def chosen_features(train: DataFrame) -> dict[str, float]:
-    """The features told apart best, with their log odds; `train` has text and a label above 0 for toxic."""
+def chosen_features(train: DataFrame, lowest: int) -> dict[str, float]:
+    """The features told apart best, with their log odds; `train` has text and a label above `lowest` for toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +129,7 @@ def chosen_features(train: DataFrame) -> dict[str, float]:
                 offsets, place, words = words_in(texts)
                 kinds = [features_of(w) for w in words]
                 for k, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist()), start):
-                    held[int(batch.column(1)[k].as_py() > 0)].update({f for w in set(place[a:b].tolist()) for f in kinds[w]})
+                    held[int(batch.column(1)[k].as_py() > lowest)].update({f for w in set(place[a:b].tolist()) for f in kinds[w]})
             names = list(held[0].keys() | held[1].keys())
             yield pa.RecordBatch.from_arrays([
                 pa.array(names, pa.string()), pa.array([held[0][f] for f in names], pa.int64()),
@@ -135,7 +137,7 @@ def chosen_features(train: DataFrame) -> dict[str, float]:
 
     sums = in_arrow(train.select("text", "label"), run, "feature string, clean long, toxic long").groupBy("feature").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= SUPPORT)
-    n = {bool(r["t"]): r["n"] for r in train.groupBy((F.col("label") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
+    n = {bool(r["t"]): r["n"] for r in train.groupBy((F.col("label") > lowest).alias("t")).agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
@@ -151,13 +153,14 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     some = labels.filter("doc_id is not null and label is not null").select(
-        F.col("doc_id").cast("long"), F.col("label").cast("int")).withColumn("hash", F.xxhash64("doc_id"))
+        F.col("doc_id").cast("long"), F.col("label").cast("int")).distinct().withColumn("hash", F.xxhash64("doc_id"))
     some = some.orderBy("hash", "doc_id", "label").limit(sample).select(F.col("doc_id").alias("labelled"), "label")
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     train = scratch.cut(texts.join(F.broadcast(some), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "label"), "train")
-    if train.select((F.col("label") > 0)).distinct().count() < 2:
+    lowest, highest = train.agg(F.min("label"), F.max("label")).first()
+    if lowest == highest:
         return None
-    odds = chosen_features(train)
+    odds = chosen_features(train, lowest)
     names = sorted(odds)
     blank = Model(names, np.zeros(len(names)), np.zeros(1))
 
@@ -175,7 +178,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     got = in_arrow(train.select("doc_id", "text", "label"), run, "doc_id long, label int, found array<long>")
     held = sorted(got.toLocalIterator(), key=lambda r: (r["doc_id"], r["label"], r["found"]))
     grades = np.array([r["label"] for r in held])
-    if grades.max() == 1:
+    if lowest == 0 and highest == 1:
         cue = np.array([odds[n] > ODDS for n in names])
         cues = np.array([sum(c for f, c in zip(r["found"][::2], r["found"][1::2]) if cue[f]) for r in held])
         grades = np.where((grades == 1) & (cues > np.median(cues[grades == 1])), 2, grades)
