@@ -5,12 +5,17 @@ bounds grow by GROWTH (a quantile is known to GROWTH - 1 of its value); such a s
 (lang, source, share, bucket, n), and merging sketches is adding n. Only documents that the base rules pass
 count in n, so that the bulk of copies and scraps does not set the limits for the others.
 
-A group's limit for a share is its HIGH quantile, at least FLOOR, and at most its median plus SPREAD times the
-distance from the lower quartile to the median (at least `slack`), which dirt in less than half of its rows does
-not move. A document above a limit is not kept. A group of fewer than LEAST rows uses the merged sketch of its
-language, or that of all documents; no limit is more than LOOSER times that of the language or of all, nor than
-LOOSER times the median of the limits of their groups, which one hot source does not move. So a source that is
-mostly dirt, or unlike all others, is held to about what the others show.
+A group's limit for a share is its HIGH quantile, at least FLOOR, and at most its median plus SPREAD times a
+distance. That is the larger one of lower quartile to median and of the part of rows that are not zero times the
+median of those (where most rows are zero, quartiles say nothing; this product is held between 0.5 and 1.5 times
+SLACK, so that dirt does not set it). A document above a limit is not kept.
+
+Limits are blended with those of the parents by row count: a group of n rows takes n / (n + PRIOR) of its own limit
+and the rest of its language's, which is blended with that of all documents in the same way. So one row more moves a
+limit a little, and no size switches rules. No limit is more than LOOSER times that of the language or of all, nor
+than LOOSER times the median of the limits of their groups, where each group weighs n / (n + PRIOR) and one hot
+source therefore no more than another full one. So a source that is mostly dirt, or unlike all others, is held to
+about what the others show.
 
 Everything is DataFrame expressions. A text's 8-word windows are compared as 64-bit hashes.
 
@@ -33,13 +38,14 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30
 GROWTH = 1.02
 SPREAD = 6.0
-LEAST = 100
 HIGH = 0.98
+#: Rows for which a group trusts its own limit as much as that of its parent.
+PRIOR = 100
 #: How much looser than those of its language and of all documents a limit may be.
 LOOSER = 2.0
 #: What is always let pass, for each share.
 FLOOR = {"symbols": 0.02, "dup_lines": 0.1, "repeats": 0.05}
-#: Smallest distance of quartiles that is believed, for each share.
+#: Usual distance of quartiles, for each share.
 SLACK = {"symbols": 0.01, "dup_lines": 0.1, "repeats": 0.05}
 
 
@@ -109,31 +115,42 @@ def limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
     group = W.Window.partitionBy(*keys, "share")
     upto = group.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(W.Window.unboundedPreceding, 0)
     value = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bucket") + 1))  # no value of the bucket is above
-    run = merged.select(*keys, "share", value.alias("value"), F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("rows"))
+    zeros = F.coalesce(F.sum(F.when(F.col("bucket").isNull(), F.col("n"))).over(group), F.lit(0))
+    run = merged.select(*keys, "share", value.alias("value"), F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("rows"),
+                        zeros.alias("zeros"))
     quantile = lambda q: F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("value")))
     both = run.groupBy(*keys, "share").agg(
-        quantile(0.25).alias("q1"), quantile(0.5).alias("q2"), quantile(HIGH).alias("high"), F.max("rows").alias("rows"))
+        quantile(0.25).alias("q1"), quantile(0.5).alias("q2"), quantile(HIGH).alias("high"), F.max("rows").alias("rows"),
+        F.max("zeros").alias("zeros"),
+        F.min(F.when(F.col("upto") >= (F.col("rows") + F.col("zeros")) * 0.5, F.col("value"))).alias("middle"))  # of what is not zero
     of = lambda table: F.create_map(*[F.lit(x) for p in table.items() for x in p])[F.col("share")]
-    fence = F.col("q2") + SPREAD * F.greatest(F.col("q2") - F.col("q1"), of(SLACK))
+    usual = F.when(F.col("rows") > 0, (1 - F.col("zeros") / F.col("rows")) * F.col("middle"))
+    usual = F.greatest(0.5 * of(SLACK), F.least(1.5 * of(SLACK), usual))
+    fence = F.col("q2") + SPREAD * F.greatest(F.col("q2") - F.col("q1"), usual)
     return both.select(*keys, "share", "rows", F.greatest(of(FLOOR), F.least(F.col("high"), fence)).alias("limit"))
 
 
+def middle_limit(groups: DataFrame, *keys: str) -> DataFrame:
+    """The weighted median of groups' limits; in buckets, so that their number has a bound."""
+    bucket = F.floor(F.log("limit") / math.log(GROWTH))
+    weight = F.round(1000 * F.col("rows") / (F.col("rows") + PRIOR)).cast("long")
+    return groups.groupBy(*keys).agg(F.pow(F.lit(GROWTH), F.percentile(bucket, 0.5, weight)).alias("middle"))
+
+
 def thresholds(sketch: DataFrame, scratch: Scratch) -> DataFrame:
     """lang, source and the limit of each share."""
     sketch = scratch.cut(sketch, "sketch")
     own, by_lang, every = limits(sketch, ["lang", "source"]), limits(sketch, ["lang"]), limits(sketch.withColumn("all", F.lit(1)), ["all"])
-    full, middle = own.filter(F.col("rows") >= LEAST), F.percentile_approx("limit", 0.5)
-    lang_middle = full.groupBy(F.col("lang").alias("l4"), F.col("share").alias("s4")).agg(middle.alias("m4"))
-    middle = full.groupBy(F.col("share").alias("s5")).agg(middle.alias("m5"))
+    lang_middle = middle_limit(own, "lang", "share").toDF("l4", "s4", "m4")
+    middle = middle_limit(own, "share").toDF("s5", "m5")
     by_lang = by_lang.select(F.col("lang").alias("l2"), F.col("share").alias("s2"), F.col("rows").alias("r2"), F.col("limit").alias("m2")).join(
         lang_middle, F.col("l2").eqNullSafe(F.col("l4")) & (F.col("s2") == F.col("s4")), "left")
     every = every.select(F.col("share").alias("s3"), F.col("limit").alias("m3")).join(middle, F.col("s3") == F.col("s5"), "left")
     both = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("share") == F.col("s2"))).join(
         F.broadcast(every), F.col("share") == F.col("s3"))  # one row per share
-    most = LOOSER * F.least("m3", "m5")  # null where no group has LEAST rows, which `least` passes over
-    of_lang = F.least(F.col("m2"), most)
-    limit = F.when(F.col("rows") >= LEAST, F.least(F.col("limit"), most, LOOSER * F.least("m2", "m4"))).when(
-        F.col("r2") >= LEAST, of_lang).otherwise(F.least(F.col("m3"), most))
+    blend = lambda own_limit, rows, parent: (rows * own_limit + PRIOR * parent) / (rows + PRIOR)
+    blended = blend(F.col("limit"), F.col("rows"), blend(F.col("m2"), F.col("r2"), F.col("m3")))
+    limit = F.least(blended, LOOSER * F.least("m3", "m5"), LOOSER * F.least("m2", "m4"))  # medians are null without any weight
     wide = both.groupBy("lang", "source")
     return wide.agg(*[F.max(F.when(F.col("share") == s, limit)).alias(f"limit_{s}") for s in SLACK]).select(
         F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[f"limit_{s}" for s in SLACK])
