@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import counters, ingest, trends
-from ..streaming.sources import drain, stream_table
+from ..streaming.sources import drain, stream_table, work_folder
+from .curation_queries import stored_events
 from .registry import query
 from .roles import Roles
 
@@ -103,6 +104,34 @@ def streamed_intents(r: Roles):
     return out.withColumns(ntz)
 
 
+@query(
+    "streamed_ingest",
+    """SELECT p_name || ' ' || p_partkey AS title, 1 + p_partkey % 2 AS n_links, count(*) AS n_events FROM part GROUP BY 1, 2""",
+)
+def streamed_ingest(r: Roles):
+    """Two crawls of the parts as streamed payloads, the second again as after a failure, then compacted."""
+    part, key = r.table("part"), F.col("p_partkey").cast("string")
+
+    def crawl(site: str) -> DataFrame:
+        record = F.struct(
+            F.concat(F.lit(f"https://ticket.{site}.com/"), key).alias("sourceUrl"), F.lit(site).alias("sourceName"),
+            F.concat("p_name", F.lit(" "), key).alias("title"), F.lit("2026.08.01").alias("startDate"), F.lit("on_sale").alias("status"))
+        return part.select(F.concat(F.lit(site), key).alias("id"), F.to_json(record).alias("parsed_json"),
+                           F.lit("2026-06-30").cast("timestamp").alias("crawled_at"))
+
+    batches = [crawl("yes24"), crawl("melon").filter("p_partkey % 2 = 1")]
+    folder = work_folder(r.spark)
+    store = ingest.EventStore(r.spark, f"{folder}/events")
+    store.write(0, stored_events(r).limit(0))
+    for payloads in batches:
+        payloads.write.mode("append").parquet(f"{folder}/raw")
+        landed = r.spark.readStream.schema(payloads.schema).parquet(f"{folder}/raw")
+        ingest.start_ingest(landed, store, f"{folder}/state", "2026-07-01T00:00:00").awaitTermination()
+    ingest.ingest_batch(store, batches[1], 1, "2026-07-01T00:00:00")
+    store.compact(2)
+    return store.read(2).groupBy("title", F.size("source_urls").cast("long").alias("n_links")).agg(F.count("*").alias("n_events"))
+
+
 @query(
     "streamed_sessions",
     """WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),

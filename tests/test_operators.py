@@ -318,8 +318,38 @@ def test_streamed_ingest_equals_batch(spark, tmp_path):
         ingest.start_ingest(stream, store, str(tmp_path / "ckpt"), AS_OF).awaitTermination()
     got = {r.title: len(r.source_urls) for r in store.read(2).collect()}
     assert got == {"공연 1": 1, "공연 2": 2, "공연 4": 1}
+    before = sorted(map(repr, store.read(2).collect()))
     ingest.ingest_batch(store, two, 1, AS_OF)  # a repeated batch changes nothing
-    assert store.read(2).count() == 3
+    assert sorted(map(repr, store.read(2).collect())) == before
+    store.compact(2)
+    assert sorted(map(repr, store.read(2).collect())) == before and store.read(1).count() == 2 and store.read(0).count() == 0
+
+
+def test_event_store_versions(spark, tmp_path):
+    """Random changes and compactions against a dictionary per version; a small change writes little."""
+    import random
+
+    rng, now, kept = random.Random(5), {}, []
+    store = ingest.EventStore(spark, str(tmp_path / "store"), buckets=8)
+    frame = lambda d: spark.createDataFrame([(k, v, {"k": v}) for k, v in d.items()], "id string, v int, m map<string,int>")
+    now = {f"e{k}": k for k in range(2000)}
+    store.write(0, frame(now))
+    kept.append(dict(now))
+    for version in range(1, 6):
+        some = {f"e{rng.randrange(2100)}": rng.randrange(10**6) for _ in range(4)} if version != 3 else {}
+        store.append(version, frame(some))
+        now |= some
+        kept.append(dict(now))
+        if version in (2, 4):
+            store.compact(version)
+    for version, want in enumerate(kept):
+        got = store.read(version).collect()
+        assert {r.id: r.v for r in got} == want and len(got) == len(want) and all(r.m == {"k": r.v} for r in got)
+    size = lambda folder: sum(f.stat().st_size for f in (tmp_path / "store" / folder).rglob("*.parquet"))
+    assert size("changed/in_version=000000000001") < 0.1 * size("whole/in_version=000000000000")
+    assert len(list((tmp_path / "store/whole/in_version=000000000002").glob("id_bucket=*"))) <= 8
+    (tmp_path / "store/changed/in_version=000000000005/_SUCCESS").unlink()
+    assert {r.id: r.v for r in store.read(5).collect()} == kept[4]  # a version that was not completed does not count
 
 
 def test_recount(spark):
