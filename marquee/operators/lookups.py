@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import fixed_values as V
 from ..functions import text as T
 from ..functions.validate import artist_errors, venue_errors
 from ..session import cut_lineage
-from .merge_artists import add_aliases
+from .merge_artists import add_aliases, joined_records
 from .similarity import contained_names
 
 
@@ -243,3 +245,56 @@ def intake_excluded(title: Column, start: Column, end: Column) -> Column:
     return F.lower(title).rlike(T.any_word(V.INTAKE_EXCLUDED_WORDS)) | F.coalesce(
         F.date_diff(end, start) > V.MAX_RUN_DAYS, F.lit(False)
     )
+
+
+# --- records that hold several performers -----------------------------------------------------
+class SplitResult(NamedTuple):
+    artists: DataFrame
+    aliases: DataFrame
+    edges: DataFrame
+    events: DataFrame
+    performances: DataFrame
+    split: DataFrame
+
+
+def split_joined(artists: DataFrame, aliases: DataFrame, edges: DataFrame, events: DataFrame, performances: DataFrame) -> SplitResult:
+    """Records that hold several performers give way to these: found by name, key or alias, else created.
+
+    Each lineup place of such a record becomes one place per performer, in the order of the name, the first as
+    main act; places that an event already has stay, and of several that come new the foremost one is kept. The
+    event's own artist and timetable slots move to the first performer. A record with fewer than two different
+    performers is left as it is. ``split`` is (id, artist_id, artist_name, place), one row per performer.
+    """
+    joined = cut_lineage(joined_records(artists).select(F.col("id").alias("joined_id"), F.posexplode("parts").alias("at", "raw_name")))
+    ids = joined.select("joined_id").distinct()
+    single = artists.join(ids, F.col("id") == F.col("joined_id"), "left_anti")
+    own = aliases.join(ids, F.col("artist_id") == F.col("joined_id"), "left_anti")
+    matches, known, spelled, _ = match_or_create_artists(joined.select("raw_name"), single, own)
+    found = joined.join(matches, "raw_name").groupBy("joined_id", "artist_id").agg(F.min(F.struct("at", "raw_name")).alias("m"))
+    acts = found.groupBy("joined_id").agg(F.array_sort(F.collect_list(F.struct("m.at", "artist_id", "m.raw_name"))).alias("acts"))
+    acts = cut_lineage(acts.filter(F.size("acts") > 1))  # at most the names in one name
+    split = acts.select(F.col("joined_id").alias("id"), F.posexplode("acts").alias("k", "a")).select(
+        "id", "a.artist_id", F.col("a.raw_name").alias("artist_name"), (F.col("k") + 1).alias("place"))
+    gone = acts.select(F.col("joined_id").alias("id"))
+    everyone = known.unionByName(artists.join(ids, F.col("id") == F.col("joined_id"), "left_semi").join(gone, "id", "left_anti").select(known.columns))
+    kept_aliases = spelled.unionByName(
+        aliases.join(ids, F.col("artist_id") == F.col("joined_id"), "left_semi").join(gone, F.col("artist_id") == F.col("id"), "left_anti")
+        .select("artist_id", "alias", "source"))
+
+    old = edges.withColumn("artist_id", F.col("artist_id").cast("string"))
+    stay = old.join(gone, F.col("artist_id") == F.col("id"), "left_anti")
+    split_up = old.select("event_id", F.col("artist_id").alias("id")).distinct().join(split, "id")
+    fresh = split_up.groupBy("event_id", "artist_id").agg(F.min(F.struct("place", "id", "artist_name")).alias("p"))
+    fresh = fresh.join(stay.select("event_id", "artist_id"), ["event_id", "artist_id"], "left_anti")
+    values = {
+        "event_id": F.col("event_id"), "artist_id": F.col("artist_id"), "artist_name": F.col("p.artist_name"),
+        "role": F.when(F.col("p.place") == 1, "main").otherwise("lineup"), "display_order": F.col("p.place"),
+    }
+    fresh = fresh.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in old.schema.fields])
+    first = split.filter("place = 1").select(F.col("id").alias("_joined"), F.col("artist_id").alias("_first"))
+
+    def led(rows: DataFrame) -> DataFrame:
+        both = rows.join(first, F.col("artist_id").cast("string") == F.col("_joined"), "left")
+        return both.withColumn("artist_id", F.coalesce("_first", F.col("artist_id").cast("string"))).select(*rows.columns)
+
+    return SplitResult(everyone, kept_aliases, stay.unionByName(fresh), led(events), led(performances), split)

@@ -330,12 +330,14 @@ def merge_pair(events: DataFrame, pairs: DataFrame) -> MergeResult:
 
 
 def drop_soft_merged(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, mapping): rows hidden by an earlier soft merge go when their survivor still exists."""
+    """(events, mapping): rows hidden by an earlier soft merge go when their survivor still exists. Where that one
+    goes as well, the mapping leads to the event that is left."""
     soft = events.filter(F.col("merged_into_event_id").isNotNull()).select(
         F.col("id").alias("old_id"), F.col("merged_into_event_id").alias("keep_id")
     )
     mapping = soft.join(events.select(F.col("id").alias("keep_id")), "keep_id", "left_semi")
-    return events.join(mapping.select(F.col("old_id").alias("id")), "id", "left_anti"), mapping.select("old_id", "keep_id")
+    mapping = resolve_chains(mapping)
+    return events.join(mapping.select(F.col("old_id").alias("id")), "id", "left_anti"), mapping
 
 
 # --- review lists ------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from ..operators import merge_artists as MA
 from ..operators import merge_events as ME
 from ..operators import merge_venues as MV
 from ..operators import similarity as S
+from ..session import cut_lineage
 from .registry import query
 from .roles import Roles, with_roles
 
@@ -230,6 +231,69 @@ def event_merge_mapping(r: Roles):
     return merged.mapping
 
 
+@query(
+    "manual_merges",
+    with_roles(
+        "r_events r_event_artists",
+        """SELECT k.id, coalesce(k.poster_url, m.poster_url) AS poster_url, coalesce(k.artist_id, m.artist_id) AS artist_id,
+             1 + CASE WHEN m.id IS NULL THEN 0 ELSE 1 END AS n_links
+           FROM catalog k LEFT JOIN catalog m ON m.id = k.id + 1 AND k.id % 5 = 1 WHERE k.id % 5 <> 2""",
+        CATALOG_SQL,
+    ),
+)
+def manual_merges(r: Roles):
+    """Chosen pairs: every fifth event takes in the next one."""
+    events = cut_lineage(catalog(r))
+    ids = events.select("id")
+    pairs = ids.filter("id % 5 = 1").select(F.col("id").alias("keep_id"), (F.col("id") + 1).alias("merge_id")).join(
+        ids.withColumnRenamed("id", "merge_id"), "merge_id", "left_semi")
+    return ME.merge_pair(events, pairs).events.select("id", "poster_url", "artist_id", F.size("source_urls").cast("long").alias("n_links"))
+
+
+@query(
+    "soft_merged_events",
+    """SELECT p_partkey AS old_id, CASE p_partkey % 10 WHEN 4 THEN p_partkey - 2 ELSE p_partkey - 1 END AS keep_id
+       FROM part WHERE p_partkey % 10 IN (3, 4, 9)""",
+)
+def soft_merged_events(r: Roles):
+    """Soft merges of an event into the one before, a chain of two and some whose survivor is no longer there."""
+    key = F.col("id")
+    into = F.when((key % 10).isin(3, 4, 9), key - 1).when(key % 10 == 6, -key)
+    left, mapping = ME.drop_soft_merged(catalog(r).withColumn("merged_into_event_id", into))
+    return mapping.join(left.select(F.col("id").alias("keep_id")), "keep_id", "left_semi").select("old_id", "keep_id")
+
+
+@query(
+    "relinked_lineups",
+    with_roles(
+        "r_event_artists",
+        """, last AS (SELECT max(s_suppkey) AS last FROM supplier),
+             old AS (SELECT event_id, artist_id, event_id % 2 = 1 AND artist_id < last AS joint FROM r_event_artists, last),
+             fresh AS (SELECT event_id, artist_id + k AS artist_id, min(k + 1) AS display_order FROM old, (VALUES (0), (1)) v(k) WHERE joint GROUP BY 1, 2)
+           SELECT event_id, CAST(artist_id AS VARCHAR) AS artist_id, 'primary' AS role, artist_id AS display_order FROM old WHERE NOT joint
+           UNION ALL SELECT event_id, CAST(artist_id AS VARCHAR), CASE display_order WHEN 1 THEN 'main' ELSE 'lineup' END, display_order FROM fresh
+             WHERE (event_id, artist_id) NOT IN (SELECT (event_id, artist_id) FROM old WHERE NOT joint)""",
+    ),
+)
+def relinked_lineups(r: Roles):
+    """Half of the events were crawled with records that hold an act and its neighbour."""
+    acts = r.table("supplier").select(F.col("s_suppkey").alias("n"), F.col("s_name").alias("name"))
+    both = acts.join(acts.select((F.col("n") - 1).alias("n"), F.col("name").alias("other")), "n")
+    pair = both.select(F.concat(F.lit("j"), F.col("n").cast("string")).alias("id"), F.concat("name", F.lit(" & "), "other").alias("name"))
+    none = lambda t="string": F.lit(None).cast(t)
+    artists = acts.select(F.col("n").cast("string").alias("id"), "name").unionByName(pair).select(
+        "id", "name", T.name_key("name").alias("normalized_name"), none().alias("name_en"), F.lit(0).alias("followers_count"),
+        F.lit(0).alias("upcoming_event_count"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    edges = r.event_artists.join(pair.select(F.substring("id", 2, 20).cast("long").alias("artist_id"), F.col("id").alias("joint")), "artist_id", "left")
+    edges = cut_lineage(edges.select(
+        "event_id", F.when(F.col("event_id") % 2 == 1, F.coalesce("joint", F.col("artist_id").cast("string"))).otherwise(
+            F.col("artist_id").cast("string")).alias("artist_id"),
+        "artist_name", F.lit("primary").alias("role"), F.col("display_order").cast("long").alias("display_order")))
+    aliases = artists.limit(0).select(F.col("id").alias("artist_id"), F.col("name").alias("alias"), none().alias("source"))
+    heads = edges.select("event_id", "artist_id")
+    return LK.split_joined(artists, aliases, edges, heads, heads).edges.select("event_id", "artist_id", "role", "display_order")
+
+
 @query(
     "absorbed_events",
     with_roles(
