@@ -1,6 +1,8 @@
 """Joins whose sides grow far beyond what Spark expects: what it may broadcast, and that results stay."""
 
+from marquee.operators import lookups as LK
 from marquee.operators import similarity as S
+from marquee.session import cut_lineage
 
 
 def planned(df) -> str:
@@ -9,7 +11,18 @@ def planned(df) -> str:
 
 
 def test_grams_are_not_broadcast(spark, table):
-    names = table([("abc",), ("abcdef",), ("xabcdefgh",), ("zz",)], "v string")
+    names = cut_lineage(table([("abc",), ("abcdef",), ("xabcdefgh",), ("zz",)], "v string"))
     pairs = S.containment_pairs(names, "v", 0.4)
     assert "BroadcastHashJoin" not in planned(pairs)
     assert {(r.short, r.long) for r in pairs.collect()} == {("abc", "abcdef"), ("abcdef", "xabcdefgh")}
+
+
+def test_titles_are_not_broadcast_gram_by_gram(spark, table):
+    titles = cut_lineage(table([(1, "An evening with iu"), (2, "the big nova show"), (3, "riu live")], "id int, title string"))
+    acts = cut_lineage(table([("a", "iu"), ("b", "Big Nova"), ("c", "Nova")], "id string, name string"))
+    named = LK.titles_naming_artists(titles, acts)
+    text = planned(named)
+    assert "BroadcastHashJoin" in text and "BuildLeft" not in text
+    rights = [line for line in text.splitlines() if "BroadcastHashJoin" in line and "LeftSemi" not in line]
+    assert len(rights) <= 1, rights  # the names, once more, for their ids
+    assert {(r.event_id, r.artist_id) for r in named.collect()} == {(1, "a"), (2, "b")}
