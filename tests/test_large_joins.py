@@ -1,5 +1,7 @@
 """Joins whose sides grow far beyond what Spark expects: what it may broadcast, and that results stay."""
 
+from pyspark.sql import functions as F
+
 from marquee.operators import lookups as LK
 from marquee.operators import similarity as S
 from marquee.session import cut_lineage
@@ -26,3 +28,14 @@ def test_titles_are_not_broadcast_gram_by_gram(spark, table):
     rights = [line for line in text.splitlines() if "BroadcastHashJoin" in line and "LeftSemi" not in line]
     assert len(rights) <= 1, rights  # the names, once more, for their ids
     assert {(r.event_id, r.artist_id) for r in named.collect()} == {(1, "a"), (2, "b")}
+
+
+def test_ranges_are_spread_once_whatever_the_rows(spark, table, monkeypatch):
+    kept = []
+    monkeypatch.setattr(S, "cut_lineage", lambda df: kept.append(cut_lineage(df)) or kept[-1])
+    day = "date '2024-01-0{}'".format
+    rows = spark.range(400).selectExpr(
+        "id", "'t' as title", "concat('v', id) as venue", f"if(id < 200, {day(1)}, {day(5)}) as s", f"if(id < 200, {day(3)}, {day(7)}) as e", "0 as score")
+    got = {r.id: r.beaten_by for r in S.overlap_losers(rows, ["title"], "venue", "s", "e", F.col("score"), "id").collect()}
+    assert got == {k: 200 * (k // 200) for k in range(400) if k % 200}
+    assert sorted(df.count() for df in kept)[:2] == [2, 2]  # the ranges and what they met
