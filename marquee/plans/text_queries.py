@@ -12,8 +12,8 @@ from ..functions import text as T
 from ..functions import validate as V
 from ..operators import lookups as LK
 from ..operators import merge_artists as MA
-from .matching_queries import BAND_SQL, bands
 from ..session import spread
+from .matching_queries import BAND_SQL, bands
 from .registry import query
 from .roles import AS_OF, Roles, with_roles
 
@@ -121,7 +121,7 @@ def structured_names(r: Roles):
         F.when(key % 3 == 0, F.concat(F.lit("밴드"), key.cast("string"), F.lit("("), "name", F.lit(")")))
         .when(key % 3 == 1, F.concat("name", F.lit(" 밴드"))).otherwise(F.col("name"))
     )
-    rows = bands(r).select("id", T.structured_name(raw).alias("s"))
+    rows = spread(bands(r)).select("id", T.structured_name(raw).alias("s"))
     return rows.select("id", "s.display_name", "s.name_en", F.size("s.aliases").alias("n_aliases"))
 
 

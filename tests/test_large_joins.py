@@ -1,7 +1,8 @@
-"""Joins whose sides grow far beyond what Spark expects: what it may broadcast, and that results stay."""
+"""Work that grows far beyond what Spark expects: what it may broadcast, what it works out twice, and that results stay."""
 
 from pyspark.sql import functions as F
 
+from marquee.functions import text as T
 from marquee.operators import lookups as LK
 from marquee.operators import similarity as S
 from marquee.session import cut_lineage
@@ -39,3 +40,9 @@ def test_ranges_are_spread_once_whatever_the_rows(spark, table, monkeypatch):
     got = {r.id: r.beaten_by for r in S.overlap_losers(rows, ["title"], "venue", "s", "e", F.col("score"), "id").collect()}
     assert got == {k: 200 * (k // 200) for k in range(400) if k % 200}
     assert sorted(df.count() for df in kept)[:2] == [2, 2]  # the ranges and what they met
+
+
+def test_steps_of_a_name_are_not_copied_into_each_other(spark, table):
+    names = table([("아이유 (IU)",)], "v string").select(T.structured_name("v").alias("s")).select("s.*")
+    assert names._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 100
+    assert tuple(names.first()) == ("아이유", "IU", ["IU", "아이유 (IU)"], "아이유")
