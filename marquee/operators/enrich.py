@@ -126,21 +126,21 @@ def lineup_audit(payloads: DataFrame, events: DataFrame, performances: DataFrame
     rows = payloads.filter(F.col("processed") & F.col("event_id").isNotNull()).select(
         "event_id", F.col("id").alias("payload_id"), "source_name", "source_url", candidate_names(F.col("parsed_json")).alias("names")
     )
+    norm = lambda names: F.transform(names, lambda n: F.lower(T.squeeze(n)))
     slots = performances.filter(T.strip("artist_name") != "").groupBy("event_id").agg(
         F.array_sort(F.collect_set(T.strip("artist_name"))).alias("acts")
-    )
-    e = events.select(F.col("id").alias("event_id"), F.col("title").alias("event_title"), "artist_id", "genre")
+    ).withColumn("_acts", norm("acts"))  # once per event, not per payload
+    festival = T.or_empty("title").rlike(V.PLAIN_FESTIVAL) | T.or_empty("genre").rlike(V.PLAIN_FESTIVAL)
+    e = events.select(F.col("id").alias("event_id"), F.col("title").alias("event_title"), "artist_id", festival.alias("_festival"))
     none = F.array().cast("array<string>")
-    joined = rows.join(e, "event_id").join(slots, "event_id", "left").withColumn("acts", F.coalesce("acts", none))
-    norm = lambda names: F.transform(names, lambda n: F.lower(T.squeeze(n)))
-    festival = T.or_empty("event_title").rlike(V.PLAIN_FESTIVAL) | T.or_empty("genre").rlike(V.PLAIN_FESTIVAL)
+    joined = rows.join(e, "event_id").join(slots, "event_id", "left").withColumns({c: F.coalesce(c, none) for c in ("acts", "_acts")})
     no_link = F.col("artist_id").isNull()
-    differs = (F.size("acts") > 0) & (F.size("names") > 0) & (F.size(F.array_except(norm(F.col("acts")), norm(F.col("names")))) > 0)
+    differs = (F.size("acts") > 0) & (F.size("names") > 0) & (F.size(F.array_except("_acts", norm("names"))) > 0)
     issue = lambda topic, reason: F.struct(F.lit(topic).alias("topic"), F.lit(reason).alias("reason"))
     found = F.array_compact(F.array(
         F.when(no_link & (F.size("names") == 0), issue("link", "missing_artist_candidates")),
         F.when(no_link & (F.size("names") > 0), issue("link", "missing_artist_link")),
-        F.when(festival & (F.size("acts") == 0), issue("timetable", "missing_festival_timetable")),
+        F.when(F.col("_festival") & (F.size("acts") == 0), issue("timetable", "missing_festival_timetable")),
         F.when(differs, issue("mismatch", "timetable_artist_mismatch")),
     ))
     spread = joined.select("*", F.explode(found).alias("x"))

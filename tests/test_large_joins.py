@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from marquee.functions import nested as K
 from marquee.functions import text as T
+from marquee.operators import enrich as EN
 from marquee.operators import lookups as LK
 from marquee.operators import similarity as S
 from marquee.session import cut_lineage
@@ -46,3 +48,19 @@ def test_steps_of_a_name_are_not_copied_into_each_other(spark, table):
     names = table([("아이유 (IU)",)], "v string").select(T.structured_name("v").alias("s")).select("s.*")
     assert names._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 100
     assert tuple(names.first()) == ("아이유", "IU", ["IU", "아이유 (IU)"], "아이유")
+
+
+def test_payload_names_are_read_without_a_second_parse(spark, table):
+    rows = table([(r'{"artists":["a\"b","아이유"," x ",1,null,"1","",{"a":1},["y"],true,"x"]}',), ("oops",), (None,)], "j string")
+    names = rows.select(K.candidate_names(F.col("j")).alias("n"))
+    assert "get_json_object" not in planned(names)
+    assert [r.n for r in names.collect()] == [['a"b', "아이유", "x", "1"], [], []]
+
+
+def test_acts_of_an_event_are_brought_to_form_once(spark, table):
+    day = table([(1, 7, "s", "u", '{"artists":["IU"]}', True), (1, 8, "s", "u", '{"artists":["iu "]}', True)],
+                "event_id int, id int, source_name string, source_url string, parsed_json string, processed boolean")
+    events = table([(1, "t", None, None)], "id int, title string, artist_id string, genre string")
+    audit = EN.lineup_audit(day, events, table([(1, " Zico  A")], "event_id int, artist_name string"))
+    assert "_acts" in audit._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.reason, r.payload_id) for r in audit.collect()} == {("missing_artist_link", 7), ("timetable_artist_mismatch", 7)}
