@@ -58,7 +58,7 @@ def list_pages(r: Roles) -> DataFrame:
     banner = F.struct(F.array(item, item).alias("bigBanner"), F.array(item).alias("hotItem"))
     state = F.struct(F.struct(F.struct(banner.alias("banner")).alias("pageProps")).alias("props"))
     page = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), F.to_json(state), F.lit("</script></html>"))
-    return r.table("part").select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+    return spread(r.table("part")).select(F.col("p_partkey").alias("page_id"), page.alias("html"))
 
 
 @query("banner_items", "SELECT p_partkey AS page_id, pos, 'G' || p_partkey AS code, p_name AS title FROM part, range(3) t(pos)")

@@ -47,20 +47,21 @@ HIDDEN_MARKUP = r"(?is)<(script|style|noscript|svg)[^>]*>.*?</\1>"
 # --- embedded JSON -----------------------------------------------------------------------
 def banner_items(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per list item of a page's embedded state: the three banner lists, then the plays."""
-    state = F.regexp_extract(html, NEXT_DATA, 1)
-    props = F.get_json_object(state, "$.props.pageProps")
     empty = F.array().cast(BANNER_ITEM)
-    lists = [
-        F.coalesce(F.from_json(F.get_json_object(props, f"$.banner.{name}"), BANNER_ITEM), empty) for name in BANNER_LISTS
-    ]
-    plays = F.from_json(F.get_json_object(props, "$.interparkPlay"), PLAY_ITEM)
 
     def play(p: Column) -> Column:
         info = p["goodsInfo"]
         return info.withField("title", F.coalesce(info["goodsName"], p["title"])).withField("imageUrl", p["imageUrl"])
 
-    plays = F.filter(F.transform(plays, play), lambda x: x.isNotNull())
-    items = F.concat(*lists, F.coalesce(plays, empty))
+    def listed(props: Column) -> Column:
+        lists = [
+            F.coalesce(F.from_json(F.get_json_object(props, f"$.banner.{name}"), BANNER_ITEM), empty) for name in BANNER_LISTS
+        ]
+        plays = F.from_json(F.get_json_object(props, "$.interparkPlay"), PLAY_ITEM)
+        plays = F.filter(F.transform(plays, play), lambda x: x.isNotNull())
+        return F.concat(*lists, F.coalesce(plays, empty))
+
+    items = T.once(F.get_json_object(F.regexp_extract(html, NEXT_DATA, 1), "$.props.pageProps"), listed)
     keep = [c for c in pages.columns if c != html]
     return pages.select(*keep, F.posexplode(items).alias("pos", "item")).select(*keep, "pos", "item.*")
 

@@ -7,6 +7,7 @@ from marquee.functions import text as T
 from marquee.operators import enrich as EN
 from marquee.operators import lookups as LK
 from marquee.operators import similarity as S
+from marquee.plans.catalogue import QUERIES
 from marquee.session import cut_lineage
 
 
@@ -64,3 +65,8 @@ def test_acts_of_an_event_are_brought_to_form_once(spark, table):
     audit = EN.lineup_audit(day, events, table([(1, " Zico  A")], "event_id int, artist_name string"))
     assert "_acts" in audit._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.reason, r.payload_id) for r in audit.collect()} == {("missing_artist_link", 7), ("timetable_artist_mismatch", 7)}
+
+
+def test_pages_of_one_file_are_shared_over_the_cores(spark, sf_dir):
+    assert QUERIES["banner_items"](spark, sf_dir).rdd.getNumPartitions() > 1
+    assert QUERIES["structured_names"](spark, sf_dir).rdd.getNumPartitions() > 1
