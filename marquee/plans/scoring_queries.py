@@ -95,6 +95,11 @@ event_scores AS (
 EVENT_ROLES = ARTIST_ROLES + " r_bookings"
 
 
+def scoring_roles(r: Roles) -> Roles:
+    """The roles with those written out that several signals are counted from."""
+    return r.kept("deals").kept("event_artists", "interested")
+
+
 def artist_engagement_of(r: Roles):
     return E.artist_engagement(r.artists, r.followings, r.event_artists, r.interested, r.reviews)
 
@@ -109,7 +114,7 @@ def scored_artists(r: Roles):
 
 
 def scored_events(r: Roles, artist_scores=None):
-    scores = scored_artists(r) if artist_scores is None else artist_scores
+    scores = scored_artists(scoring_roles(r)) if artist_scores is None else artist_scores
     return S.event_popularity(r.events, r.event_artists, scores, event_engagement_of(r), AS_OF)
 
 
@@ -197,7 +202,7 @@ def refreshed_counters(r: Roles):
     with_roles(ARTIST_ROLES, "SELECT id, popularity_score FROM artist_scores", ARTIST_SCORE_SQL),
 )
 def artist_popularity(r: Roles):
-    return scored_artists(r).select("id", "popularity_score")
+    return scored_artists(scoring_roles(r)).select("id", "popularity_score")
 
 
 @query(
@@ -272,7 +277,7 @@ def top_events(r: Roles, limit: int):
     ),
 )
 def score_snapshots(r: Roles):
-    artists = scored_artists(r)
+    artists = scored_artists(scoring_roles(r))
     rows = S.snapshot_rows(artists, scored_events(r, artists), at(AS_OF))
     return rows.select("entity_type", "entity_id", "popularity_score")
 

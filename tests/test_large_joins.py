@@ -70,3 +70,13 @@ def test_acts_of_an_event_are_brought_to_form_once(spark, table):
 def test_pages_of_one_file_are_shared_over_the_cores(spark, sf_dir):
     assert QUERIES["banner_items"](spark, sf_dir).rdd.getNumPartitions() > 1
     assert QUERIES["structured_names"](spark, sf_dir).rdd.getNumPartitions() > 1
+
+
+def test_order_lines_are_joined_once_for_all_scores(spark, sf_dir, monkeypatch):
+    """Every role that a score counts from once joined all lines with their orders for itself."""
+    from marquee.plans.roles import Roles
+
+    joins, lines = [], Roles.lines.fget
+    monkeypatch.setattr(Roles, "lines", property(lambda r: joins.append(1) or lines(r)))
+    QUERIES["event_popularity"](spark, sf_dir)
+    assert len(joins) == 1
