@@ -27,18 +27,37 @@ def stages_seen(followings: DataFrame, lineup: DataFrame) -> DataFrame:
     return followings.join(lineup, "artist_id").groupBy("user_id", "event_id").agg(F.min("artist_id").alias("followed_id"))
 
 
-def co_performers(followings: DataFrame, event_artists: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+def shared_stages(lineup: DataFrame) -> DataFrame:
+    """The rows of events with two acts or more; on the others nobody is seen beside anybody."""
+    shared = lineup.groupBy("event_id").agg(F.count("*").alias("n_acts")).filter("n_acts > 1")
+    return lineup.join(shared.select("event_id"), "event_id", "left_semi")
+
+
+def _met(followings: DataFrame, seen: DataFrame, lineup: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(user_id, artist_id, shared, event_id): acts of the events seen and ``others``, but none that the user follows.
+
+    Follows and others are rows of the same grouping, so that each pair is shuffled once; with others by
+    user alone, as what comes next needs them.
+    """
+    no_event = F.lit(None).cast(lineup.schema["event_id"].dataType).alias("event_id")
+    pair = lambda df, event, followed: df.select("user_id", "artist_id", event, F.lit(followed).alias("followed"))
+    rows = pair(seen.select("user_id", "event_id").join(lineup, "event_id"), F.col("event_id"), False)
+    rows = rows.unionByName(pair(followings, no_event, True))
+    if others is not None:
+        rows = rows.unionByName(pair(others, no_event, False)).repartition("user_id")
+    met = rows.groupBy("user_id", "artist_id").agg(
+        F.count("event_id").alias("shared"), F.min("event_id").alias("event_id"), F.max("followed").alias("followed"))
+    return met.filter(~F.col("followed")).drop("followed")
+
+
+def co_performers(followings: DataFrame, event_artists: DataFrame) -> DataFrame:
     """(user_id, artist_id, shared, event_id): acts seen beside followed ones, with the first such event.
 
     Followed acts are first reduced to one row per user and event, so an event with several of
     them meets its lineup once; plain counts and minima keep the aggregation hash-based.
     """
-    lineup = event_artists.select("event_id", "artist_id").distinct()
-    seen = stages_seen(followings, lineup) if seen is None else seen
-    beside = seen.select("user_id", "event_id").join(lineup, "event_id").groupBy("user_id", "artist_id").agg(
-        F.count("*").alias("shared"), F.min("event_id").alias("event_id")
-    )
-    return beside.join(followings, ["user_id", "artist_id"], "left_anti")
+    lineup = shared_stages(event_artists.select("event_id", "artist_id").distinct())
+    return _met(followings, stages_seen(followings, lineup), lineup)
 
 
 def _taste_base(liked: str, hot: str, genres: str, stages: str) -> Column:
@@ -87,7 +106,7 @@ def artist_recommendations(
     genres = cut_lineage(genres.select("artist_id", "genre"))
     large = lineup.groupBy("event_id").agg(F.count("*").alias("n_acts")).filter(F.col("n_acts") > hot_lineup).select("event_id")
     large = cut_lineage(large)
-    cold = lineup.join(large, "event_id", "left_anti")
+    cold = cut_lineage(shared_stages(lineup.join(large, "event_id", "left_anti")))
     hot = lineup.join(large, "event_id", "left_semi")
 
     none = F.array().cast("array<string>")
@@ -115,7 +134,6 @@ def artist_recommendations(
 
     # shared stages
     seen = cut_lineage(stages_seen(follows, cold))
-    beside = cut_lineage(co_performers(follows, cold, seen))
 
     # groups of equal artists
     most = users.agg(F.max("n_follows")).first()[0] or 0
@@ -143,21 +161,17 @@ def artist_recommendations(
         label_users, label_matches, label_members.select("label", "genres", "stages", "artist_id", "place"), ["label"], limit
     )
 
-    picked = by_trait.unionByName(by_label).distinct().join(follows, ["user_id", "artist_id"], "left_anti")
-
-    # full score of every candidate; one full join brings both sides together
-    pairs = beside.withColumnRenamed("event_id", "first_event").join(picked, ["user_id", "artist_id"], "full")
-    flags = user_labels.withColumn("same_agency", F.lit(1))
-    rows = (
-        pairs.join(acts, "artist_id").join(users.drop("n_follows"), "user_id")
-        .join(flags, ["user_id", "label"], "left")
-    )
+    # full score of every candidate, with what is known of its user in one row
+    pairs = _met(follows, seen, cold, by_trait.unionByName(by_label)).withColumnRenamed("event_id", "first_event")
+    labels = user_labels.groupBy("user_id").agg(F.collect_set("label").alias("labels"))
+    known = users.drop("n_follows").join(labels, "user_id", "left")
+    rows = pairs.join(known, "user_id").join(acts.drop("name"), "artist_id")
     hot_shared = F.array_intersect("hot", "stages")
     ge = clamp01(F.size(F.array_intersect("liked", "genres")) / F.greatest(F.lit(1), F.size("liked")))
     rows = rows.select(
         "user_id", "artist_id", "popularity_score",
-        (F.coalesce("shared", F.lit(0)) + F.size(hot_shared)).alias("shared"),
-        F.coalesce("same_agency", F.lit(0)).alias("agency"), ge.alias("ge"),
+        (F.col("shared") + F.size(hot_shared)).alias("shared"),
+        F.coalesce(F.array_contains("labels", F.col("label")).cast("int"), F.lit(0)).alias("agency"), ge.alias("ge"),
         F.least("first_event", F.array_min(hot_shared)).alias("first_event"),
     )
     rows = rows.withColumn("co", co_performer_norm(F.col("shared")))

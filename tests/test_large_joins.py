@@ -80,3 +80,17 @@ def test_order_lines_are_joined_once_for_all_scores(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(Roles, "lines", property(lambda r: joins.append(1) or lines(r)))
     QUERIES["event_popularity"](spark, sf_dir)
     assert len(joins) == 1
+
+
+def test_pairs_of_users_and_artists_are_shuffled_once(spark, table, monkeypatch):
+    """Followed acts were taken out by a join of their own, and events with a single act were seen too."""
+    from marquee.operators import recommend_artists as RA
+
+    monkeypatch.setattr(RA, "cut_lineage", lambda df: df)
+    follows = table([(1, 10), (1, 11), (2, 12), (3, 13)], "user_id long, artist_id long")
+    acts = [(100, 10), (100, 11), (100, 12), (101, 10), (101, 12), (102, 11), (103, 13)]
+    met = RA.co_performers(follows, table(acts, "event_id long, artist_id long"))
+    assert sorted(tuple(r) for r in met.select("user_id", "artist_id", "shared", "event_id").collect()) == [
+        (1, 12, 2, 100), (2, 10, 2, 100), (2, 11, 1, 100)]
+    assert "LeftAnti" not in planned(met)
+    assert sorted(r.event_id for r in RA.shared_stages(table(acts, "event_id long, artist_id long")).distinct().collect()) == [100, 100, 100, 101, 101]
