@@ -94,21 +94,23 @@ def event_recommendations(
         .join(acts.select("event_id", F.lower(T.strip("artist_name")).alias("n")).distinct(), "n")
         .select("user_id", "event_id", F.lit("related").alias("kind"), F.lit(None).cast("long").alias("display_order"))
     )
+    # candidates for everybody and links are rows of the same grouping, so that each pair is shuffled once
+    for_all = for_all.select("user_id", "event_id").unionByName(for_genre).select(
+        "user_id", "event_id", F.lit("listed").alias("kind"), F.lit(None).cast("long").alias("display_order")
+    )
     links = followed.withColumn("display_order", F.col("display_order").cast("long")).unionByName(visited).unionByName(related)
-    links = links.groupBy("user_id", "event_id").agg(
+    pairs = links.unionByName(for_all).groupBy("user_id", "event_id").agg(
         F.count_if(F.col("kind") == "followed").alias("n_followed"), F.min("display_order").alias("best_billing"),
         F.max(F.col("kind") == "visited").alias("artist_hit"), F.max(F.col("kind") == "related").alias("related_hit"),
     )
-    links = cut_lineage(links)
 
-    pairs = for_all.select("user_id", "event_id").unionByName(for_genre).unionByName(links.select("user_id", "event_id")).distinct()
     liked = genres.withColumn("genre_hit", F.lit(True))
     rows = (
         pairs.join(candidates, "event_id").join(billing, "event_id", "left")
-        .join(links, ["user_id", "event_id"], "left").join(liked, ["user_id", "genre"], "left")
+        .join(liked, ["user_id", "genre"], "left")
     )
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    n_followed = F.coalesce("n_followed", F.lit(0))
+    n_followed = F.col("n_followed")
     headliner = F.col("best_billing") == F.col("first")
     favorite = F.when(
         n_followed > 0,

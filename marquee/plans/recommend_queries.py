@@ -64,6 +64,7 @@ scored AS (SELECT *, floor(least(0.4e0 * co + 0.3e0 * ag + 0.3e0 * ge, 1) * 1000
     ),
 )
 def artist_recommendations(r: Roles):
+    r.kept("deals").kept("event_artists")
     genres = E.genre_profile(r.event_artists, r.events, r.performances)
     recs = RA.artist_recommendations(r.followings, rated_artists(r), r.event_artists, genres, LIST_LENGTH)
     return recs.drop("name", "reasons")
@@ -81,6 +82,7 @@ def artist_recommendations(r: Roles):
     ),
 )
 def co_performers(r: Roles):
+    r.kept("deals").kept("event_artists", "followings")
     return RA.co_performers(r.followings, r.event_artists).select("user_id", "artist_id", "shared")
 
 
@@ -157,6 +159,7 @@ scored AS (SELECT *, floor((0.45e0 * pop + 0.25e0 * trend + 0.2e0 * r + 0.1e0 *
     ),
 )
 def event_recommendations(r: Roles):
+    r.kept("deals").kept("event_artists", "followings")
     users = r.table("customer").select(F.col("c_custkey").alias("id"))
     recs = RE.event_recommendations(
         users, rated_events(r), r.event_artists, rated_artists(r), r.followings, r.interested, r.bookings, AS_OF, LIST_LENGTH

@@ -94,3 +94,13 @@ def test_pairs_of_users_and_artists_are_shuffled_once(spark, table, monkeypatch)
         (1, 12, 2, 100), (2, 10, 2, 100), (2, 11, 1, 100)]
     assert "LeftAnti" not in planned(met)
     assert sorted(r.event_id for r in RA.shared_stages(table(acts, "event_id long, artist_id long")).distinct().collect()) == [100, 100, 100, 101, 101]
+
+
+def test_pairs_of_users_and_events_are_shuffled_once(spark, sf_dir, monkeypatch):
+    """Links were written, read, made distinct and joined again with what they were made from."""
+    from marquee.operators import recommend_events as RE
+
+    written, cut = [], RE.cut_lineage
+    monkeypatch.setattr(RE, "cut_lineage", lambda df: written.append(set(df.columns)) or cut(df))
+    QUERIES["event_recommendations"](spark, sf_dir)
+    assert written and not any("artist_hit" in columns for columns in written)
