@@ -102,6 +102,23 @@ def test_jaccard_equals_brute_force(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("common", [0, 4, 1000])
+def test_jaccard_by_groups_equals_brute_force(spark, monkeypatch, common):
+    """Addresses of one site are alike by what all of them have; some also have a rare token in common."""
+    monkeypatch.setattr(S, "_BLOCK", 4)
+    rng = random.Random(5)
+    names = sorted({f"{rng.choice(['http', 'https'])} {rng.choice('ab')} com en {rng.randint(10, 40)}{rng.choice(['', ' html'])}" for _ in range(120)})
+    df = spark.createDataFrame([(n, n.split()) for n in names], "name string, tokens array<string>")
+    for threshold in (0.7, 0.5):
+        rows = [(r.name_a, r.name_b, round(r.similarity, 9)) for r in S.jaccard_pairs(df, "name", "tokens", threshold, common=common).collect()]
+        want = []
+        for a, b in itertools.combinations(names, 2):
+            x, y = set(a.split()), set(b.split())
+            if len(x & y) / len(x | y) >= threshold and abs(len(a) - len(b)) <= 2:
+                want.append((a, b, round(len(x & y) / len(x | y), 9)))
+        assert sorted(rows) == want
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
