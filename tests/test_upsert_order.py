@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,17 @@ def test_hot_event_is_split_over_tasks(spark):
         spark.createDataFrame(done, effect.schema), "event_id").select("k", U.settled("genre", F.col("v"), F.col("s")).alias("end")).collect()
     got = {r.k: (r.end.v, r.end.s, r.end.moved) for r in ends}
     assert got == {k: applied(v, s, values) for k, (v, s) in enumerate(starts)}
+
+
+def test_untouched_fields_are_not_written(monkeypatch):
+    """A field that no row has is null instead of a row of blanks per trust level, and repeats change nothing."""
+    monkeypatch.setattr(U.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 3})()))
+    rows = [("a", 55, "festivallife", "X"), ("a", 20, "gemini-search", "X"), ("a", 70, "yes24", "X"), ("b", 20, "gemini-search", None)]
+    schema = pa.schema([("event_id", pa.string()), ("trust", pa.int32()), ("source_name", pa.string()), *[(f, pa.string()) for f in U.TRACKED]])
+    batch = pa.RecordBatch.from_pylist([{"event_id": e, "trust": t, "source_name": s, "genre": g} for e, t, s, g in rows], schema)
+    out = [r for done in U._shares(iter([batch.slice(0, 2), batch.slice(2)])) for r in done.to_pylist()]
+    assert [(r["event_id"], r["share"]) for r in out] == [("a", 3), ("b", 3)]
+    assert all(r[f] is None for r in out for f in U.TRACKED if (r["event_id"], f) != ("a", "genre"))
+    first = [(s["first"], s["source"], s["trust"], s["then_trust"]) for s in out[0]["genre"]]
+    low, high = ("X", "festivallife", 55, None), ("X", "yes24", 70, None)
+    assert first == [low if level <= 55 else high if level <= 70 else (None,) * 4 for level in U.LEVELS]
