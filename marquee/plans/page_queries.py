@@ -271,7 +271,7 @@ def timetable_lines(r: Roles):
     """Lines kept of pages that begin and end in lines without any bearing on the timetable."""
     filler = F.array_join(F.array_repeat(F.lit("notice"), 12), "\n")
     html = F.concat(F.lit("<body>"), filler, F.lit("\n"), "text", F.lit("\n"), filler, F.lit("</body>"))
-    kept = P.timetable_lines(P.page_lines(timetable_texts(r).select("event_id", html.alias("html")), "event_id"), "event_id")
+    kept = P.page_timetable(timetable_texts(r).select("event_id", html.alias("html")), "event_id")
     return kept.groupBy("event_id").agg(F.count("*").alias("n_lines"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -250,31 +250,45 @@ def infobox_fields(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 
 # --- timetable text ----------------------------------------------------------------------
+def _body_lines(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, _lines): cleaned non-empty body lines, numbered."""
+    body = F.regexp_replace(F.regexp_replace(html, HIDDEN_MARKUP, ""), r"(?is)^.*?<body[^>]*>|</body>.*\z", "")
+    rows = pages.select(key, F.regexp_replace(body, r"<[^>]+>", "").alias("_text"))
+    text = F.when(F.contains("_text", F.lit("&")), L.decode_entities(F.col("_text"))).otherwise(F.col("_text"))
+    return rows.select(key, F.transform(T.text_lines(text), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))).alias("_lines"))
+
+
 def page_lines(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Cleaned non-empty body lines of a page, numbered."""
-    body = F.regexp_replace(F.regexp_replace(html, HIDDEN_MARKUP, ""), r"(?is)^.*?<body[^>]*>|</body>.*\z", "")
-    text = L.decode_entities(F.regexp_replace(body, r"<[^>]+>", ""))
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), T.squeeze), lambda x: x != "")
-    return pages.select(key, F.posexplode(lines).alias("pos", "line"))
+    return _body_lines(pages, key, html).select(key, F.explode("_lines").alias("_line")).select(key, "_line.pos", "_line.line")
+
+
+def page_timetable(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """The timetable lines of whole pages, found where a page is read: nothing is shuffled."""
+    return _telling_lines(_body_lines(pages, key, html), key)
 
 
 def timetable_lines(lines: DataFrame, key: str) -> DataFrame:
+    """The timetable lines of pages that have been split into numbered lines."""
+    return _telling_lines(lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_lines")), key)
+
+
+def _telling_lines(pages: DataFrame, key: str) -> DataFrame:
     """Lines that look like a timetable and what belongs to them.
 
     A line is in reach within 3 lines of a time range or 8 of a keyword. Inside a stretch of lines
-    in reach, everything from the first telling line on is kept. Windows run over one page.
+    in reach, everything from the first telling line on is kept. A page is written as one letter per line: t has
+    a time, w a keyword, c some context; then C and r are lines in reach with and without it.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    time, word = F.col("line").rlike(V.TIME_RANGE), F.col("line").rlike(V.TIMETABLE_WORD)
-    flagged = lines.withColumn("_time", time).withColumn("_word", word & ~time)
-    flagged = flagged.withColumn("_telling", time | word | F.col("line").rlike(V.CONTEXT_LINE))
-    reach = F.max("_time").over(w.rowsBetween(-3, 3)) | F.max("_word").over(w.rowsBetween(-8, 8))
-    flagged = flagged.withColumn("_reach", reach)
-    stretch = F.count(F.when(~F.col("_reach"), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    flagged = flagged.withColumn("_stretch", stretch)
-    inside = Window.partitionBy(key, "_stretch", "_reach").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    kept = F.col("_reach") & F.max("_telling").over(inside)
-    return flagged.withColumn("_kept", kept).filter("_kept").select(key, "pos", "line")
+    kind = lambda x: F.when(x["line"].rlike(V.TIME_RANGE), "t").when(x["line"].rlike(V.TIMETABLE_WORD), "w").when(
+        x["line"].rlike(V.CONTEXT_LINE), "c").otherwise(".")
+    rows = pages.withColumn("_kinds", F.array_join(F.transform("_lines", kind), ""))
+    reach = "(?:(?=.{0,3}t|.{0,8}w)|(?<=t.{0,2}|w.{0,7}))"
+    near = F.regexp_replace(F.regexp_replace("_kinds", reach + "\\.", "r"), reach + "c", "C")
+    told = F.regexp_replace(near, r"(?:(?<![rCtw])|(?!^)\G)r", ".")
+    rows = rows.select(key, "_lines", F.split(told, "").alias("_kinds"))
+    kept = F.filter("_lines", lambda x, i: F.get("_kinds", i).isin("t", "w", "C", "r"))
+    return rows.select(key, F.explode(kept).alias("_line")).select(key, "_line.pos", "_line.line")
 
 
 def timetable_images(pages: DataFrame, key: str, html: str = "html") -> DataFrame:

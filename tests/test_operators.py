@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -370,3 +372,27 @@ def test_crawl_alarms_in_any_order(spark, tmp_path, batches):
     out = drain(ingest.crawl_alarms(stream), "update")
     last = out.groupBy("source_name").agg(F.max_by(F.struct("zero_run", "alarm"), "epoch").alias("s")).collect()
     assert {r.source_name: tuple(r.s) for r in last} == {"s": (3, True), "t": (1, False)}
+
+
+def test_page_timetable_is_found_where_the_page_is_read(spark):
+    rng = random.Random(4)
+    lines = ["intro", "x", "", "  y\t z ", "10:00 ~ 11:00 A", "TIMETABLE", "DAY 1", "MAIN", "　 b  c", "7/12", "timetable 12:00-13:00", "a&amp;b"]
+    rows = [(n, "<body>" + rng.choice(["\n", "\r\n", " \n\r\n"]).join(rng.choices(lines, [12, 12, 3, 6, 1, 1, 2, 2, 4, 2, 1, 1], k=rng.randint(0, 50))) + "</body>")
+            for n in range(200)]
+    pages = spark.createDataFrame(rows, "page_id int, html string")
+    found = P.page_timetable(pages, "page_id")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    held = {}
+    for r in P.page_lines(pages, "page_id").collect():
+        held.setdefault(r.page_id, {})[r.pos] = r.line
+    want = set()
+    for page, at in held.items():
+        time = [bool(re.search(r"\d\d:\d\d\s*[~-]\s*\d", at[i])) for i in range(len(at))]
+        word = ["timetable" in at[i].lower() and not time[i] for i in range(len(at))]
+        telling = [time[i] or word[i] or bool(re.search(r"(?i)day|main|\d/\d", at[i])) for i in range(len(at))]
+        told = False
+        for i in range(len(at)):
+            reach = any(time[max(i - 3, 0):i + 4]) or any(word[max(i - 8, 0):i + 9])
+            told = reach and (told or telling[i])
+            want |= {(page, i, at[i])} if told else set()
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in P.timetable_lines(P.page_lines(pages, "page_id"), "page_id").collect()} == want
