@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import fixed_values as V
 from ..functions import text as T
+from ..session import many_tasks
 from .lookups import match_artists
 
 
@@ -25,10 +26,10 @@ def parse_lines(texts: DataFrame, as_of: str) -> DataFrame:
     Day, date and stage carry forward from the last line that set them. A line with a stage and a
     time waits for its act on the next line without a time. Windows run over one event's text.
     """
-    lines = F.filter(
-        F.transform(F.split("text", r"\r?\n"), lambda x: T.squeeze(F.regexp_replace(x, r"[|]", " "))), lambda x: x != ""
-    )
-    rows = texts.select("event_id", "start_date", "genre", F.posexplode(lines).alias("pos", "line"))
+    lines = T.text_lines(F.translate("text", "|", " "))
+    # texts are dealt by event, their lines stay where they are
+    dealt = texts.select("event_id", "text", "start_date", "genre").repartition(many_tasks(texts.sparkSession), "event_id")
+    rows = dealt.select("event_id", "start_date", "genre", F.posexplode(lines).alias("pos", "line"))
     line, start = F.col("line"), F.coalesce(F.col("start_date").cast("date"), D.at(as_of).cast("date"))
     # patterns first, each once; what follows is built on their columns
     rows = rows.withColumns({
@@ -78,28 +79,29 @@ def parse_lines(texts: DataFrame, as_of: str) -> DataFrame:
 def parse_timetable(texts: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """(rows, issues) of timetable texts."""
     rows = parse_lines(texts, as_of)
-    paired = rows.filter("takes_slot").select(
-        "event_id", "pos", F.col("waiting_slot.at_day.day").alias("day_number"),
-        F.col("waiting_slot.at_day.date").alias("date_string"), F.col("waiting_slot.begins").alias("start_time"),
-        F.col("waiting_slot.ends").alias("end_time"), F.col("line").alias("artist_name"),
-        F.col("waiting_slot.stage").alias("stage_name"), T.or_empty("genre").alias("genre"),
-    )
-    single = rows.filter(F.col("timed") & ~F.col("slot"))
+    alone = F.col("timed") & ~F.col("slot")
+    told = rows.filter(F.col("takes_slot") | alone)  # read once for both kinds of line
     line = T.drop_first(F.col("line"), V.DAY_MARKER)
     own = F.coalesce("marked", "at_day")
     line = T.drop_first(line, V.SINGLE_DATE)
     stage = T.strip(F.regexp_extract(line, V.STAGE_MARKER, 1))
     act = F.regexp_replace(T.drop_first(F.regexp_replace(line, V.STAGE_MARKER, " "), V.TIME_RANGE), V.LINEUP_LABEL, " ")
-    single = single.withColumns({
+    told = told.withColumns({
         "own": own, "act": T.squeeze(act), "stage": F.when(stage != "", stage).otherwise(F.col("at_stage")),
     })
     good = F.col("valid") & (F.col("act") != "") & (F.col("stage") != "")
-    whole = single.filter(good).select(
-        "event_id", "pos", F.col("own.day").alias("day_number"), F.col("own.date").alias("date_string"),
-        F.col("begins").alias("start_time"), F.col("ends").alias("end_time"), F.col("act").alias("artist_name"),
-        F.col("stage").alias("stage_name"), T.or_empty("genre").alias("genre"),
+    paired = F.struct(
+        F.col("waiting_slot.at_day.day").alias("day_number"), F.col("waiting_slot.at_day.date").alias("date_string"),
+        F.col("waiting_slot.begins").alias("start_time"), F.col("waiting_slot.ends").alias("end_time"), F.col("line").alias("artist_name"),
+        F.col("waiting_slot.stage").alias("stage_name"),
+    )
+    whole = F.struct(
+        F.col("own.day").alias("day_number"), F.col("own.date").alias("date_string"), F.col("begins").alias("start_time"),
+        F.col("ends").alias("end_time"), F.col("act").alias("artist_name"), F.col("stage").alias("stage_name"),
     )
-    unread = single.filter(~good).select("event_id", "line", F.lit("unreadable_line").alias("reason"))
+    kept = told.select("event_id", "pos", F.when(F.col("takes_slot"), paired).when(good, whole).alias("r"), T.or_empty("genre").alias("genre"))
+    kept = kept.filter(F.col("r").isNotNull()).select("event_id", "pos", "r.*", "genre")
+    unread = told.filter(alone & ~good).select("event_id", "line", F.lit("unreadable_line").alias("reason"))
     tail = rows.groupBy("event_id").agg(
         F.max(F.when(F.col("slot"), F.col("pos"))).alias("_slot"), F.max(F.when(~F.col("timed"), F.col("pos"))).alias("_plain"),
         F.max_by("line", F.when(F.col("slot"), F.col("pos"))).alias("line"),
@@ -107,7 +109,7 @@ def parse_timetable(texts: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]
     open_slot = tail.filter(F.col("_slot") > F.coalesce("_plain", F.lit(-1))).select(
         "event_id", "line", F.lit("slot_without_artist").alias("reason")
     )
-    return paired.unionByName(whole), unread.unionByName(open_slot)
+    return kept, unread.unionByName(open_slot)
 
 
 def stage_overlaps(rows: DataFrame, stage: list[str], start: str, end: str, order: str) -> DataFrame:

@@ -396,3 +396,11 @@ def test_page_timetable_is_found_where_the_page_is_read(spark):
             told = reach and (told or telling[i])
             want |= {(page, i, at[i])} if told else set()
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in P.timetable_lines(P.page_lines(pages, "page_id"), "page_id").collect()} == want
+
+
+def test_timetable_texts_are_dealt_before_they_are_split(spark):
+    """One exchange of whole texts; their lines, with all that is read from them, are neither shuffled nor read twice."""
+    texts = spark.createDataFrame([("e", "A\nMAIN 10:00~11:00\nact", dt.date(2026, 7, 10), "x")], "event_id string, text string, start_date date, genre string")
+    plan = TT.parse_timetable(texts, AS_OF)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Generate posexplode") == 1
