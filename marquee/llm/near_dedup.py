@@ -291,7 +291,7 @@ def classes(docs: DataFrame, width: int, percent: int, rows: int = ROWS, m: int
     of = scratch.cut(labelled(nodes, label), "classes")
     least = of.groupBy("label").agg(F.min("first").alias("component"))
     of = scratch.cut(of.join(least, "label").select("digest", F.col("label").alias("class"), "component"), "classes")
-    scratch.drop(members, sets, large)
+    scratch.keep(found, of)
     linked = found.filter("digest is not null").select("doc_id", "text_hash", "n_shingles", "digest").join(of, "digest")
     linked = linked.filter("doc_id is not null").select("doc_id", "text_hash", "n_shingles", "class", F.col("component").alias("component_id"))
     alone = found.filter("digest is null or doc_id is null").select(
@@ -314,11 +314,11 @@ def without_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     found = classes(docs, width, percent).filter("doc_id is not null and doc_id = component_id")
     in_class = found.filter("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("w"))
     wanted = in_class.select("w.*").union(found.filter("class is null").select("doc_id", "text_hash").distinct())
-    wanted = wanted.toDF("wanted", "hash").select(F.struct("wanted", "hash").alias("wanted"))
-    own = F.struct(F.col("row.doc_id").cast("long").alias("wanted"), F.xxhash64(F.col("row.text").cast("string")).alias("hash"))
-    rows = docs.filter("doc_id is not null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("id", own)
-    rows = rows.join(wanted, F.col("id") == F.col("wanted"), "left_semi")
+    wanted = wanted.toDF("id", "hash")
+    rows = docs.filter("doc_id is not null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumns({"id": F.col("row.doc_id").cast("long"), "hash": F.xxhash64(F.col("row.text").cast("string"))})
+    rows = rows.join(wanted, ["id", "hash"], "left_semi")  # dealt by the same two columns as the groups below
     plain = [F.col(f"row.`{f.name}`") if not isinstance(f.dataType, (T.MapType, T.VariantType)) else F.to_json(F.struct(f"row.`{f.name}`"))
              for f in docs.schema.fields if f.name != "text"]
-    one = rows.groupBy("id").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    one = rows.groupBy("id", "hash").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
     return one.select("row.*").union(docs.filter("doc_id is null"))

@@ -1,11 +1,15 @@
 """Repeated doc_ids and clashing column names, in any order of rows."""
 
 import itertools
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from marquee.llm import decontaminate, mixing, near_dedup, queries, token_output
+from marquee.llm.common import Scratch
 
 WORDS = [f"w{k}" for k in range(60)]
 A, B = " ".join(WORDS[:40]), " ".join(WORDS[20:])
@@ -77,3 +81,41 @@ def test_token_files_order_equal_and_null_ids(spark):
     for r in runs[0]:
         assert r.start == at
         at += r.n_tokens
+
+
+def test_rows_are_dealt_once_where_copies_are_left_out(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = near_dedup.without_copies(frame(spark, [(1, A), (2, A2), (3, None)]))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    lines = plan.split("\n")
+    last = next(k for k, x in enumerate(lines) if "functions=[min_by(row" in x)
+    first = next(k for k, x in enumerate(lines) if "functions=[partial_min_by(row" in x)
+    assert not any("Exchange" in x for x in lines[last:first])
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p.name for d in folders for p in Path(d.getPath()).rglob("shuffle_*")}
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    scratch, before = Scratch(spark, "cleanup"), shuffle_files(spark)
+    rows = scratch.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert sorted(map(tuple, rows.collect()))[0] == (0, 143)
+
+
+def test_only_kept_tables_stay(spark):
+    scratch = Scratch(spark, "keep")
+    scratch.cut(spark.range(3), "one")
+    two = scratch.cut(spark.range(5), "two")
+    folder = Path(scratch.root.removeprefix("file:"))
+    scratch.keep(two)
+    assert [p.name for p in folder.iterdir()] == ["002-two"] and two.count() == 5
