@@ -227,3 +227,13 @@ def test_keys_keep_exactly_their_characters_and_no_pattern_negates_a_hangul_clas
     for key in (T.title_key, T.name_key, T.address_key, T.venue_key, T.venue_merge_key, T.canon_key, T.venue_tokens):
         plan = spark.createDataFrame(rows, "s string").select(key("s"))._jdf.queryExecution().analyzed().toString()
         assert "[^" not in plan, key.__name__
+
+
+def test_steps_of_a_title_are_in_the_plan_once(evaluate, spark):
+    rows = [("﻿ Show - 2차 라인업",), ("Ab - 2차 라인업",), ("x Festival - lineup 2차",), ("Long Show - 공연",), ("",), (None,)]
+    assert evaluate(T.display_title("s"), rows, "s string") == ["Show", "Ab - 2차 라인업", "x Festival", "Long Show - 공연", "", None]
+    assert evaluate(T.festival_key_of(F.col("s")), rows, "s string") == ["", "", "festival", None, None, None]
+    assert evaluate(L.http_url("s"), [(" http://a ",), ("a",), (None,)], "s string") == ["http://a", None, None]
+    for key, pattern in ((T.display_title("s"), r"개최\s*무산"), (T.festival_key_of(F.col("s")), "[-–—]"), (L.http_url("s"), r"]+\z")):
+        plan = spark.createDataFrame(rows, "s string").select(key.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(pattern) == 1, plan
