@@ -15,6 +15,8 @@ from .listing import top_per_group, top_ranked
 # Above this many acts an event is not spelled out act by act: being part of it becomes an
 # attribute of the act, like a genre.
 HOT_LINEUP = 200
+# Up to this many acts, an event is spelled out as pairs of acts before the followers of one come in.
+SMALL_LINEUP = 8
 _W = V.ARTIST_REC_WEIGHTS
 
 
@@ -33,18 +35,15 @@ def shared_stages(lineup: DataFrame) -> DataFrame:
     return lineup.join(shared.select("event_id"), "event_id", "left_semi")
 
 
-def _met(followings: DataFrame, seen: DataFrame, lineup: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """(user_id, artist_id, shared, event_id): acts of the events seen and ``others``, but none that the user follows.
+def _met(followings: DataFrame, seen: DataFrame, lineup: DataFrame) -> DataFrame:
+    """(user_id, artist_id, shared, event_id): acts of the events seen, but none that the user follows.
 
-    Follows and others are rows of the same grouping, so that each pair is shuffled once; with others by
-    user alone, as what comes next needs them.
+    Follows are rows of the same grouping, so that each pair is shuffled once.
     """
     no_event = F.lit(None).cast(lineup.schema["event_id"].dataType).alias("event_id")
     pair = lambda df, event, followed: df.select("user_id", "artist_id", event, F.lit(followed).alias("followed"))
     rows = pair(seen.select("user_id", "event_id").join(lineup, "event_id"), F.col("event_id"), False)
     rows = rows.unionByName(pair(followings, no_event, True))
-    if others is not None:
-        rows = rows.unionByName(pair(others, no_event, False)).repartition("user_id")
     met = rows.groupBy("user_id", "artist_id").agg(
         F.count("event_id").alias("shared"), F.min("event_id").alias("event_id"), F.max("followed").alias("followed"))
     return met.filter(~F.col("followed")).drop("followed")
@@ -68,21 +67,58 @@ def _taste_base(liked: str, hot: str, genres: str, stages: str) -> Column:
     return _W["co_performer"] * co_performer_norm(shared), _W["genre"] * ge
 
 
-def _picked(users: DataFrame, matches: DataFrame, members: DataFrame, group: list[str], limit: int) -> DataFrame:
-    """(user_id, artist_id) that can reach a user's list through groups of equal artists.
+def _score(co: Column, agency: Column, genre: Column) -> Column:
+    return clamp01(_W["co_performer"] * co + _W["agency"] * agency + _W["genre"] * genre)
 
-    ``matches`` scores each kind of artist (liked genres, stages) for each taste. A kind is needed
-    only while fewer than limit + follows artists are in better kinds, and of a kind only its most
-    popular: the others cannot pass them.
+
+def _lists(matches: DataFrame, members: DataFrame, limit: int) -> DataFrame:
+    """(label, liked, hot, list): artists in order of score and popularity, from groups of equal artists.
+
+    ``matches`` scores each kind of artist (genres, stages) for each taste, ``most`` are the follows of the taste's
+    users at most. A kind is needed only while fewer than limit + follows artists are in better kinds, and of a
+    kind only its most popular: the others cannot pass them.
+    """
+    key = ["label", "liked", "hot"]
+    up_to = F.sum("kind_size").over(Window.partitionBy(*key).orderBy(F.desc("base")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = F.sum("kind_size").over(Window.partitionBy(*key, "base"))
+    wanted = matches.withColumn("quota", F.lit(limit) + F.col("most") - (up_to - equal)).filter("quota > 0")
+    rows = wanted.join(members, ["kind_label", "genres", "stages"]).filter(F.col("place") <= F.col("quota"))
+    entry = F.struct((-F.col("base")).alias("less"), (-F.col("popularity_score")).alias("rarer"), "artist_id", "act_label")
+    return rows.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("list"))
+
+
+def _listed(users: DataFrame, lists: DataFrame, limit: int) -> DataFrame:
+    """(user_id, listed, bar): the best artists not followed by what users and artists are alone, and the score of the last.
+
+    Everybody takes the lists of their labels and the one without a label, which has all artists.
+    """
+    asked = users.repartition("user_id").select(
+        "user_id", "liked", "hot", "labels", "follows", "n_follows", F.explode(F.concat("labels", F.array(F.lit("")))).alias("label"))
+    some = F.slice("list", F.lit(1), (F.lit(limit) + F.col("n_follows")).cast("int"))
+    again = lambda x: (F.col("label") == "") & F.coalesce(F.array_contains("labels", x["act_label"]), F.lit(False))
+    new = F.filter(some, lambda x: ~F.array_contains("follows", x["artist_id"]) & ~again(x))
+    picks = asked.join(lists, ["label", "liked", "hot"], "left").select("user_id", F.slice(new, 1, limit).alias("picks"))
+    best = picks.groupBy("user_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("picks"))), 1, limit).alias("best"))
+    return best.select(
+        "user_id", F.transform("best", lambda x: x["artist_id"]).alias("listed"),
+        F.when(F.size("best") >= limit, -F.get("best", F.lit(limit - 1))["less"]).otherwise(0.0).alias("bar"),
+    )
+
+
+def _beside(follows: DataFrame, cold: DataFrame, marks: DataFrame, small_lineup: int) -> DataFrame:
+    """(user_id, artist_id, event_id, followed_id, mark): acts on a stage with a followed one.
+
+    Acts of small events are pairs first, so that follows are joined once; in larger ones the followed acts are
+    reduced to one row per user and event before they meet the lineup.
     """
-    taste, kind = ["liked", "hot"], ["genres", "stages"]
-    sums = matches.groupBy(*taste, *group, "base").agg(F.sum("kind_size").alias("n"))
-    better = Window.partitionBy(*taste, *group).orderBy(F.desc("base")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("better", F.coalesce(F.sum("n").over(better), F.lit(0))).drop("n")
-    wanted = matches.join(sums, [*taste, *group, "base"])
-    quota = F.lit(limit) + F.col("n_follows") - F.col("better")
-    asked = users.join(wanted, [*taste, *group]).withColumn("quota", quota).filter("quota > 0")
-    return asked.join(members, [*group, *kind]).filter(F.col("place") <= F.col("quota")).select("user_id", "artist_id")
+    acts = cold.join(marks, "artist_id").select("event_id", "n_acts", "mark", F.col("artist_id").alias("other"))
+    mine = cold.filter(F.col("n_acts") <= small_lineup).select("event_id", "artist_id")
+    couples = mine.join(acts.filter(F.col("n_acts") <= small_lineup).drop("n_acts"), "event_id").filter(F.col("artist_id") != F.col("other"))
+    columns = ["user_id", F.col("other").alias("artist_id"), "event_id", F.col("followed_id"), "mark"]
+    near = follows.join(couples, "artist_id").withColumnRenamed("artist_id", "followed_id").select(*columns)
+    seen = stages_seen(follows, cold.filter(F.col("n_acts") > small_lineup))
+    far = seen.join(acts.filter(F.col("n_acts") > small_lineup), "event_id").filter(F.col("other") != F.col("followed_id"))
+    return near.unionByName(far.select(*columns))
 
 
 def artist_recommendations(
@@ -92,22 +128,25 @@ def artist_recommendations(
     genres: DataFrame,
     limit: int,
     hot_lineup: int = HOT_LINEUP,
+    small_lineup: int = SMALL_LINEUP,
 ) -> DataFrame:
     """(user_id, rank, artist_id, score, co_performer, agency, genre, reasons) for all users.
 
     Candidates come from three sides. Shared stages are listed pair by pair, except on very large
     events. Agency and genre would pair almost everybody with almost everybody, so there artists
     with the same genres and large events are one group, and only as many of the most popular of
-    each group as could possibly make the list are looked at. Every candidate is then scored in
-    full, so the result is that of scoring all pairs; ``hot_lineup`` decides about the plan only.
+    each group as could possibly make the list are looked at: they make lists that users of the same
+    taste share, and the last score of a user's own is the bar for acts of shared stages. Every candidate
+    that could pass it is scored in full, so the result is that of scoring all pairs; ``hot_lineup`` and
+    ``small_lineup`` decide about the plan only.
     """
-    follows = cut_lineage(followings.select("user_id", "artist_id").distinct())
+    follows = cut_lineage(followings.select("user_id", "artist_id").repartition("user_id").distinct())
     lineup = cut_lineage(event_artists.select("event_id", "artist_id").distinct())
     genres = cut_lineage(genres.select("artist_id", "genre"))
-    large = lineup.groupBy("event_id").agg(F.count("*").alias("n_acts")).filter(F.col("n_acts") > hot_lineup).select("event_id")
-    large = cut_lineage(large)
-    cold = cut_lineage(shared_stages(lineup.join(large, "event_id", "left_anti")))
-    hot = lineup.join(large, "event_id", "left_semi")
+    n_acts = lineup.groupBy("event_id").agg(F.count("*").alias("n_acts")).filter("n_acts > 1 or n_acts > %d" % hot_lineup)
+    staged = cut_lineage(lineup.join(n_acts, "event_id"))
+    cold = staged.filter((F.col("n_acts") > 1) & (F.col("n_acts") <= hot_lineup))
+    hot = staged.filter(F.col("n_acts") > hot_lineup).drop("n_acts")
 
     none = F.array().cast("array<string>")
     no_stage = F.array().cast(T_.ArrayType(lineup.schema["event_id"].dataType))
@@ -121,67 +160,86 @@ def artist_recommendations(
     )
     acts = cut_lineage(acts)
 
-    liked = follows.join(genres, "artist_id").groupBy("user_id").agg(F.array_sort(F.collect_set("genre")).alias("liked"))
+    # what users are: their follows, with the genres and labels of these
+    label = T.strip("label")
+    of_artist = acts.groupBy("artist_id").agg(F.count("*").alias("n_rows"), F.collect_set(F.when(label != "", label)).alias("labels"))
+    all_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    users = follows.filter(F.col("user_id").isNotNull()).join(of_artist, "artist_id", "left").join(acts_genres, "artist_id", "left")
+    users = users.groupBy("user_id").agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_follows"), F.collect_set("artist_id").alias("follows"),
+        all_of("labels").alias("labels"), F.array_sort(all_of("genres")).alias("liked"),
+    )
     seen_hot = cut_lineage(stages_seen(follows, hot))
     on_hot = seen_hot.groupBy("user_id").agg(F.array_sort(F.collect_set("event_id")).alias("hot"))
-    users = follows.groupBy("user_id").agg(F.count("*").alias("n_follows"))
-    users = users.join(liked, "user_id", "left").join(on_hot, "user_id", "left")
-    users = cut_lineage(users.withColumn("liked", F.coalesce("liked", none)).withColumn("hot", F.coalesce("hot", no_stage)))
-    user_labels = cut_lineage(
-        follows.join(acts.select("artist_id", T.strip("label").alias("label")), "artist_id").filter(F.col("label") != "")
-        .select("user_id", "label").distinct()
-    )
-
-    # shared stages
-    seen = cut_lineage(stages_seen(follows, cold))
+    users = cut_lineage(users.join(on_hot, "user_id", "left").withColumn("hot", F.coalesce("hot", no_stage)))
 
-    # groups of equal artists
+    # groups of equal artists, of each label and of all
     most = users.agg(F.max("n_follows")).first()[0] or 0
     by_rank = [("popularity_score", False)]
+    ranked = acts.select(F.col("label").alias("act_label"), "genres", "stages", "artist_id", "popularity_score")
+    co_part, genre_part = _taste_base("liked", "hot", "genres", "stages")
+
     kinds = acts.groupBy("genres", "stages").agg(F.count("*").alias("kind_size"))
-    members = top_per_group(acts, ["genres", "stages"], by_rank, "artist_id", limit + most, "place")
-    tastes = users.select("liked", "hot").distinct()
+    members = top_per_group(ranked, ["genres", "stages"], by_rank, "artist_id", limit + most, "place").withColumn("kind_label", F.lit(""))
+    tastes = users.groupBy("liked", "hot").agg(F.max("n_follows").alias("most"))
     traits = lambda a, b: F.concat(F.transform(a, lambda g: F.concat(F.lit("g:"), g)), F.transform(b, lambda e: F.concat(F.lit("e:"), e.cast("string"))))
-    taste_traits = tastes.select("liked", "hot", F.explode(traits("liked", "hot")).alias("trait"))
+    taste_traits = tastes.select("liked", "hot", "most", F.explode(traits("liked", "hot")).alias("trait"))
     kind_traits = kinds.select("genres", "stages", "kind_size", F.explode(traits("genres", "stages")).alias("trait"))
-    matches = taste_traits.join(kind_traits, "trait").drop("trait").distinct()
-    co_part, genre_part = _taste_base("liked", "hot", "genres", "stages")
-    matches = matches.withColumn("base", round4(clamp01(co_part + _W["agency"] * 0.0 + genre_part)))
-    by_trait = _picked(users, matches, members.select("genres", "stages", "artist_id", "place"), [], limit)
-
-    labelled = acts.filter(F.col("label").isNotNull())
-    label_kinds = labelled.groupBy("label", "genres", "stages").agg(F.count("*").alias("kind_size"))
-    label_members = top_per_group(labelled, ["label", "genres", "stages"], by_rank, "artist_id", limit + most, "place")
-    label_users = users.join(user_labels, "user_id")
-    label_tastes = label_users.select("label", "liked", "hot").distinct()
-    label_matches = label_tastes.join(label_kinds, "label").withColumn(
-        "base", round4(clamp01(co_part + _W["agency"] * 1.0 + genre_part))
-    )
-    by_label = _picked(
-        label_users, label_matches, label_members.select("label", "genres", "stages", "artist_id", "place"), ["label"], limit
-    )
+    matches = taste_traits.join(kind_traits, "trait").drop("trait").distinct().withColumn("label", F.lit(""))
+
+    labelled = ranked.filter(F.col("act_label").isNotNull()).withColumn("kind_label", F.col("act_label"))
+    label_kinds = labelled.groupBy(F.col("kind_label").alias("label"), "genres", "stages").agg(F.count("*").alias("kind_size"))
+    label_members = top_per_group(labelled, ["kind_label", "genres", "stages"], by_rank, "artist_id", limit + most, "place")
+    label_tastes = users.select("liked", "hot", "n_follows", F.explode("labels").alias("label"))
+    label_tastes = label_tastes.groupBy("label", "liked", "hot").agg(F.max("n_follows").alias("most"))
+    matches = matches.unionByName(label_tastes.join(label_kinds, "label")).withColumn("kind_label", F.col("label"))
+    matches = matches.withColumn(
+        "base", round4(clamp01(co_part + _W["agency"] * F.when(F.col("label") == "", 0.0).otherwise(1.0) + genre_part)))
+    lists = cut_lineage(_lists(matches, members.unionByName(label_members), limit))
+    own = cut_lineage(_listed(users, lists, limit))
+
+    # acts beside followed ones that could pass the bar: a mark stands for an act's label, none for several labels
+    marks = acts.groupBy("artist_id").agg(
+        F.when(F.count("label") == 0, F.lit(0)).when(F.min("label") == F.max("label"), F.hash(F.min("label"))).alias("mark"))
+    cell = lambda df, kind: df.select("user_id", "artist_id", "event_id", "followed_id", "mark", F.lit(kind).cast("byte").alias("kind"))
+    beside = _beside(follows, cold, marks, small_lineup)
+    nothing = [F.lit(None).cast(beside.schema[c].dataType).alias(c) for c in ["event_id", "followed_id", "mark"]]
+    listed = own.select("user_id", F.explode("listed").alias("artist_id"), *nothing)
+    # lists, follows and shared stages are rows of the same grouping, dealt by user as what comes next needs them
+    rows = cell(beside, 0).unionByName(cell(listed, 1)).unionByName(cell(follows.select("*", *nothing), 2)).repartition("user_id")
+    rows = rows.groupBy("user_id", "artist_id", "event_id").agg(
+        F.min("followed_id").alias("followed_id"), F.max("mark").alias("mark"), F.max("kind").alias("kind"))
+    pairs = rows.groupBy("user_id", "artist_id").agg(
+        F.count("event_id").alias("shared"), F.min("event_id").alias("first_event"),
+        F.min_by("followed_id", "event_id").alias("cold_followed"), F.max("mark").alias("mark"), F.max("kind").alias("kind"),
+    ).filter("kind < 2")
+    bars = own.select("user_id", "bar").join(
+        users.select("user_id", (F.size("hot") > 0).alias("any_hot"), F.transform("labels", lambda x: F.hash(x)).alias("user_marks")), "user_id")
+    pairs = pairs.join(bars, "user_id")
+    alike = F.when(F.col("mark").isNull() | F.array_contains("user_marks", F.col("mark")), 1.0).otherwise(0.0)
+    most_co = F.when(F.col("any_hot"), 1.0).otherwise(co_performer_norm(F.col("shared")))
+    pairs = pairs.filter((F.col("kind") == 1) | (round4(_score(most_co, alike, F.lit(1.0))) >= F.col("bar")))
+    pairs = pairs.select("user_id", "artist_id", "shared", "first_event", "cold_followed")
 
     # full score of every candidate, with what is known of its user in one row
-    pairs = _met(follows, seen, cold, by_trait.unionByName(by_label)).withColumnRenamed("event_id", "first_event")
-    labels = user_labels.groupBy("user_id").agg(F.collect_set("label").alias("labels"))
-    known = users.drop("n_follows").join(labels, "user_id", "left")
-    rows = pairs.join(known, "user_id").join(acts.drop("name"), "artist_id")
-    hot_shared = F.array_intersect("hot", "stages")
+    rows = pairs.join(acts.drop("name"), "artist_id").join(users.select("user_id", "liked", "hot", "labels"), "user_id")
+    hot_shared = F.when(F.size("hot") > 0, F.array_intersect("hot", "stages")).otherwise(no_stage)
     ge = clamp01(F.size(F.array_intersect("liked", "genres")) / F.greatest(F.lit(1), F.size("liked")))
     rows = rows.select(
-        "user_id", "artist_id", "popularity_score",
+        "user_id", "artist_id", "popularity_score", "cold_followed",
         (F.col("shared") + F.size(hot_shared)).alias("shared"),
         F.coalesce(F.array_contains("labels", F.col("label")).cast("int"), F.lit(0)).alias("agency"), ge.alias("ge"),
         F.least("first_event", F.array_min(hot_shared)).alias("first_event"),
     )
     rows = rows.withColumn("co", co_performer_norm(F.col("shared")))
-    score = clamp01(_W["co_performer"] * F.col("co") + _W["agency"] * F.col("agency") + _W["genre"] * F.col("ge"))
-    rows = rows.withColumn("score", score).filter("score > 0").withColumn("score", round4(F.col("score")))
-    best = top_per_group(rows, ["user_id"], [("score", False), ("popularity_score", False)], "artist_id", limit)
+    rows = rows.withColumn("full", _score(F.col("co"), F.col("agency"), F.col("ge"))).withColumn("score", round4(F.col("full")))
+    # those without a score come last; left out before, they would have every score worked out twice
+    best = top_per_group(rows, ["user_id"], [("score", False), ("popularity_score", False)], "artist_id", limit).filter("full > 0")
     # names, genres and the act behind the first shared stage, for the listed rows only
-    named = seen.unionByName(seen_hot).select("user_id", F.col("event_id").alias("first_event"), "followed_id")
+    on_large = seen_hot.select("user_id", F.col("event_id").alias("first_event"), F.col("followed_id").alias("hot_followed"))
+    best = best.join(on_large, ["user_id", "first_event"], "left").withColumn("followed_id", F.coalesce("hot_followed", "cold_followed"))
     names = artists.select(F.col("id").alias("followed_id"), F.col("name").alias("with_name"))
-    best = best.join(named, ["user_id", "first_event"], "left").join(names, "followed_id", "left")
+    best = best.join(names, "followed_id", "left")
     best = best.join(acts.select("artist_id", "name", "label", "genres"), "artist_id").join(users.select("user_id", "liked"), "user_id")
     best = best.withColumn("matched_genres", F.array_intersect("liked", "genres"))
     reasons = F.array_compact(F.array(

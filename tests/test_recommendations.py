@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from marquee.operators import recommend_artists as RA
 from marquee.operators import recommend_events as RE
 from marquee.session import cut_lineage
 
@@ -104,3 +105,56 @@ def test_users_without_id_or_row_keep_their_lists(table):
     known = {a for e, a, *_ in lineup if e == 5}
     linked |= {e for e, a, *_ in lineup if e < 40 and a in known} | {e for e, _, n, _ in lineup if e < 40 and n.strip().lower() in ("act4", "act10")}
     assert {x[3] for x in lists[0] if x[0]} >= linked and all(x[5] in (0.0, 0.5) for x in lists[0] if x[0])
+
+
+def artist_case(seed):
+    rng = random.Random(seed)
+    artists = [(a, f"Act{a}", rng.choice(["L1", "L2", "L3", "L4", " L1", "", None]), float(rng.randrange(6))) for a in range(60)]
+    lineup = sorted({(e, a) for e in range(40) for a in rng.sample(range(60), rng.choice([1, 2, 2, 3, 5, 12]))})
+    genres = sorted({(rng.randrange(60), rng.choice("abcdef")) for _ in range(150)})
+    follows = sorted({(rng.randrange(25), rng.randrange(60)) for _ in range(90)})
+    return artists, lineup, genres, [*follows, (7, None), (None, 3)]
+
+
+def artist_lists(case, limit):
+    """Every user with every artist."""
+    artists, lineup, genres, follows = case
+    label_of, out = {a: l for a, _, l, _ in artists}, {}
+    for u in {u for u, _ in follows} - {None}:
+        followed = {a for x, a in follows if x == u}
+        labels = {label_of[a].strip() for a in followed - {None} if label_of[a]} - {""}
+        liked = {g for a, g in genres if a in followed}
+        seen = {e for e, a in lineup if a in followed}
+        rows = []
+        for a, _, label, popularity in artists:
+            shared = len({e for e, x in lineup if x == a and e in seen})
+            co = min(0.5 + 0.5 * (shared - 1) / 3, 1.0) if shared else 0.0
+            ge = len(liked & {g for x, g in genres if x == a}) / max(1, len(liked))
+            score = min(0.4 * co + 0.3 * (1 if label and label in labels else 0) + 0.3 * ge, 1.0)
+            if a not in followed and score > 0:
+                rows.append((-math.floor(score * 10000 + 0.5) / 10000, -popularity, a))
+        out |= {(u, i): (a, -s) for i, (s, _, a) in enumerate(sorted(rows)[:limit], 1)}
+    return out
+
+
+def test_artist_lists_equal_those_of_all_pairs(table, monkeypatch):
+    """Also whichever events are spelled out. No table of all events that users have seen is written any more."""
+    written, cut = [], RA.cut_lineage
+    monkeypatch.setattr(RA, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    for seed, limit, routes in ((1, 3, [(200, 8), (200, 0)]), (2, 8, [(200, 2), (4, 2), (0, 0)])):
+        case = artist_case(seed)
+        artists, lineup, genres, follows = case
+        want = artist_lists(case, limit)
+        for hot, small in routes:
+            recs = RA.artist_recommendations(
+                table(follows, "user_id long, artist_id long"), table(artists, "id long, name string, label string, popularity_score double"),
+                table(lineup, "event_id long, artist_id long"), table(genres, "artist_id long, genre string"), limit, hot, small)
+            rows = recs.collect()
+            assert {(r.user_id, r["rank"]): (r.artist_id, r.score) for r in rows} == want
+            for r in rows:
+                with_name = [x for x in r.reasons if "같은 무대" in x]
+                stages = [e for e, a in lineup if a == r.artist_id and any((r.user_id, x) in follows for y, x in lineup if y == e)]
+                first = stages and min(x for y, x in lineup if y == min(stages) and (r.user_id, x) in follows)
+                assert with_name == ([f"회원님이 팔로우한 Act{first}와 같은 무대에 섰어요"] if stages else [])
+        if (hot, small) == (200, 0):
+            assert sum("followed_id" in columns for columns in written) == len(routes)
